@@ -71,14 +71,17 @@ def daily_metrics(
     ranked = based.withColumns(
         {
             "_pos": one_row_per_day(spec, F.row_number().over(w)),
-            GROWTH: percent_change(load, F.lag(load).over(w)),
+            "_prev": F.lag(load).over(w),
             ROLL7: F.avg(load).over(spec.trailing(7)),
             ROLL14: F.avg(load).over(spec.trailing(14)),
         }
     )
-    return ranked.withColumn(
-        STREAK, positive_run(F.col(NET_INTAKE) > 0, spec, F.col("_pos"))
-    ).drop("_pos")
+    return ranked.withColumns(
+        {
+            GROWTH: percent_change(load, F.col("_prev")),
+            STREAK: positive_run(F.col(NET_INTAKE) > 0, spec, F.col("_pos")),
+        }
+    ).drop("_pos", "_prev")
 
 
 def rolling_load(df: DataFrame, spec: SeriesSpec, days: int, name: str = "custom_trend") -> DataFrame:

@@ -27,7 +27,7 @@ NA_TOKENS = (
 
 def canonical_name(name: str) -> str:
     """Header without byte-order mark, footnote asterisks or repeated whitespace."""
-    return " ".join(name.replace("﻿", "").split()).rstrip("*").strip()
+    return " ".join(name.replace("\ufeff", "").split()).rstrip("*").strip()
 
 
 def canonical_columns(
