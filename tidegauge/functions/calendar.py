@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,37 +30,30 @@ def period_end(day: Column, granularity: str) -> Column:
     return day
 
 
-def _cycle(position: Column, length: float) -> tuple[Column, Column]:
-    angle = position * F.lit(2 * math.pi) / F.lit(length)
-    return F.sin(angle), F.cos(angle)
-
-
-def calendar_parts(day: Column) -> dict[str, Column]:
-    """Nine integer calendar parts; Monday is weekday 0."""
-    weekday = F.weekday(day)
+def calendar_parts(day: str) -> dict[str, str]:
+    """Nine integer calendar parts as SQL text; Monday is weekday 0."""
     return {
-        "calendar_day_of_week": weekday,
-        "calendar_month": F.month(day),
-        "calendar_quarter": F.quarter(day),
-        "calendar_day_of_month": F.dayofmonth(day),
-        "calendar_day_of_year": F.dayofyear(day),
-        "calendar_week_of_year": F.weekofyear(day),
-        "calendar_is_weekend": (weekday >= 5).cast("byte"),
-        "calendar_is_month_start": (F.dayofmonth(day) == 1).cast("byte"),
-        "calendar_is_month_end": (F.last_day(day) == day).cast("byte"),
+        "calendar_day_of_week": f"weekday({day})",
+        "calendar_month": f"month({day})",
+        "calendar_quarter": f"quarter({day})",
+        "calendar_day_of_month": f"dayofmonth({day})",
+        "calendar_day_of_year": f"dayofyear({day})",
+        "calendar_week_of_year": f"weekofyear({day})",
+        "calendar_is_weekend": f"CAST(weekday({day}) >= 5 AS TINYINT)",
+        "calendar_is_month_start": f"CAST(dayofmonth({day}) = 1 AS TINYINT)",
+        "calendar_is_month_end": f"CAST(last_day({day}) = {day} AS TINYINT)",
     }
 
 
-def calendar_cycles(day: Column) -> dict[str, Column]:
+def calendar_cycles(day: str) -> dict[str, str]:
     """Six sine and cosine encodings; month and day of year count from zero here."""
-    dow = _cycle(F.weekday(day), 7)
-    month = _cycle(F.month(day) - 1, 12)
-    doy = _cycle(F.dayofyear(day) - 1, 365.25)
+    angles = {
+        "dow": f"2 * pi() * weekday({day}) / 7",
+        "month": f"2 * pi() * (month({day}) - 1) / 12",
+        "doy": f"2 * pi() * (dayofyear({day}) - 1) / 365.25D",
+    }
     return {
-        "calendar_dow_sin": dow[0],
-        "calendar_dow_cos": dow[1],
-        "calendar_month_sin": month[0],
-        "calendar_month_cos": month[1],
-        "calendar_doy_sin": doy[0],
-        "calendar_doy_cos": doy[1],
+        f"calendar_{name}_{wave}": f"{wave}({angle})"
+        for name, angle in angles.items()
+        for wave in ("sin", "cos")
     }

@@ -36,6 +36,11 @@ def safe_ratio(numerator: Column, denominator: Column) -> Column:
     return finite(F.try_divide(numerator.cast("double"), denominator.cast("double")))
 
 
+def ratio_sql(numerator: str, denominator: str) -> str:
+    """SQL text of :func:`safe_ratio` for finite operands."""
+    return f"try_divide(CAST({numerator} AS DOUBLE), CAST({denominator} AS DOUBLE))"
+
+
 def percent_change(current: Column, base: Column) -> Column:
     """Percentage change against a base; null when the base is zero or unknown."""
     return safe_ratio(current - base, base) * 100

@@ -121,10 +121,34 @@ class SeriesSpec:
             Window.unboundedPreceding, Window.unboundedFollowing
         )
 
+    def over(self, frame: str = "", order: str = "") -> str:
+        """SQL window clause, for tables of many expressions.
+
+        One SQL text costs one call into the JVM; the same expression built from
+        column functions costs a dozen, which adds up over hundreds of columns.
+        """
+        keys = ", ".join(f"`{k}`" for k in self.keys)
+        by = f"PARTITION BY {keys} " if keys else ""
+        return f"OVER ({by}ORDER BY {order or f'`{self.date}`'}{' ' + frame if frame else ''})"
+
+    def over_history(self, rows: int) -> str:
+        return self.over(f"ROWS BETWEEN {rows} PRECEDING AND 1 PRECEDING")
+
+    def over_trailing(self, rows: int) -> str:
+        return self.over(f"ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW")
+
+    def over_ahead(self, rows: int) -> str:
+        return self.over(f"ROWS BETWEEN 1 FOLLOWING AND {rows} FOLLOWING")
+
     def cols(self, *more: str) -> list[Column]:
         return [F.col(c) for c in (*self.index, *more)]
 
 
+def add_sql(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Append new columns given as SQL text, in one call."""
+    return df.selectExpr("*", *[f"{text} AS `{name}`" for name, text in columns.items()])
+
+
 def require_columns(df: DataFrame, columns: Sequence[str]) -> None:
     """Raise with the full list of absent columns before any job runs."""
     missing = [c for c in columns if c not in df.columns]
