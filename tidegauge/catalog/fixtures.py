@@ -45,8 +45,8 @@ def dense_sql(by: str | None) -> str:
 
     def interpolated(c: str) -> str:
         return f"""CAST(round_even(coalesce({c},
-            p_{c} + (n_{c} - p_{c}) * date_diff('day', pd_{c}, date)
-                    / nullif(CAST(date_diff('day', pd_{c}, nd_{c}) AS DOUBLE), 0),
+            (n_{c} - p_{c}) / nullif(date_diff('day', pd_{c}, nd_{c}) * CAST(86400e9 AS DOUBLE), 0)
+                    * (date_diff('day', pd_{c}, date) * CAST(86400e9 AS DOUBLE)) + p_{c},
             p_{c}, n_{c}), 0) AS BIGINT) AS {c}"""
 
     looks = ", ".join(

@@ -165,8 +165,10 @@ def missing_days(days: DataFrame, spec: SeriesSpec) -> DataFrame:
 
 
 def interpolate_time(column: str, spec: SeriesSpec) -> Column:
-    """Linear in elapsed days between known neighbours; the ends take the nearest value.
+    """Linear in elapsed time between known neighbours; the ends take the nearest value.
 
+    Time is measured in nanoseconds and the slope is formed first: results that fall on
+    a half then round to a reproducible side.
     The look-ahead runs over the reversed window, where it is a running value; a
     forward window open to the end would rescan the rest of the series per row.
     """
@@ -175,8 +177,10 @@ def interpolate_time(column: str, spec: SeriesSpec) -> Column:
     before, ahead = spec.running(), spec.reversed().rowsBetween(Window.unboundedPreceding, 0)
     left, left_day = (F.last(x, ignorenulls=True).over(before) for x in (value, seen))
     right, right_day = (F.last(x, ignorenulls=True).over(ahead) for x in (value, seen))
-    share = F.datediff(date, left_day) / F.nullif(F.datediff(right_day, left_day), F.lit(0))
-    return F.coalesce(value.cast("double"), left + (right - left) * share, left, right)
+    day = F.lit(86_400e9)
+    slope = F.try_divide(right - left, F.datediff(right_day, left_day) * day)
+    between = slope * (F.datediff(date, left_day) * day) + left
+    return F.coalesce(value.cast("double"), between, left, right)
 
 
 def forward_then_backward(column: str, spec: SeriesSpec) -> Column:
