@@ -17,6 +17,7 @@ from tidegauge.operators.forecast import monitor as O
 from tidegauge.operators.forecast import prepare as P
 from tidegauge.operators.forecast.smoothing import smoothing_forecasts
 from tidegauge.plans import experiment as X
+from tidegauge.session import cut_lineage
 
 BY = "flag"
 W = "PARTITION BY series ORDER BY date"
@@ -57,14 +58,22 @@ def _held(spark, sf):
     return rows, calendar, prepared, spec
 
 
+def _stored(spark, sf):
+    """Held rows over a frame that is written once, for queries that fit models."""
+    prepared, spec = _prepared(spark, sf)
+    frame = cut_lineage(prepared.frame)
+    prepared = P.Prepared(frame, prepared.compact, prepared.expanded, spec, prepared.config)
+    calendar = P.plan_calendar(frame, spec, prepared.config)
+    rows = P.assign_folds(frame, spec, [calendar.holdout, *calendar.folds])
+    return rows, calendar, prepared, spec
+
+
 def _baselines(spark, sf):
     rows, calendar, prepared, spec = _held(spark, sf)
     held = rows.where("role = 'validation'")
     half = 1.5 * F.col(P.CURRENT) - 0.5 * F.col("load_lag_7")
-    out = X.baseline_predictions(held, spec).unionByName(
-        V.prediction_rows(held, spec, half, "half_drift", "")
-    )
-    return out, calendar, spec
+    forecasts = {"persistence": V.persistence(), "seven_day_drift": V.drift(), "half_drift": half}
+    return V.stacked_predictions(held, spec, forecasts, ""), calendar, spec
 
 
 @register(
@@ -343,9 +352,9 @@ def _(spark, sf):
     return V.error_by_regime(drift.join(context, [*spec.keys, "forecast_origin_date"]), spec)
 
 
-MON = RESIDUAL + """, al AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY origin DESC) AS back, row_number() OVER (PARTITION BY series ORDER BY origin) AS at,
+MON = RESIDUAL + """, al AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY origin DESC) AS back, row_number() OVER (PARTITION BY series ORDER BY origin) AS seat,
     count(*) OVER (PARTITION BY series) AS n FROM band WHERE fold = 'holdout'),
-  al2 AS (SELECT *, at <= greatest(1, n // 2) AS early, actual - fc AS gap FROM al)"""
+  al2 AS (SELECT *, seat <= greatest(1, n // 2) AS early, actual - fc AS gap FROM al)"""
 PSI = """, e0 AS (SELECT series, list_distinct(quantile_cont(cur, [0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0])) AS ed FROM al2 WHERE early GROUP BY series),
   e1 AS (SELECT series, list_sort(ed) AS ed FROM e0),
   eb AS (SELECT series, unnest(ed[2:len(ed)-1]) AS edge FROM e1),
@@ -419,7 +428,7 @@ def _(spark, sf):
 # ---- fitted models: no SQL equivalent -------------------------------------------
 @register("fc07_feature_processor")
 def _(spark, sf):
-    rows, _, prepared, _ = _held(spark, sf)
+    rows, _, prepared, _ = _stored(spark, sf)
     sums = L.fold_sums(rows.where("role = 'train'"), prepared.expanded, P.CHANGE)
     out = []
     for f, s in sums.items():
@@ -431,7 +440,7 @@ def _(spark, sf):
 
 @register("fc08_fc09_linear_candidates")
 def _(spark, sf):
-    rows, calendar, prepared, spec = _held(spark, sf)
+    rows, calendar, prepared, spec = _stored(spark, sf)
     sums = L.fold_sums(rows.where("role = 'train'"), prepared.expanded, P.CHANGE)
     groups = {"compact": prepared.compact, "expanded": prepared.expanded}
     candidates = X.linear_candidates(sums, groups, prepared.config)
@@ -441,7 +450,7 @@ def _(spark, sf):
 
 @register("fc10_fc30_boosted_gain")
 def _(spark, sf):
-    rows, _, prepared, _ = _held(spark, sf)
+    rows, _, prepared, _ = _stored(spark, sf)
     mine = rows.where("fold = 5")
     sums = L.fold_sums(mine.where("role = 'train'"), prepared.compact, P.CHANGE)
     processor = L.fit_processor(sums[5], prepared.compact)
@@ -451,7 +460,7 @@ def _(spark, sf):
 
 @register("fc11_exponential_smoothing")
 def _(spark, sf):
-    rows, calendar, _, spec = _held(spark, sf)
+    rows, calendar, _, spec = _stored(spark, sf)
     smooth = smoothing_forecasts(rows, spec, [calendar.holdout, *calendar.folds])
     out = V.prediction_rows(smooth, spec, P.reconstruct(F.col(P.CURRENT), F.col("predicted_change")), "exponential_smoothing", "")
     return V.regression_metrics(out, [*spec.keys, "fold"])
@@ -459,7 +468,7 @@ def _(spark, sf):
 
 @register("fc29_permutation_importance")
 def _(spark, sf):
-    rows, _, prepared, spec = _held(spark, sf)
+    rows, _, prepared, spec = _stored(spark, sf)
     sums = L.fold_sums(rows.where("role = 'train' AND fold > 0"), prepared.compact, P.CHANGE)
     models = {f: L.ridge(s, L.fit_processor(s, prepared.compact), 100.0) for f, s in sums.items()}
     return M.permutation_importance(rows.where("role = 'validation' AND fold > 0"), spec, models, P.CHANGE)

@@ -32,18 +32,19 @@ def drift() -> Column:
 
 
 def prediction_rows(
-    rows: DataFrame, spec: SeriesSpec, forecast: Column, model: str, label: str,
-    configuration: str = "default",
+    rows: DataFrame, spec: SeriesSpec, forecast: Column, model: str | Column, label: str,
+    configuration: str | Column = "default",
 ) -> DataFrame:
     """Long prediction rows with the documented columns, plus keys and configuration."""
     unknown = F.lit(None).cast("double")
+    model, configuration = (F.lit(x) if isinstance(x, str) else x for x in (model, configuration))
     return rows.select(
         *spec.keys,
         F.col(spec.date).alias("forecast_origin_date"),
         "target_date",
         F.col(TARGET).alias("actual_value"),
         F.col(CURRENT).alias("current_load"),
-        F.lit(model).alias("model_name"),
+        model.alias("model_name"),
         (forecast - F.col(CURRENT)).alias("predicted_change_7d"),
         forecast.alias(FORECAST),
         F.col(CURRENT).alias("persistence_prediction"),
@@ -56,10 +57,21 @@ def prediction_rows(
         "has_anomaly",
         "backlog_state",
         "capacity_stress",
-        F.lit(configuration).alias("configuration"),
+        configuration.alias("configuration"),
     )
 
 
+def stacked_predictions(
+    rows: DataFrame, spec: SeriesSpec, forecasts: dict[str, Column], label: str
+) -> DataFrame:
+    """Prediction rows of several models from one scan of the rows."""
+    entries = F.array(
+        *[F.struct(F.lit(m).alias("_model"), c.alias("_forecast")) for m, c in forecasts.items()]
+    )
+    long = rows.select("*", F.inline(entries))
+    return prediction_rows(long, spec, F.col("_forecast"), F.col("_model"), label)
+
+
 def union_predictions(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

@@ -217,7 +217,38 @@ def elastic_net(
     return _model(sums, processor, mean, scale, w)
 
 
-def predict_by_fold(models: Mapping[int, LinearModel]) -> str:
-    """Prediction text that picks the model of the row's fold."""
-    cases = " ".join(f"WHEN {fold} THEN {m.sql()}" for fold, m in sorted(models.items()))
-    return f"CASE fold {cases} END"
+def predict_candidates(
+    rows: DataFrame, models: Sequence[Mapping[int, LinearModel]], keep: Sequence[str]
+) -> DataFrame:
+    """Predictions of many models as one array column, by a matrix product per batch.
+
+    Every model maps a fold to its weights. The rows are read once whatever the number
+    of models; only ``keep`` and the array travel on.
+    """
+    columns = sorted({c for m in models for f in m.values() for c in f.weights})
+    folds = sorted({f for m in models for f in m})
+    blocks = {}
+    for f in folds:
+        weights = np.zeros((len(columns), len(models)))
+        medians = np.zeros(len(columns))
+        offsets = np.zeros(len(models))
+        for j, model in enumerate(models):
+            offsets[j] = model[f].intercept
+            for c, w in model[f].weights.items():
+                weights[columns.index(c), j] = w
+                medians[columns.index(c)] = model[f].medians[c]
+        blocks[f] = (weights, medians, offsets)
+    keep = list(keep)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for fold, part in batch.groupby("fold"):
+                weights, medians, offsets = blocks[int(fold)]
+                x = part[[f"_x_{c}" for c in columns]].to_numpy(float)
+                x = np.where(np.isnan(x), medians, x)
+                yield part[keep].assign(_changes=list(x @ weights + offsets))
+
+    extra = [c for c in ("fold",) if c not in keep]
+    source = rows.selectExpr(*keep, *extra, *[f"{c} AS _x_{c}" for c in columns])
+    kinds = ", ".join(f"`{c}` {t}" for c, t in source.select(*keep).dtypes)
+    return source.mapInPandas(score, f"{kinds}, _changes array<double>")

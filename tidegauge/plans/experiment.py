@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -78,26 +79,25 @@ def _label(fold_zero: str = "final_holdout"):
 
 
 def baseline_predictions(held: DataFrame, spec: SeriesSpec) -> DataFrame:
-    return V.union_predictions(
-        [
-            V.prediction_rows(held, spec, V.persistence(), "persistence", ""),
-            V.prediction_rows(held, spec, V.drift(), "seven_day_drift", ""),
-        ]
-    )
+    forecasts = {"persistence": V.persistence(), "seven_day_drift": V.drift()}
+    return V.stacked_predictions(held, spec, forecasts, "")
+
+
+def _context(spec: SeriesSpec) -> list[str]:
+    return [*spec.index, "fold", P.TARGET, P.CURRENT, *P.CONTEXT]
 
 
 def linear_predictions(
     held: DataFrame, spec: SeriesSpec, candidates: dict[tuple[str, str], dict[int, L.LinearModel]]
 ) -> DataFrame:
-    """Long predictions of all linear candidates in one projection over the held rows."""
-    parts = [
-        V.prediction_rows(
-            held, spec, P.reconstruct(F.col(P.CURRENT), F.expr(L.predict_by_fold(models))),
-            name, "", configuration,
-        )
-        for (name, configuration), models in candidates.items()
-    ]
-    return V.union_predictions(parts)
+    """Long predictions of all linear candidates in one pass over the held rows."""
+    scored = L.predict_candidates(held, list(candidates.values()), _context(spec))
+    long = scored.select("*", F.posexplode("_changes").alias("_i", "_change"))
+    names, settings = (F.array(*[F.lit(k[j]) for k in candidates]) for j in (0, 1))
+    return V.prediction_rows(
+        long, spec, P.reconstruct(F.col(P.CURRENT), F.col("_change")),
+        F.element_at(names, F.col("_i") + 1), "", F.element_at(settings, F.col("_i") + 1),
+    )
 
 
 def boosted_predictions(
@@ -135,8 +135,6 @@ def hybrid_predictions(
     if days < 100:
         raise CapacityError("Too few out-of-fold residuals for the hybrid.")
     size = max(14, days // 6)
-    import datetime as dt
-
     at = lambda i: first + dt.timedelta(days=i)
     inner = [
         P.DatedFold(i + 1, at(days - (3 - i) * size - config.gap - 1), at(days - (3 - i) * size),
@@ -150,13 +148,14 @@ def hybrid_predictions(
         for f, s in sums.items()
     }
     held = split.where("role = 'validation'")
-    parts = []
-    for alpha in alphas:
-        models = {f: L.ridge(s, fitted[f], alpha) for f, s in sums.items()}
-        forecast = F.col("_base") + F.expr(L.predict_by_fold(models))
-        part = V.prediction_rows(held, spec, forecast, f"{base}_hybrid", "", f"ridge_a{alpha:g}")
-        parts.append(part)
-    return V.union_predictions(parts)
+    grid = [{f: L.ridge(s, fitted[f], alpha) for f, s in sums.items()} for alpha in alphas]
+    scored = L.predict_candidates(held, grid, [*_context(spec), "_base"])
+    long = scored.select("*", F.posexplode("_changes").alias("_i", "_correction"))
+    settings = F.array(*[F.lit(f"ridge_a{a:g}") for a in alphas])
+    return V.prediction_rows(
+        long, spec, F.col("_base") + F.col("_correction"), f"{base}_hybrid", "",
+        F.element_at(settings, F.col("_i") + 1),
+    )
 
 
 def run_experiment(
