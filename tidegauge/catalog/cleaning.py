@@ -14,6 +14,10 @@ BY = "flag"
 NUMBER = r"^[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF](inity)?)$"
 
 
+def fractional(c):
+    return f"coalesce(CASE WHEN {c} % 1 < 0 THEN {c} % 1 + 1 ELSE {c} % 1 END > 1e-9, false)"
+
+
 def plain(c, accounting):
     text = f"trim(replace({c}, ',', ''))"
     if accounting:
@@ -155,7 +159,7 @@ def _(spark, sf):
 
 
 REPORT = prefix() + repaired_sql() + f""", fin AS ({final_sql()}),
-  frac AS (SELECT series, CAST(sum({' + '.join(f"CAST(coalesce((({c} % 1) + 1) % 1 > 1e-9, false) AS INTEGER)" for c in COUNTS)}) AS BIGINT) AS fractional_values,
+  frac AS (SELECT series, CAST(sum({' + '.join(f"CAST({fractional(c)} AS INTEGER)" for c in COUNTS)}) AS BIGINT) AS fractional_values,
     CAST(sum({' + '.join(f"CAST(was_{c} IS NULL AND NOT is_imputed_date AS INTEGER)" for c in COUNTS)}) AS BIGINT) AS missing_reported_values,
     CAST(sum({' + '.join(f"CAST(coalesce(round_even({c}, 0) < 0, false) AS INTEGER)" for c in COUNTS)}) AS BIGINT) AS negative_values_found FROM filled GROUP BY series),
   src AS (SELECT series, count(*) AS source_rows, count(*) FILTER (WHERE blank) AS empty_rows_removed,
@@ -218,7 +222,7 @@ def checks_sql():
             ("error", "numeric", f"INVALID_NUMERIC_VALUES:{c}", f"coalesce(bad_{c}, false) AND NOT blank"),
             ("error", "numeric", f"MISSING_NUMERIC_VALUES:{c}", f"{c} IS NULL AND NOT coalesce(bad_{c}, false) AND NOT blank"),
             ("error", "numeric", f"NONFINITE_VALUES:{c}", f"coalesce(isinf({c}), false)"),
-            ("error", "numeric", f"FRACTIONAL_COUNTS:{c}", f"coalesce((({c} % 1) + 1) % 1 > 1e-9, false)"),
+            ("error", "numeric", f"FRACTIONAL_COUNTS:{c}", fractional(c)),
             ("error", "numeric", f"NEGATIVE_COUNTS:{c}", f"coalesce({c} < 0, false)"),
             ("warning", "plausibility", f"ROBUST_OUTLIERS:{c}",
              f"coalesce(fin_{c} >= 10 AND mad_{c} > 0 AND 0.6745 * abs({c} - med_{c}) / nullif(mad_{c}, 0) > 8, false)"),

@@ -105,8 +105,12 @@ def exceeds(left: Column, right: Column) -> Column:
 
 
 def is_fractional(value: Column) -> Column:
-    """Fractional part above the tolerance, with the sign rule of Python's modulo."""
-    return F.coalesce(F.pmod(finite(value), F.lit(1.0)) > 1e-9, F.lit(False))
+    """Fractional part above the tolerance, with the sign rule of Python's modulo.
+
+    A value just below an integer counts as fractional.
+    """
+    rest = finite(value) % F.lit(1.0)
+    return F.coalesce(F.when(rest < 0, rest + 1).otherwise(rest) > 1e-9, F.lit(False))
 
 
 def joined_labels(*pairs: tuple[Column, str], default: str | None = None) -> Column:
