@@ -102,8 +102,9 @@ def fold_sums(train: DataFrame, features: Sequence[str], target: str) -> dict[in
     )
     side = len(features) + 2
     matrices = {f: np.zeros(side * side) for f in folds}
-    for r in parts.groupBy("fold", "cell").agg(F.sum("value").alias("v")).collect():
-        matrices[r.fold][r.cell] = r.v
+    summed = parts.groupBy("fold", "cell").agg(F.sum("value").alias("v")).toPandas()
+    for fold, cells in summed.groupby("fold"):
+        matrices[int(fold)][cells["cell"].to_numpy()] = cells["v"].to_numpy()
     out = {}
     for f in folds:
         known = {c: facts[f, c] for c in features}
@@ -200,18 +201,23 @@ def ridge(sums: FoldSums, processor: Processor, alpha: float) -> LinearModel:
 
 def elastic_net(
     sums: FoldSums, processor: Processor, alpha: float, l1_ratio: float,
-    passes: int = 20_000, tolerance: float = 1e-8,
+    passes: int = 20_000, tolerance: float = 1e-7,
 ) -> LinearModel:
     """Mixed penalty on standardised weights by cyclic coordinate descent on the sums."""
     mean, scale, corr, target = _standardised(sums, processor)
     sparse, shrink = alpha * l1_ratio, alpha * (1 - l1_ratio)
     w = np.zeros(len(scale))
+    gradient = target.copy()
     for _ in range(passes):
         largest = 0.0
         for j in range(len(w)):
-            pull = target[j] - corr[j] @ w + corr[j, j] * w[j]
+            pull = gradient[j] + corr[j, j] * w[j]
             new = np.sign(pull) * max(abs(pull) - sparse, 0.0) / (corr[j, j] + shrink)
-            largest, w[j] = max(largest, abs(new - w[j])), new
+            step = new - w[j]
+            if step:
+                gradient -= corr[j] * step
+                w[j] = new
+                largest = max(largest, abs(step))
         if largest <= tolerance * max(1.0, np.abs(w).max()):
             break
     return _model(sums, processor, mean, scale, w)

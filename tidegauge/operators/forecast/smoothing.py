@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,9 @@ from pyspark.sql import types as T
 from tidegauge.operators.forecast.prepare import CHANGE, CURRENT, TARGET, DatedFold
 from tidegauge.spec import SeriesSpec
 
+# Workers receive this module's functions with the task: they need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 GRID = tuple(itertools.product((0.2, 0.5, 0.8), (0.05, 0.2), (0.05, 0.2)))
 _DAMPING = 0.9
 _SEASON = 7
