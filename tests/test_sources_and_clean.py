@@ -33,6 +33,23 @@ def test_csv_scan_keeps_text_order_and_missing_tokens(raw):
     assert rows[4].transfer is None and rows[4].discharge == "x"
 
 
+def test_audit_and_positions_of_rows_read_from_files(raw):
+    from tidegauge.operators.audit import audit
+    from tidegauge.operators.ordered import add_positions
+
+    found = audit(raw)
+    codes = {r.code: r for r in found.findings.collect()}
+    assert codes["INVALID_DATES"].examples == ["not a date"]
+    assert codes["DUPLICATE_DATES"].affected_rows == 2
+    assert {"EMPTY_ROWS", "NON_CHRONOLOGICAL_ORDER", "MISSING_CALENDAR_DATES"} <= set(codes)
+    first = found.evidence.orderBy(SRC_ROW).first()
+    assert first.issue_codes == "DUPLICATE_DATES"
+    dated = raw.withColumn("date", F.to_date(F.expr("try_to_date(date)")))
+    placed = add_positions(dated, SeriesSpec()).orderBy("_pos").collect()
+    assert [r["_pos"] for r in placed] == list(range(1, 7))
+    assert [r.intake for r in placed[:2]] == ["1,000", "7"]
+
+
 def test_header_rules(spark):
     assert readers.canonical_name("﻿  Total   load ** ") == "Total load"
     df = spark.createDataFrame([("1", "2")], ["a", "a*"])

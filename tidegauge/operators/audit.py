@@ -101,11 +101,12 @@ class _Check:
     flag: Column
 
 
-def critical_findings(df: DataFrame, spec: SeriesSpec) -> list[tuple]:
-    """Structural problems that make the row checks pointless."""
-    if df.isEmpty():
-        return [("critical", "structure", "EMPTY_DATASET",
-                 "The dataset contains no observations.", 0, [], [])]
+EMPTY = ("critical", "structure", "EMPTY_DATASET",
+         "The dataset contains no observations.", 0, [], [])
+
+
+def schema_findings(df: DataFrame) -> list[tuple]:
+    """Schema problems that make the row checks pointless. Runs no job."""
     names = [c.strip() for c in df.columns]
     repeated = sorted({c for c in names if names.count(c) > 1})
     if repeated:
@@ -352,11 +353,11 @@ def audit(
     """
     spark = df.sparkSession
     keys = list(spec.keys)
-    structural = critical_findings(df, spec)
-    if structural:
-        return _structural(spark, structural, spec)
+    structural = schema_findings(df)
+    largest = 0 if structural else largest_series(df, spec)
+    if not largest:
+        return _structural(spark, structural or [EMPTY], spec)
 
-    largest = largest_series(df, spec)
     typed = _typed(df, spec)
     rows = typed.withColumn("_no_date", F.col(spec.date).isNull())
     days = (

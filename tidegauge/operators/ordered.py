@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.functions.scalars import percent_change
 from tidegauge.spec import SRC_ROW, STOCK_A, STOCK_B, SeriesSpec
@@ -36,13 +37,18 @@ def add_positions(
 ) -> DataFrame:
     """Row number in (date, source row) order without ordering a whole series.
 
-    ``bucket`` is a monotone function of the source row; its groups must be small.
+    ``bucket`` is a monotone function of the source row; its groups must be small. By
+    default it is a range of row numbers, or the file block of a row read from files.
     Offsets are summed over buckets within a date, then over dates within a series,
     so every window sees either one bucket, the buckets of one date, or one calendar.
     """
     keys = list(spec.keys)
     if bucket is None:
-        bucket = F.floor(F.col(SRC_ROW) / CHUNK_ROWS)
+        kind = df.schema[SRC_ROW].dataType
+        if isinstance(kind, T.StructType):
+            bucket = F.struct(*[F.col(SRC_ROW).getField(n) for n in kind.names[:-1]])
+        else:
+            bucket = F.floor(F.col(SRC_ROW) / CHUNK_ROWS)
     far = F.lit("9999-12-31").cast("date")
     placed = df.withColumns(
         {"_d": F.coalesce(F.col(spec.date), far), "_b": bucket}
