@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import sys
 import types
+import unicodedata
 from collections.abc import Callable, Iterator
 
 #: Chunks kept in each of the two generations of a worker's memory.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: Longer chunks are worked out each time, so that the memory's bytes are bounded too.
 LONGEST_KEY = 64
 
@@ -46,6 +47,14 @@ class Memo(dict):
         return value
 
 
+class Unassigned(Exception):
+    """A text holds a code point of which pattern engines may think differently."""
+
+
+def has_unassigned(piece: str) -> bool:
+    return any(unicodedata.category(c) == "Cn" for c in piece)
+
+
 def cut(text: str) -> list[str]:
     """Chunks of ``text``: the first is literal, one that starts with a line feed is literal,
     any other stands for itself after one space."""

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegauge.llm import embedding, minhash, quality, toxicity
+from tidegauge.llm import bpe, chat, counts, embedding, licenses, minhash, packing, quality, substring, toxicity
 from tidegauge.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +25,40 @@ def query(name: str, sql: str | None = None):
     return record
 
 
+CHAT_SQL = r"""
+WITH c AS (SELECT conv_id AS pair_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
+           WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+last AS (SELECT pair_id, max(turn) AS last_turn, arg_max(text, turn) AS last_text FROM c GROUP BY pair_id),
+b AS (SELECT c.pair_id, c.turn, c.role, c.text,
+             CASE WHEN c.turn = l.last_turn AND o.last_text IS NOT NULL THEN o.last_text ELSE c.text END AS other
+      FROM c JOIN last l ON l.pair_id = c.pair_id LEFT JOIN last o ON o.pair_id = xor(c.pair_id, CAST(1 AS BIGINT))),
+d AS (SELECT *, min(CASE WHEN text <> other THEN turn END) OVER (PARTITION BY pair_id) AS differs,
+             '<|' || role || '|>' || chr(10) AS head FROM b),
+r AS (SELECT *, head || text || '<|end|>' || chr(10) AS one, head || other || '<|end|>' || chr(10) AS two,
+             differs IS NULL OR turn < differs AS shared FROM d),
+s AS (SELECT *, sum(CASE WHEN shared THEN 0 ELSE length(one) END) OVER w AS end1,
+             sum(CASE WHEN shared THEN 0 ELSE length(two) END) OVER w AS end2
+      FROM r WINDOW w AS (PARTITION BY pair_id ORDER BY turn))
+SELECT pair_id, CASE WHEN min(differs) IS NULL THEN 'equal' ELSE 'pair' END AS status,
+       count(*) FILTER (shared) AS n_prompt_turns, count(*) AS n_chosen_turns, count(*) AS n_rejected_turns,
+       coalesce(string_agg(one, '' ORDER BY turn) FILTER (shared), '') AS prompt,
+       coalesce(string_agg(one, '' ORDER BY turn) FILTER (NOT shared), '') AS chosen,
+       coalesce(string_agg(two, '' ORDER BY turn) FILTER (NOT shared), '') AS rejected,
+       coalesce(string_agg(CAST(CAST(end1 - length(one) + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(end1 AS BIGINT) AS VARCHAR), ',' ORDER BY turn)
+                FILTER (NOT shared AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg(CAST(CAST(end2 - length(two) + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(end2 AS BIGINT) AS VARCHAR), ',' ORDER BY turn)
+                FILTER (NOT shared AND role = 'assistant'), '') AS rejected_mask
+FROM s GROUP BY pair_id
+"""
+
+
+@query("op1_preference_format", CHAT_SQL)
+def _(spark, sf_dir):
+    pairs = chat.format_preferences(*chat.neighbour_pairs(table(spark, sf_dir, "conversations")))
+    written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return pairs.withColumns({c: written(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+
+
 @query("op2_minhash_near_dedup")
 def _(spark, sf_dir):
     config = minhash.SketchConfig(words=2, percent=80)
@@ -39,14 +75,14 @@ def _(spark, sf_dir):
 QUALITY_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 pos AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
 win AS (SELECT r, i, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM pos WINDOW o AS (PARTITION BY r ORDER BY i)),
 twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM win WHERE c IS NOT NULL),
 inside AS (SELECT DISTINCT r, i + k AS at FROM twice, (VALUES (0), (1), (2)) AS v(k) WHERE n >= 2),
 reps AS (SELECT r, count(*) AS n_repeat_words FROM inside GROUP BY r),
 m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
-             CAST(coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS BIGINT) AS word_chars,
+             CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
              CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
              CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
@@ -73,3 +109,40 @@ def _(spark, sf_dir):
 @query("op7_embedding_near_dedup")
 def _(spark, sf_dir):
     return embedding.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_byte_bpe")
+def _(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return bpe.digests(decoded)
+
+
+@query("op6_substring_dedup")
+def _(spark, sf_dir):
+    cut = substring.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text")).where("removed_spans IS NOT NULL")
+    field = lambda name: F.transform("removed_spans", lambda s: s[name])
+    return cut.select(
+        "doc_id",
+        field("first_doc").alias("first_doc_ids"),
+        field("start").alias("starts"),
+        field("end").alias("ends"),
+        F.aggregate(field("words"), F.lit(0).cast("long"), lambda a, x: a + x).alias("removed_words"),
+        "text",
+    )
+
+
+@query("op8_packing")
+def _(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_token_counts")
+def _(spark, sf_dir):
+    return counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
+
+
+@query("op10_license_scan")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(docs))
