@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import unicodedata
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -26,12 +27,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.chunks import Memo, Unassigned, has_unassigned, is_closed, literal, mapped, once
+from tidegauge.llm.chunks import ChunkEncoder, Unassigned, has_unassigned, once
 from tidegauge.llm.tables import texts
 
 
 #: Stored prefixes, pairs of tokens, and bytes of a stored prefix that a worker keeps at most.
-PREFIXES, PAIRS, LONGEST_PREFIX = 300_000, 100_000, 48
+PREFIXES, PAIRS, LONGEST_PREFIX = 300_000, 400_000, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,7 +49,7 @@ class Vocabulary:
         #: Ends of tokens: a stretch that isn't one can't be the end of a token either when it grows.
         self.ends = {token[k:] for token in ranks for k in range(len(token))}
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._joins = Memo(self._survives, PAIRS)
+        self._joins: dict[int, bool] = {}
         self._last: dict[bytes, int] = {}
 
     def halves(self, token: int) -> tuple[int, int] | None:
@@ -74,15 +75,20 @@ class Vocabulary:
 
     def joins(self, left: int, right: int) -> bool:
         """Whether the encoding of two tokens' joined bytes is these two tokens."""
-        return self._joins[(left, right)]
-
-    def _survives(self, pair: tuple[int, int]) -> bool:
+        key = left << 32 | right
+        known = self._joins.get(key)
+        if known is None:
+            if len(self._joins) >= PAIRS:
+                self._joins.clear()
+            known = self._joins[key] = self.reachable(right) and self._survives(left, right)
+        return known
+
+    def _survives(self, left: int, right: int) -> bool:
         """Undo the later merge at the border, step by step: no earlier merge may cross it.
 
         A merge inside the left token wins ties of rank against one across the border, as it stands
         further left; one inside the right token loses them.
         """
-        left, right = pair
         ranks, tokens = self.ranks, self.tokens
         after = None  # the merge, undone last, that a crossing merge would have to come before
         while True:
@@ -99,15 +105,18 @@ class Vocabulary:
 
     def last_at(self, data: bytes, end: int, last: Sequence[int]) -> int:
         """The last token of ``data[:end]``, given those of all shorter prefixes (``last[k]``)."""
-        ranks, ends = self.ranks, self.ends
+        rank_of, known = self.ranks.get, self._joins.get
         for start in range(end - 1, -1, -1):
             stretch = data[start:end]
-            if stretch not in ends:
-                break
-            token = ranks.get(stretch)
-            if token is None or not self.reachable(token):
-                continue
-            if start == 0 or self._joins[(last[start], token)]:
+            token = rank_of(stretch)
+            if token is None:
+                if stretch not in self.ends:
+                    break
+            elif start:
+                joined = known(last[start] << 32 | token)
+                if joined or (joined is None and self.joins(last[start], token)):
+                    return token
+            elif self.reachable(token):
                 return token
         raise ValueError("the vocabulary lacks single bytes")
 
@@ -186,26 +195,22 @@ class TextEncoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str = public_tokenizers.PATTERN):
         self.vocabulary, self.find = vocabulary, regex.compile(pattern).findall
-        self.pieces = Memo(self._piece)
-        self.chunks = Memo(lambda c: self._whole(literal(c)) if is_closed(c) else None)
+        self.known = ChunkEncoder(self.find, self._piece)
 
     def _ids(self, piece: str) -> bytes:
-        return np.array(self.vocabulary.encode(piece.encode("utf-8", "replace")), "<u4").tobytes()
+        return array("I", self.vocabulary.encode(piece.encode("utf-8", "replace"))).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii() and has_unassigned(piece):
             raise Unassigned
         return self._ids(piece)
 
-    def _whole(self, stretch: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(stretch)))
-
     def __call__(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         try:
-            return b"".join(mapped(text, self.chunks, self._whole))
+            return self.known(text)
         except Unassigned:
             return b"".join(map(self._ids, self._cut_plainly(text)))
 

@@ -16,6 +16,8 @@ from collections.abc import Callable, Iterator
 REMEMBERED = 200_000
 #: Longer chunks are worked out each time, so that the memory's bytes are bounded too.
 LONGEST_KEY = 64
+#: Marks that follow a word as a piece of their own.
+END_MARKS = frozenset(".,;:!?")
 
 
 def once(name: str, build: Callable):
@@ -100,3 +102,27 @@ def mapped(text: str, memo: Memo, whole: Callable[[str], bytes]) -> Iterator:
         joined = " ".join(chunks[i : j + 1]).replace(" \n", "\n")
         yield whole(joined if i == 0 or chunks[i][:1] == "\n" else " " + joined)
         i = j + 1
+
+
+class ChunkEncoder:
+    """Encodes whole texts by a splitting pattern and an encoding of single pieces.
+
+    ``find`` gives the pieces of a stretch of text, ``piece`` the encoding of one piece.
+    """
+
+    def __init__(self, find: Callable[[str], list[str]], piece: Callable[[str], bytes]):
+        self.find, self.piece = find, piece
+        self.pieces, self.chunks = Memo(piece), Memo(self._chunk)
+
+    def _chunk(self, chunk: str) -> bytes | None:
+        if chunk.isalpha():  # one piece with the space before it
+            return self.piece(" " + chunk)
+        if chunk[-1:] in END_MARKS and chunk[:-1].isalpha():
+            return self.chunks[chunk[:-1]] + self.pieces[chunk[-1]]
+        return self.stretch(literal(chunk)) if is_closed(chunk) else None
+
+    def stretch(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+
+    def __call__(self, text: str) -> bytes:
+        return b"".join(mapped(text, self.chunks, self.stretch))

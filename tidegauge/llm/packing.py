@@ -17,18 +17,21 @@ gives no pieces. Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.chunks import Memo, Unassigned, has_unassigned, is_closed, literal, mapped, once
+from tidegauge.llm.chunks import ChunkEncoder, Unassigned, has_unassigned, once
 from tidegauge.llm.tables import texts
 from tidegauge.session import cut_lineage
 
@@ -48,32 +51,34 @@ class PreTokenEncoder:
 
     The library cuts texts by the same pattern; where the two read a character differently, which only
     code points that are unassigned here can cause, the library encodes the whole text. Special
-    tokens inside a text cut it, as they do there.
+    tokens inside a text cut it, as they do there. If the file's merges stand in the order of their ids,
+    pieces are merged by ``tiktoken`` with the ids as ranks, which is the same and faster.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.specials = {t.content: i for i, t in self.library.get_added_tokens_decoder().items() if t.special}
-        self.pieces = Memo(self._piece)
-        self.chunks = Memo(lambda c: self._whole(literal(c)) if is_closed(c) else None)
+        ranks = _ranks(path)
+        if ranks:
+            encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.merge = lambda piece: array("I", encoding._encode_single_piece(piece)).tobytes()
+        else:
+            self.merge = self._ids
+        self.known = ChunkEncoder(regex.compile(public_tokenizers.PATTERN).findall, self._piece)
 
     def _ids(self, text: str) -> bytes:
-        return _as_bytes(self.library.encode(text, add_special_tokens=False).ids)
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii() and has_unassigned(piece):
             raise Unassigned
-        return self._ids(piece)
-
-    def _whole(self, stretch: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(stretch)))
+        return self.merge(piece)
 
     def _plain(self, text: str) -> bytes:
         try:
-            return b"".join(mapped(text, self.chunks, self._whole)) if text else b""
+            return self.known(text) if text else b""
         except Unassigned:
             return self._ids(text)
 
@@ -83,11 +88,22 @@ class PreTokenEncoder:
         if not any(s in text for s in self.specials):
             return self._plain(text)
         cut = regex.split("(" + "|".join(map(regex.escape, self.specials)) + ")", text)
-        return b"".join(_as_bytes([self.specials[x]]) if x in self.specials else self._plain(x) for x in cut)
+        return b"".join(array("I", [self.specials[x]]).tobytes() if x in self.specials else self._plain(x) for x in cut)
 
 
-def _as_bytes(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+def _ranks(path: str) -> dict[bytes, int]:
+    """Bytes of every token with its id, or nothing where ids don't follow the order of the merges."""
+    with open(path, encoding="utf-8") as text:
+        model = json.load(text)["model"]
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    letters = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    vocabulary = model["vocab"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    order = [vocabulary.get(a + b, -1) for a, b in pairs]
+    if order != list(range(256, 256 + len(order))) or any(vocabulary.get(c, 256) > 255 for c in letters):
+        return {}
+    return {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if i < 256 + len(order)}
 
 
 class Packer:
@@ -174,7 +190,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, most_open: int = OPEN
     """One row per piece: its document and place there, the crc32 of its ids (little-endian unsigned
     32-bit), the document's tokens with the end id, the sequence and the place in it."""
 
-    end = _as_bytes([end_id])
+    end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = once(f"pack:{path}", lambda: PreTokenEncoder(path))
