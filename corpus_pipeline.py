@@ -17,26 +17,24 @@ from tidegauge.llm.tables import table
 from tidegauge.session import shared_folder
 
 
-def _only(docs: DataFrame, kept_ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among the ids of ``kept_ids``."""
-    kept = kept_ids.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the policy ``prose`` keeps."""
-    return _only(docs, quality.verdicts(docs).where("kept"))
+    return quality.passing(docs, quality.POLICIES["prose"])
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted to be toxic."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, toxicity.score(docs, model).where("predicted = 0"))
+    return toxicity.passing(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates by five-word shingles."""
-    return _only(docs, minhash.near_duplicates(docs, minhash.SketchConfig(words=5, percent=80)).where("kept"))
+    """The document with the smallest id of each group of near-duplicates by five-word shingles.
+
+    Documents without an id are kept; of repeated rows of one id, one stays.
+    """
+    found = minhash.near_duplicates(docs, minhash.SketchConfig(words=5, percent=80))
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

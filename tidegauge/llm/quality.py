@@ -9,7 +9,7 @@ null ``doc_id`` stays null. Repeated rows give repeated results; other columns a
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +24,6 @@ SYMBOLS = b"#*$%&|<>"
 SLICE = 1 << 20
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower")
-LEDGER = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
 
 #: Bit, name and failure condition of each rule. A bit is never given to another rule.
 RULES: Mapping[str, tuple[int, str]] = {
@@ -102,13 +101,16 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [measure(t.as_py()) for t in batch["text"]]
+def measured(text: Column) -> Column:
+    """A struct of the measurements of a text column."""
+
+    @F.arrow_udf("struct<" + ",".join(f"{m}:bigint" for m in MEASURES) + ">")
+    def run(batch: pa.Array) -> pa.Array:
+        rows = [measure(t.as_py()) for t in batch]
         columns = zip(*rows) if rows else [[]] * len(MEASURES)
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", *MEASURES]
-        )
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(MEASURES))
+
+    return run(text)
 
 
 def failed_bits(rules: Mapping[str, tuple[int, str]] = RULES) -> Column:
@@ -120,7 +122,8 @@ def failed_bits(rules: Mapping[str, tuple[int, str]] = RULES) -> Column:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """One row per document: measurements and ``failed_bits``."""
-    return texts(docs).mapInArrow(_measured, LEDGER).withColumn("failed_bits", failed_bits())
+    rows = texts(docs).select("doc_id", measured(F.col("text")).alias("m"))
+    return rows.select("doc_id", "m.*").withColumn("failed_bits", failed_bits())
 
 
 def apply_policy(entries: DataFrame, policy: Policy) -> DataFrame:
@@ -155,3 +158,10 @@ def verdicts(docs: DataFrame, policy: Policy = POLICIES["prose"]) -> DataFrame:
     base = F.col("failed_bits").bitwiseAND(F.lit(POLICIES["base"].mask).cast("long")) != 0
     judged = apply_policy(ledger(docs).withColumn("base_failed", base), policy)
     return judged.withColumn("kept", F.col("kept") & ~F.col("base_failed"))
+
+
+def passing(docs: DataFrame, policy: Policy = POLICIES["prose"]) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, that a policy keeps; no shuffle."""
+    rows = docs.select(F.struct("*").alias("row"), measured(F.col("text").cast("string")).alias("m"))
+    judged = rows.select("row", "m.*").withColumn("failed_bits", failed_bits())
+    return apply_policy(judged, policy).where("kept").select("row.*")

@@ -177,20 +177,30 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, config:
     return w, b
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document; one pass, no shuffle."""
+def scored(text: Column, model: ToxicityModel) -> Column:
+    """The score of a text column, between 0 and 1."""
     config, slots, weights, intercept = model.config, model.slots, model.weights, model.intercept
 
-    def scored(batches):
-        for batch in batches:
-            sums = np.array([weights[_slots(t.as_py(), slots, len(weights), config)].sum() for t in batch["text"]], np.float64)
-            p = 1.0 / (1.0 + np.exp(-np.clip(sums + intercept, -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(p)], names=["doc_id", "score"])
+    @F.arrow_udf("double")
+    def run(batch: pa.Array) -> pa.Array:
+        sums = np.array([weights[_slots(t.as_py(), slots, len(weights), config)].sum() for t in batch], np.float64)
+        return pa.array(1.0 / (1.0 + np.exp(-np.clip(sums + intercept, -500, 500))))
+
+    return run(text)
+
 
-    out = texts(docs).mapInArrow(scored, "doc_id long, score double")
+def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; one pass, no shuffle."""
+    out = texts(docs).select("doc_id", scored(F.col("text"), model).alias("score"))
     return out.select(
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def passing(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, that score under ``least``; no shuffle."""
+    rows = docs.select(F.struct("*").alias("row"), scored(F.col("text").cast("string"), model).alias("score"))
+    return rows.where(F.col("score") < least).select("row.*")
