@@ -85,6 +85,14 @@ def test_exact_quantiles_on_hot_groups(spark):
         assert [got[r.series][n] for n in probs] == pytest.approx(r.q, abs=1e-9)
 
 
+def test_exact_quantiles_on_small_groups(spark):
+    df = spark.range(600).select((F.col("id") % 37 % 11).alias("g"), (F.xxhash64("id") % 1000 / 7.0).alias("x"))
+    probs = {"a": 0.1, "b": 0.5, "c": 0.9, "d": 0.25}
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "x", probs).collect()}
+    for r in df.groupBy("g").agg(F.percentile("x", F.array(*map(F.lit, probs.values()))).alias("q")).collect():
+        assert [got[r.g][n] for n in probs] == pytest.approx(r.q, abs=1e-9)
+
+
 def test_positions_and_chunks_equal_plain_windows(spark):
     df, spec = hot(spark), SeriesSpec.of("series")
     placed = add_positions(df, spec, bucket=F.floor(F.col(SRC_ROW) / 100))
@@ -93,19 +101,20 @@ def test_positions_and_chunks_equal_plain_windows(spark):
     ).where("_rn <> _pos")
     assert wrong.isEmpty() and placed.count() == 6000
     load, net = F.col("stock_a") + F.col("stock_b"), F.col("transfer") - F.col("discharge")
-    plain = expected_metrics(df, spec, load, net, 10)
-    chunked = expected_metrics(df, spec, load, net, 10, chunk_rows=40, one_task_rows=5).select(plain.columns)
+    plain = expected_metrics(df, spec, load, net)
+    chunked = expected_metrics(df, spec, load, net, chunk_rows=40).select(plain.columns)
     assert plain.exceptAll(chunked).isEmpty() and chunked.exceptAll(plain).isEmpty()
 
 
-def test_robust_limits_agree_on_both_paths(spark):
+def test_robust_limits_are_exact(spark):
     df, spec = hot(spark), SeriesSpec.of("series")
-    a = robust_limits(df, spec, 10)
-    b = robust_limits(df, spec, 10**9).select(a.columns)
-    rows = lambda d: sorted(tuple(map(float, r[1:])) for r in d.collect())
-    assert rows(a) == pytest.approx(rows(b)) if not rows(a) else all(
-        x == pytest.approx(y) for x, y in zip(rows(a), rows(b))
-    )
+    got = {r.series: r for r in robust_limits(df, spec).collect()}
+    middle = df.groupBy("series").agg(*[F.median(c).alias(c) for c in COUNTS]).collect()
+    for m in middle:
+        assert [got[m.series][f"_med_{c}"] for c in COUNTS] == [m[c] for c in COUNTS]
+        own = df.where(F.col("series") == m.series)
+        off = own.agg(*[F.median(F.abs(F.col(c) - F.lit(m[c]))).alias(c) for c in COUNTS]).first()
+        assert [got[m.series][f"_mad_{c}"] for c in COUNTS] == [off[c] for c in COUNTS]
 
 
 def test_audit_is_quiet_on_clean_metrics_and_loud_on_noise(panel, spark):

@@ -185,10 +185,10 @@ def _(spark, sf):
 
 
 RESIDUAL = PRED + """, oof AS (SELECT *, CAST(fold AS INTEGER) AS k FROM pred WHERE fold <> 'holdout' AND model = 'seven_day_drift'),
-  cuts AS (SELECT f.k, quantile_cont(actual - fc, 0.1) AS q10, quantile_cont(actual - fc, 0.5) AS q50, quantile_cont(actual - fc, 0.9) AS q90
-    FROM (SELECT unnest([2, 3, 4, 5, 6]) AS k) f JOIN oof ON oof.k < f.k GROUP BY 1),
+  cuts AS (SELECT oof.series, f.k, quantile_cont(actual - fc, 0.1) AS q10, quantile_cont(actual - fc, 0.5) AS q50, quantile_cont(actual - fc, 0.9) AS q90
+    FROM (SELECT unnest([2, 3, 4, 5, 6]) AS k) f JOIN oof ON oof.k < f.k GROUP BY 1, 2),
   band AS (SELECT t.*, fc + q10 AS lo, fc + q50 AS mid, fc + q90 AS hi FROM (
-    SELECT *, CASE WHEN fold = 'holdout' THEN 6 ELSE CAST(fold AS INTEGER) END AS k FROM pred WHERE model = 'seven_day_drift') t JOIN cuts USING (k))"""
+    SELECT *, CASE WHEN fold = 'holdout' THEN 6 ELSE CAST(fold AS INTEGER) END AS k FROM pred WHERE model = 'seven_day_drift') t JOIN cuts USING (series, k))"""
 
 
 def _banded(spark, sf):

@@ -19,7 +19,7 @@ from tidegauge.functions.scalars import (
     parse_date,
 )
 from tidegauge.operators.clean import out_of_order
-from tidegauge.operators.ordered import ONE_TASK_ROWS, expected_metrics, largest_series
+from tidegauge.operators.ordered import expected_metrics
 from tidegauge.operators.quantiles import attach, exact_quantiles
 from tidegauge.spec import (
     ANOMALY_DISCHARGE,
@@ -67,7 +67,8 @@ class AuditConfig:
     relative_tolerance: float = 1e-6
     outlier_threshold: float | None = 8.0
     strict_warnings: bool = False
-    maximum_flagged_rows: int = 10_000
+    #: A display limit of evidence rows per series, for callers that want one.
+    maximum_flagged_rows: int | None = None
 
     def __post_init__(self) -> None:
         tolerances = (
@@ -77,7 +78,7 @@ class AuditConfig:
             raise ValueError("Tolerances must be non-negative.")
         if self.outlier_threshold is not None and self.outlier_threshold <= 0:
             raise ValueError("outlier_threshold must be positive or None.")
-        if self.maximum_flagged_rows < 1:
+        if self.maximum_flagged_rows is not None and self.maximum_flagged_rows < 1:
             raise ValueError("maximum_flagged_rows must be positive.")
 
 
@@ -139,27 +140,12 @@ def _typed(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     )
 
 
-def robust_limits(rows: DataFrame, spec: SeriesSpec, largest: int) -> DataFrame:
+def robust_limits(rows: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Median, median absolute deviation and finite count per series and count column.
 
-    Small series use the built-in exact median. Larger ones use sketch-bracketed
-    selection, which never holds the values of a series in one task.
+    Sketch-bracketed selection: exact, and no task holds the values of a series.
     """
     keys = list(spec.keys)
-    if largest <= ONE_TASK_ROWS:
-        middle = rows.groupBy(*keys).agg(
-            *[F.median(finite(F.col(c))).alias(f"_med_{c}") for c in COUNTS],
-            *[F.count(finite(F.col(c))).alias(f"_fin_{c}") for c in COUNTS],
-        )
-        spread = attach(rows.select(*keys, *COUNTS), middle, keys).groupBy(*keys).agg(
-            *[
-                F.median(F.abs(finite(F.col(c)) - F.col(f"_med_{c}"))).alias(f"_mad_{c}")
-                for c in COUNTS
-            ]
-        )
-        if keys:
-            return middle.join(spread, keys)
-        return attach(middle, spread, [])
     cells = rows.select(
         *keys,
         F.inline(
@@ -347,15 +333,13 @@ def audit(
 ) -> Audit:
     """Run every applicable check per series.
 
-    One small job measures the largest series, which decides between plain windows
-    and their chunked equivalents. The rest is lazy: a wide conditional aggregate for
-    the findings and a bounded sort for the evidence.
+    Lazy but for a look whether there are rows: a wide conditional aggregate for the
+    findings, chunked windows for what depends on order, and the evidence of every row.
     """
     spark = df.sparkSession
     keys = list(spec.keys)
     structural = schema_findings(df)
-    largest = 0 if structural else largest_series(df, spec)
-    if not largest:
+    if structural or df.isEmpty():
         return _structural(spark, structural or [EMPTY], spec)
 
     typed = _typed(df, spec)
@@ -372,14 +356,14 @@ def audit(
     repeated = days.where("_rows > 1").select(*spec.index, F.col("_rows").alias("_same_day"))
     rows = rows.join(repeated, list(spec.index), "left")
     if config.outlier_threshold is not None:
-        rows = attach(rows, robust_limits(typed, spec, largest), keys)
+        rows = attach(rows, robust_limits(typed, spec), keys)
     ordered_metrics = {f"_given_{c}" for c in (GROWTH, ROLL7, ROLL14, STREAK)}
     if config.check_stock_flow or (
         config.check_derived and ordered_metrics & set(typed.columns)
     ):
         rows = expected_metrics(
             rows, spec, F.col(STOCK_A) + F.col(STOCK_B),
-            F.col(TRANSFER) - F.col(DISCHARGE), largest,
+            F.col(TRANSFER) - F.col(DISCHARGE),
         )
     checks = _checks(rows, config)
     flagged = rows.withColumns({f"_f{i}": c.flag for i, c in enumerate(checks)})
@@ -406,14 +390,11 @@ def audit(
             )
         ),
     )
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(SRC_ROW))
-    evidence = (
-        flagged.withColumn("issue_codes", codes)
-        .where(F.length("issue_codes") > 0)
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") <= config.maximum_flagged_rows)
-        .select(*keys, SRC_ROW, "_source.*", "issue_codes")
-    )
+    evidence = flagged.withColumn("issue_codes", codes).where(F.length("issue_codes") > 0)
+    if config.maximum_flagged_rows is not None:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(SRC_ROW))
+        evidence = evidence.withColumn("_rank", rank).where(F.col("_rank") <= config.maximum_flagged_rows)
+    evidence = evidence.select(*keys, SRC_ROW, "_source.*", "issue_codes")
     return Audit(findings, summary, evidence, spec)
 
 
@@ -476,7 +457,9 @@ def _summary(joined: DataFrame, findings: DataFrame, spec: SeriesSpec, config: A
         F.coalesce("expected_daily_rows", F.lit(0)).alias("expected_daily_rows"),
         F.coalesce("missing_calendar_dates", F.lit(0)).alias("missing_calendar_dates"),
         "flagged_row_count",
-        (F.col("flagged_row_count") > config.maximum_flagged_rows).alias("flagged_rows_truncated"),
+        F.coalesce(
+            F.col("flagged_row_count") > F.lit(config.maximum_flagged_rows), F.lit(False)
+        ).alias("flagged_rows_truncated"),
     )
     return _graded(attach(base, graded, keys))
 

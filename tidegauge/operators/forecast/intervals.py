@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.operators.forecast.evaluate import FORECAST
-from tidegauge.operators.ordered import ONE_TASK_ROWS
 from tidegauge.operators.quantiles import attach, exact_quantiles
 from tidegauge.spec import SeriesSpec
 
@@ -35,26 +34,21 @@ def residual_intervals(
     """Attach residual quantiles of earlier folds to rows of later folds.
 
     ``later`` lists fold labels in time order; a fold sees the residuals of the folds
-    before it. Rows of the first fold have no earlier residuals and are dropped.
+    before it, of its own series. Rows without earlier residuals are dropped.
     """
     position = {label: i for i, label in enumerate(later)}
     place = F.lit(None).cast("int")
     for label, i in position.items():
         place = F.when(F.col("fold") == label, F.lit(i)).otherwise(place)
     spread = (
-        oof.select(place.alias("_at"), (F.col("actual_value") - F.col(FORECAST)).alias("_gap"))
+        oof.select(*spec.keys, place.alias("_at"), (F.col("actual_value") - F.col(FORECAST)).alias("_gap"))
         .where("_at is not null")
         .withColumn("_for", F.explode(F.sequence(F.col("_at") + 1, F.lit(len(later)))))
         .where(F.col("_for") < len(later))
     )
-    if oof.count() <= ONE_TASK_ROWS:
-        cuts = spread.groupBy("_for").agg(
-            *[F.percentile("_gap", p).alias(n) for n, p in QUANTILES.items()]
-        )
-    else:
-        cuts = exact_quantiles(spread, ["_for"], "_gap", QUANTILES).drop("n")
-    # One row of cuts per fold: a handful of rows.
-    rows = target.withColumn("_for", place).join(F.broadcast(cuts), "_for")
+    by = [*spec.keys, "_for"]
+    cuts = exact_quantiles(spread, by, "_gap", QUANTILES).drop("n")
+    rows = target.withColumn("_for", place).join(cuts, by)
     interval = ordered_interval(*[F.col(FORECAST) + F.col(q) for q in QUANTILES])
     return rows.drop(*BOUNDS).select("*", interval.alias("_i")).select(
         *[c for c in rows.columns if c not in (*BOUNDS, "_for", *QUANTILES)], "_i.*"

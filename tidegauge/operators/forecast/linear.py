@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.operators.ordered import ONE_TASK_ROWS
 from tidegauge.operators.quantiles import exact_quantiles
 from tidegauge.spec import CapacityError
 
@@ -56,18 +55,16 @@ class FoldSums:
         return mean, cov, target
 
 
-def _column_facts(train: DataFrame, features: Sequence[str], rows: int) -> dict[tuple[int, str], dict]:
+def _column_facts(train: DataFrame, features: Sequence[str]) -> dict[tuple[int, str], dict]:
     cells = ", ".join(f"named_struct('feature', '{c}', 'x', {c})" for c in features)
     long = train.selectExpr("fold", f"inline(array({cells}))")
     facts = long.groupBy("fold", "feature").agg(
         F.avg(F.col("x").isNull().cast("double")).alias("missing"),
         F.min("x").alias("low"),
         F.max("x").alias("high"),
-        *([F.median("x").alias("median")] if rows <= ONE_TASK_ROWS else []),
     )
-    if rows > ONE_TASK_ROWS:
-        middle = exact_quantiles(long, ["fold", "feature"], "x", {"median": 0.5}).drop("n")
-        facts = facts.join(middle, ["fold", "feature"], "left")
+    middle = exact_quantiles(long, ["fold", "feature"], "x", {"median": 0.5}).drop("n")
+    facts = facts.join(middle, ["fold", "feature"], "left")
     return {(r.fold, r.feature): r.asDict() for r in facts.collect()}
 
 
@@ -90,7 +87,7 @@ def fold_sums(train: DataFrame, features: Sequence[str], target: str) -> dict[in
     """Cross-product sums for every fold of ``train`` (columns: fold, features, target)."""
     features = list(features)
     train = train.select("fold", *features, target)
-    facts = _column_facts(train, features, train.count())
+    facts = _column_facts(train, features)
     folds = sorted({fold for fold, _ in facts})
     centers = {
         f: np.array([facts[f, c]["median"] if facts[f, c]["median"] is not None else 0.0

@@ -14,24 +14,12 @@ from pyspark.sql import types as T
 from tidegauge.functions.scalars import percent_change
 from tidegauge.spec import SRC_ROW, STOCK_A, STOCK_B, SeriesSpec
 
-# A series up to this many rows is ordered in one task.
-ONE_TASK_ROWS = 2_000_000
 CHUNK_ROWS = 200_000
 _HALO = 13
 
 EXPECTED = ("_x_growth", "_x_roll7", "_x_roll14", "_x_streak", "_prev_a", "_prev_b")
 
 
-def largest_series(df: DataFrame, spec: SeriesSpec) -> int:
-    """Row count of the largest series, as one aggregate number."""
-    counts = df.groupBy(*spec.keys).count()
-    return counts.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-
-
-def _ordering(spec: SeriesSpec) -> list[Column]:
-    return [F.col(spec.date).asc_nulls_last(), F.col(SRC_ROW).asc()]
-
-
 def add_positions(
     df: DataFrame, spec: SeriesSpec, bucket: Column | None = None, name: str = "_pos"
 ) -> DataFrame:
@@ -99,18 +87,11 @@ def _in_window(df: DataFrame, w, load: Column, net: Column) -> DataFrame:
 
 
 def expected_metrics(
-    df: DataFrame, spec: SeriesSpec, load: Column, net: Column, largest: int,
-    chunk_rows: int = CHUNK_ROWS, one_task_rows: int = ONE_TASK_ROWS,
+    df: DataFrame, spec: SeriesSpec, load: Column, net: Column, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Growth, rolling means, streak and previous stocks of rows in stable date order."""
     keys = list(spec.keys)
     position = F.col("_pos")
-    if largest <= one_task_rows:
-        w = Window.partitionBy(*keys).orderBy(*_ordering(spec))
-        out = _in_window(df.withColumn("_pos", F.row_number().over(w)), w, load, net)
-        streak = position - F.coalesce(F.col("_still"), F.lit(0))
-        return out.withColumn("_x_streak", streak.cast("double")).drop("_pos", "_still")
-
     placed = add_positions(df, spec).withColumn(
         "_own", F.floor((position - 1) / chunk_rows)
     )

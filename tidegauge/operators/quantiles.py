@@ -36,7 +36,9 @@ def exact_quantiles(
     A mergeable sketch first brackets each wanted rank; its rank error is bounded by
     ``1 / accuracy``. A second pass counts rows outside the brackets as a whole and
     keeps counts per distinct value inside them, so the final ordering sees about
-    ``4 / accuracy`` of a group. The result is exact whatever the data.
+    ``4 / accuracy`` of a group. In a small group the neighbour that is interpolated with may
+    stand just outside a bracket, as the last or first of the rows counted as a whole, whose
+    ends are kept. The result is exact whatever the data.
     """
     keys = list(keys)
     names = list(probabilities)
@@ -63,7 +65,7 @@ def exact_quantiles(
     region = F.size(F.filter("_high", lambda h: h < F.col("_v")))
     tallied = (
         marked.groupBy(*keys, F.when(inside, F.col("_v")).alias("_kept"), region.alias("_region"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_at"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_at"), F.max("_v").alias("_top"))
     )
     whole = Window.partitionBy(*keys)
     upto = whole.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
@@ -73,10 +75,10 @@ def exact_quantiles(
     picks = []
     for name, p in probabilities.items():
         rank = F.lit(float(p)) * (F.col("_total") - 1)
-        picks += [
-            F.min(F.when(F.col("_cum") > F.floor(rank), F.col("_at"))).alias(f"_lo_{name}"),
-            F.min(F.when(F.col("_cum") > F.ceil(rank), F.col("_at"))).alias(f"_hi_{name}"),
-        ]
+        for side, k in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
+            # of rows counted as a whole, only the first or the last can be wanted
+            found = F.when(k == F.col("_cum") - F.col("_n"), F.col("_at")).otherwise(F.col("_top"))
+            picks.append(F.min(F.when(F.col("_cum") > k, found)).alias(f"_{side}_{name}"))
     chosen = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
     out = []
     for name, p in probabilities.items():

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidegauge.spec import CapacityError
+
 LOCAL_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -32,10 +34,13 @@ def local_session(cores: int | str = 8, app: str = "tidegauge", **conf: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test) gets a scratch folder of its own.
+    Only a local session without that setting (a test) gets a scratch folder of its own: on a
+    cluster, executors could not read each other's files there, so it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise CapacityError("Set spark.checkpoint.dir to a folder that all executors share.")
         folder = tempfile.mkdtemp(prefix="tidegauge-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

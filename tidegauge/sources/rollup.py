@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from tidegauge.spec import COUNTS, DATE, SeriesSpec
 
-# A dimension table up to this many bytes on disk is sent to every executor.
-BROADCAST_BYTES = 32 * 1024 * 1024
-
 
 def rollup_days(
     facts: DataFrame, keys: Mapping[str, Column], day: Column, measures: Mapping[str, Column]
@@ -41,14 +38,6 @@ def lineitem_measures() -> dict[str, Column]:
     }
 
 
-def _small_dimension(spark: SparkSession, path: str) -> bool:
-    """True when the files of a dimension are small enough to broadcast."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.getContentSummary(target).getLength() <= BROADCAST_BYTES
-
-
 def lineitem_daily(spark: SparkSession, sf_dir: str, by: str | None = None) -> tuple[DataFrame, SeriesSpec]:
     """Daily fixture from line items: one series, or a panel by flag, nation or supplier."""
     facts = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -58,10 +47,8 @@ def lineitem_daily(spark: SparkSession, sf_dir: str, by: str | None = None) -> t
     elif by == "supplier":
         keys = {"series": F.col("l_suppkey")}
     elif by == "nation":
-        path = f"{sf_dir}/supplier.parquet"
-        suppliers = spark.read.parquet(path).select("s_suppkey", "s_nationkey")
-        if _small_dimension(spark, path):
-            suppliers = F.broadcast(suppliers)
+        # adaptive execution broadcasts the dimension if it measures small
+        suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey")
         facts = facts.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         keys = {"series": F.col("s_nationkey").cast("long")}
     elif by is not None:
