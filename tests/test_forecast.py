@@ -238,3 +238,36 @@ def test_experiment_selects_without_the_holdout(source):
     assert run.oof.agg(F.max("forecast_origin_date")).first()[0] <= run.calendar.development_last
     assert X.comparison(run).where("holdout_mae is null").isEmpty()
     assert X.verify_predictions(run.predictions.select(*V.PREDICTION_COLUMNS), "persistence", "persistence")["champion_present"]
+
+
+def test_trees_stop_at_the_best_prefix_and_never_see_the_holdout(spark, source):
+    from tidegauge.operators.forecast import boosted as B
+    from tidegauge.operators.forecast import linear as L
+    from tidegauge.spec import SeriesSpec
+
+    prepared = P.prepare_forecast(source, SeriesSpec())
+    calendar = P.plan_calendar(prepared.frame, SeriesSpec(), prepared.config)
+    rows = P.assign_folds(prepared.frame, SeriesSpec(), [calendar.holdout, calendar.folds[-1]]).persist()
+    sums = L.fold_sums(rows.where("role = 'train'"), prepared.compact, P.CHANGE)
+    processors = {f: L.fit_processor(s, prepared.compact) for f, s in sums.items()}
+    config = B.BoostConfig(iterations=12, floor=6)
+    models = B.boost_folds(rows, processors, P.CHANGE, config)
+    walked = next(f for f in models if f)
+    assert 1 < B.trees_used(models[walked]) <= 12
+    assert B.trees_used(models[0]) >= 6
+    spoiled = rows.withColumn(P.CHANGE, F.when((F.col("fold") == 0) & (F.col("role") == "validation"), 1e6).otherwise(F.col(P.CHANGE)))
+    again = B.boost_folds(spoiled, processors, P.CHANGE, config)
+    assert again[0].stages[-1].toDebugString.split("\n", 1)[1] == models[0].stages[-1].toDebugString.split("\n", 1)[1]
+
+
+def test_only_shared_origins_are_ranked_and_short_series_are_named(spark):
+    from tidegauge.operators.forecast.smoothing import too_short
+    from tidegauge.spec import SeriesSpec
+
+    cells = [("a", "1", d, m, "") for d in range(3) for m in ("x", "y") if (d, m) != (2, "y")]
+    table = spark.createDataFrame(cells, "k string, fold string, forecast_origin_date int, model_name string, configuration string")
+    got = V.shared_origins(table, SeriesSpec.of("k"))
+    assert {(r.forecast_origin_date, r.model_name) for r in got.collect()} == {(d, m) for d in (0, 1) for m in ("x", "y")}
+    rows = spark.range(33).selectExpr("if(id < 20, 'long', 'short') AS k", "1 AS fold", "'train' AS role")
+    (short,) = too_short(rows, SeriesSpec.of("k")).collect()
+    assert (short.k, short.training_days) == ("short", 13)

@@ -245,14 +245,14 @@ def _full(f, c, k):
     _CORE, "flag",
 )
 def _(df, spec):
-    frame = P.prepare_forecast(df, spec, verify=False).frame
+    frame = P.prepare_forecast(df, spec).frame
     return frame.select(*spec.index, *_CORE, *P.CONTEXT)
 
 
 @register("win19_availability_manifest")
 def _(spark, sf):
     df, spec = metrics(spark, sf, "flag")
-    prepared = P.prepare_forecast(df, spec, verify=False)
+    prepared = P.prepare_forecast(df, spec)
     manifest = P.availability_manifest(prepared)
     names = list(prepared.expanded)
     known = prepared.frame.agg(*[F.count(c).alias(c) for c in names]).select(

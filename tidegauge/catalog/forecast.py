@@ -48,7 +48,7 @@ PRED = HELD + f""", pred AS ({_rows('persistence', 'cur')} UNION ALL {_rows('sev
 
 def _prepared(spark, sf):
     df, spec = metrics(spark, sf, BY)
-    return P.prepare_forecast(df, spec, verify=False), spec
+    return P.prepare_forecast(df, spec), spec
 
 
 def _held(spark, sf):
@@ -451,11 +451,11 @@ def _(spark, sf):
 @register("fc10_fc30_boosted_gain")
 def _(spark, sf):
     rows, _, prepared, _ = _stored(spark, sf)
-    mine = rows.where("fold = 5")
-    sums = L.fold_sums(mine.where("role = 'train'"), prepared.compact, P.CHANGE)
-    processor = L.fit_processor(sums[5], prepared.compact)
-    model = B.fit_boosted(mine, processor, P.CHANGE, B.BoostConfig(iterations=5))
-    return B.gain_importance(model, processor, spark)
+    sums = L.fold_sums(rows.where("role = 'train'"), prepared.compact, P.CHANGE)
+    processors = {f: L.fit_processor(s, prepared.compact) for f, s in sums.items()}
+    models = B.boost_folds(rows, processors, P.CHANGE, B.BoostConfig())
+    trees = F.lit(B.trees_used(models[0]))
+    return B.gain_importance(models[0], processors[0], spark).withColumn("trees", trees)
 
 
 @register("fc11_exponential_smoothing")
@@ -487,5 +487,5 @@ def _(spark, sf):
 @register("q09_experiment_scores")
 def _(spark, sf):
     df, spec = metrics(spark, sf, BY)
-    experiment = X.run_experiment(df, spec, verify=False)
+    experiment = X.run_experiment(df, spec, boosters=(B.BoostConfig(),))
     return X.comparison(experiment)

@@ -140,7 +140,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df, spec = metrics(spark, sf, BY)
-    parts = P.partition_labels(P.prepare_forecast(df, spec, verify=False).frame.select(*spec.index), spec)
+    parts = P.partition_labels(P.prepare_forecast(df, spec).frame.select(*spec.index), spec)
     late = parts.where("part = 'holdout'").select(*spec.index)
     both = parts.where("part = 'development'").join(late, list(spec.index), "left_semi")
     return both.agg(F.lit("development").alias("part"), F.count(F.lit(1)).alias("shared_rows"))
@@ -154,7 +154,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df, spec = metrics(spark, sf, BY)
-    prepared = P.prepare_forecast(df, spec, verify=False)
+    prepared = P.prepare_forecast(df, spec)
     table = P.exclusion_manifest(prepared, ["intake", "target_x"])
     days = df.agg(F.count(F.lit(1)).alias("days"))
     return table.withColumn("_k", F.lit(1)).join(F.broadcast(days.withColumn("_k", F.lit(1))), "_k").drop("_k")
@@ -208,9 +208,7 @@ def _(spark, sf):
 @register("q08_single_model_run")
 def _(spark, sf):
     df, spec = metrics(spark, sf, BY)
-    predictions, _, _ = X.single_model_run(
-        df, spec, grid=(B.BoostConfig("absolute", iterations=2), B.BoostConfig("squared", iterations=2))
-    )
+    predictions, _, _ = X.single_model_run(df, spec)
     return V.regression_metrics(predictions, ["model_name", "configuration", "fold"])
 
 

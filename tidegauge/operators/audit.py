@@ -103,7 +103,7 @@ class _Check:
 
 
 EMPTY = ("critical", "structure", "EMPTY_DATASET",
-         "The dataset contains no observations.", 0, [], [])
+         "no rows", 0, [], [])
 
 
 def schema_findings(df: DataFrame) -> list[tuple]:
@@ -112,11 +112,11 @@ def schema_findings(df: DataFrame) -> list[tuple]:
     repeated = sorted({c for c in names if names.count(c) > 1})
     if repeated:
         return [("critical", "schema", "AMBIGUOUS_COLUMNS",
-                 "Several source columns share one name.", 0, repeated, [])]
+                 "columns of one name", 0, repeated, [])]
     missing = [c for c in REQUIRED if c not in names]
     if missing:
         return [("critical", "schema", "MISSING_REQUIRED_COLUMNS",
-                 "One or more required columns are absent.", 0, missing, [])]
+                 "columns missing", 0, missing, [])]
     return []
 
 
@@ -182,12 +182,12 @@ def _checks(rows: DataFrame, config: AuditConfig) -> list[_Check]:
     blank = F.col("_blank")
     checks = [
         _Check("warning", "completeness", "EMPTY_ROWS",
-               "Completely empty padding rows are present.", (), blank),
+               "all required columns are blank", (), blank),
         _Check("error", "temporal", "INVALID_DATES",
-               "Reporting dates contain unparseable values.", (DATE,),
+               "date: the text fits no declared layout", (DATE,),
                F.col("_no_date") & ~blank),
         _Check("error", "temporal", "DUPLICATE_DATES",
-               "Several observations share one reporting date.", (DATE,),
+               "date: the series has another row of this day", (DATE,),
                F.coalesce(F.col("_same_day") > 1, F.lit(False))),
     ]
     fraction_severity = "warning" if config.allow_fractions else "error"
@@ -196,16 +196,16 @@ def _checks(rows: DataFrame, config: AuditConfig) -> list[_Check]:
         infinite = F.coalesce(F.abs(value) == float("inf"), F.lit(False))
         checks += [
             _Check("error", "numeric", f"INVALID_NUMERIC_VALUES:{c}",
-                   "Non-numeric count values are present.", (c,), bad & ~blank),
+                   f"{c}: the text is no number", (c,), bad & ~blank),
             _Check("error", "numeric", f"MISSING_NUMERIC_VALUES:{c}",
-                   "Required count values are missing.", (c,),
+                   f"{c}: blank in a row that is not blank", (c,),
                    value.isNull() & ~bad & ~blank),
             _Check("error", "numeric", f"NONFINITE_VALUES:{c}",
-                   "Infinite count values are present.", (c,), infinite),
+                   f"{c}: infinite", (c,), infinite),
             _Check(fraction_severity, "numeric", f"FRACTIONAL_COUNTS:{c}",
-                   "Counts contain fractional values.", (c,), is_fractional(value)),
+                   f"{c}: not a whole number", (c,), is_fractional(value)),
             _Check("error", "numeric", f"NEGATIVE_COUNTS:{c}",
-                   "Counts contain negative values.", (c,),
+                   f"{c}: below zero", (c,),
                    F.coalesce(value < 0, F.lit(False))),
         ]
         if config.outlier_threshold is not None:
@@ -214,26 +214,26 @@ def _checks(rows: DataFrame, config: AuditConfig) -> list[_Check]:
             far = (F.col(f"_fin_{c}") >= 10) & (mad > 0) & (score > config.outlier_threshold)
             checks.append(
                 _Check("warning", "plausibility", f"ROBUST_OUTLIERS:{c}",
-                       "Statistical outliers warrant source verification.", (c,),
+                       f"{c}: robust z-score above {config.outlier_threshold:g}", (c,),
                        F.coalesce(far, F.lit(False)))
             )
     over_a = exceeds(F.col(TRANSFER), F.col(STOCK_A))
     over_b = exceeds(F.col(DISCHARGE), F.col(STOCK_B))
     checks += [
         _Check("error", "logical", "TRANSFER_EXCEEDS_STOCK_A",
-               "Transfers exceed the active load of stage A.", (TRANSFER, STOCK_A), over_a),
+               f"{TRANSFER} > {STOCK_A}", (TRANSFER, STOCK_A), over_a),
         _Check("error", "logical", "DISCHARGE_EXCEEDS_STOCK_B",
-               "Discharges exceed the active load of stage B.", (DISCHARGE, STOCK_B), over_b),
+               f"{DISCHARGE} > {STOCK_B}", (DISCHARGE, STOCK_B), over_b),
     ]
     for name, expected in ((ANOMALY_TRANSFER, over_a), (ANOMALY_DISCHARGE, over_b)):
         if f"_given_{name}" in rows.columns:
             given = F.col(f"_given_{name}")
             checks += [
                 _Check("error", "audit", f"INVALID_BOOLEAN_FLAG:{name}",
-                       "An anomaly flag contains an unsupported boolean value.", (name,),
+                       f"{name}: neither true nor false", (name,),
                        invalid_boolean(given)),
                 _Check("error", "audit", f"INCONSISTENT_FLAG:{name}",
-                       "A supplied anomaly flag disagrees with its rule.", (name,),
+                       f"{name}: unlike the rule computed from the row", (name,),
                        parse_boolean(given) != expected),
             ]
     if config.check_derived:
@@ -252,7 +252,7 @@ def _checks(rows: DataFrame, config: AuditConfig) -> list[_Check]:
                 given = finite(F.col(f"_given_{name}").cast("string").try_cast("double"))
                 checks.append(
                     _Check("error", "metric_integrity", f"DERIVED_METRIC_MISMATCH:{name}",
-                           "Stored derived values differ from recalculated values.", (name,),
+                           f"{name}: unlike the value computed from the counts", (name,),
                            ~_close(given, value, config))
                 )
     if config.check_stock_flow:
@@ -264,7 +264,7 @@ def _checks(rows: DataFrame, config: AuditConfig) -> list[_Check]:
         ):
             checks.append(
                 _Check("warning", "reconciliation", code,
-                       "Daily stock changes do not reconcile with reported flows.", columns,
+                       f"{columns[0]}: off yesterday plus flows by over {config.stock_flow_tolerance:g}", columns,
                        F.coalesce(gap > config.stock_flow_tolerance, F.lit(False)))
             )
     return checks
@@ -430,7 +430,7 @@ def _finding_array(checks: list[_Check], config: AuditConfig) -> Column:
         F.when(
             F.col("_unordered"),
             _finding("warning", "temporal", "NON_CHRONOLOGICAL_ORDER",
-                     "Rows are not ordered chronologically.", F.lit(0), (), none),
+                     "date: source rows run backwards in time", F.lit(0), (), none),
         )
     )
     gaps = "error" if config.require_complete_series else "warning"
@@ -438,7 +438,7 @@ def _finding_array(checks: list[_Check], config: AuditConfig) -> Column:
         F.when(
             F.col("missing_calendar_dates") > 0,
             _finding(gaps, "temporal", "MISSING_CALENDAR_DATES",
-                     "The reporting period is not a complete daily series.",
+                     "date: days are missing between the first and the last",
                      F.col("missing_calendar_dates"), (DATE,), F.col("_missing_examples")),
         )
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from statistics import median
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -18,7 +19,10 @@ from tidegauge.operators.forecast.linear import Processor
 @dataclass(frozen=True)
 class BoostConfig:
     loss: str = "squared"
-    iterations: int = 20
+    #: Trees grown per fold before the best prefix is chosen.
+    iterations: int = 40
+    #: Fewest trees of the final fit.
+    floor: int = 20
     depth: int = 3
     step: float = 0.1
     seed: int = 42
@@ -38,34 +42,52 @@ def filled(df: DataFrame, processor: Processor) -> DataFrame:
 
 
 def fit_boosted(
-    rows: DataFrame, processor: Processor, target: str, config: BoostConfig, *, early_stop: bool = True
+    rows: DataFrame, processor: Processor, target: str, config: BoostConfig, trees: int | None = None
 ) -> PipelineModel:
-    """Fit on the training rows of one fold; its validation rows may stop training early."""
-    used = rows if early_stop else rows.where("role = 'train'")
-    data = filled(used, processor).withColumn("_held", F.col("role") == "validation")
+    """Fit on the training rows of one fold; other rows take no part."""
     booster = GBTRegressor(
         featuresCol="_x", labelCol=target, predictionCol="prediction", lossType=config.loss,
-        maxIter=config.iterations, maxDepth=config.depth, stepSize=config.step, seed=config.seed,
+        maxIter=trees or config.iterations, maxDepth=config.depth, stepSize=config.step, seed=config.seed,
         maxBins=32, cacheNodeIds=False,
     )
-    if early_stop:
-        booster = booster.setValidationIndicatorCol("_held")
     assembler = VectorAssembler(inputCols=processor.selected, outputCol="_x")
-    return Pipeline(stages=[assembler, booster]).fit(data)
+    return Pipeline(stages=[assembler, booster]).fit(filled(rows.where("role = 'train'"), processor))
+
+
+def best_prefix(
+    model: PipelineModel, held: DataFrame, processor: Processor, target: str, config: BoostConfig
+) -> int:
+    """Number of leading trees with the least loss on ``held``; the smallest of ties."""
+    assembler, trees = model.stages
+    errors = trees.evaluateEachIteration(assembler.transform(filled(held, processor)), config.loss)
+    return min(range(len(errors)), key=lambda k: (errors[k], k)) + 1
 
 
 def boost_folds(
     rows: DataFrame, processors: Mapping[int, Processor], target: str, config: BoostConfig,
     parallelism: int = 4,
 ) -> dict[int, PipelineModel]:
-    """One model per fold. Fits are independent jobs, so a few run at the same time."""
+    """One model per fold. Fits are independent jobs, so a few run at the same time.
+
+    A walk-forward fold keeps the prefix of its trees that does best on its validation rows. Fold
+    0, whose validation rows are the holdout, takes the median of those numbers, ``floor`` at
+    least, and never sees its validation rows.
+    """
 
-    def one(fold: int) -> tuple[int, PipelineModel]:
+    def walk(fold: int) -> tuple[int, PipelineModel]:
         mine = rows.where(F.col("fold") == fold)
-        return fold, fit_boosted(mine, processors[fold], target, config)
+        model = fit_boosted(mine, processors[fold], target, config)
+        best = best_prefix(model, mine.where("role = 'validation'"), processors[fold], target, config)
+        # the first trees of a shorter fit are the same ones
+        return fold, model if best == trees_used(model) else fit_boosted(mine, processors[fold], target, config, best)
 
     with ThreadPoolExecutor(parallelism) as pool:
-        return dict(pool.map(one, sorted(processors)))
+        models = dict(pool.map(walk, sorted(f for f in processors if f)))
+    if 0 in processors:
+        best = [trees_used(m) for m in models.values()]
+        trees = max(config.floor, int(median(best))) if best else config.iterations
+        models[0] = fit_boosted(rows.where("fold = 0"), processors[0], target, config, trees)
+    return models
 
 
 def predict_boosted(

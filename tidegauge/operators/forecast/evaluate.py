@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.calendar import WEEKDAYS
 from tidegauge.functions.scalars import right_closed_band
 from tidegauge.operators.forecast.prepare import CURRENT, TARGET, Calendar
+from tidegauge.operators.quantiles import attach
 from tidegauge.spec import PREDICTION_COLUMNS, PREDICTION_SCHEMA, CapacityError, SeriesSpec
 
 FORECAST = "reconstructed_absolute_prediction"
@@ -124,6 +125,15 @@ def fold_table(predictions: DataFrame, calendar: Calendar, gap: int = 7) -> Data
     return metrics.join(F.broadcast(bounds), "fold", "left")
 
 
+def shared_origins(predictions: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """Predictions of the origins that every candidate covers, so that all are ranked on the same rows."""
+    keys = [*spec.keys, "fold", "forecast_origin_date"]
+    candidate = F.concat_ws("|", "model_name", "configuration")
+    total = predictions.agg(F.count_distinct(candidate).alias("_total"))
+    full = attach(predictions.groupBy(*keys).agg(F.count_distinct(candidate).alias("_n")), total, [])
+    return predictions.join(full.where("_n = _total").select(*keys), keys, "left_semi")
+
+
 def candidate_scores(folds: DataFrame) -> DataFrame:
     """Mean, population SD and worst fold error of each candidate."""
     return folds.groupBy("model_name", "configuration").agg(

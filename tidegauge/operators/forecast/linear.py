@@ -119,36 +119,37 @@ def fit_processor(
     sums: FoldSums, features: Sequence[str], missing_limit: float = 0.30, correlation_limit: float = 0.98
 ) -> Processor:
     """Drop sparse, empty, constant and duplicated features, in column order."""
-    reasons: dict[str, str] = {}
-    usable: list[str] = []
-    mean, cov, _ = sums.moments(features)
-    deviation = dict(zip(features, np.sqrt(np.maximum(np.diag(cov), 0))))
-    for c in features:
-        if sums.missing[c] > missing_limit:
-            reasons[c] = f"training missing fraction {sums.missing[c]:.3f} exceeds {missing_limit:.3f}"
-        elif sums.medians[c] is None:
-            reasons[c] = "all values missing in training"
-        elif c in sums.constant or deviation[c] <= 1e-12:
-            reasons[c] = "constant or near-constant in training"
+    _, cov, _ = sums.moments(features)
+    deviation = np.sqrt(np.maximum(np.diag(cov), 0))
+    sparse = np.array([sums.missing[c] > missing_limit for c in features])
+    empty = np.array([sums.medians[c] is None for c in features])
+    flat = np.array([c in sums.constant for c in features]) | (deviation <= 1e-12)
+    alive = ~(sparse | empty | flat)
+    if not alive.any():
+        raise CapacityError("Filtering leaves no feature.")
+    scale = np.where(deviation > 0, deviation, 1.0)
+    alike = np.abs(cov / np.outer(scale, scale)) > correlation_limit
+    kept = np.zeros(len(features), bool)
+    twin: dict[int, int] = {}
+    for i in np.flatnonzero(alive):
+        earlier = np.flatnonzero(alike[i] & kept)
+        if earlier.size:
+            twin[i] = int(earlier[0])
         else:
-            usable.append(c)
-    if not usable:
-        raise CapacityError("No usable features remain after filtering.")
-    place = {c: i for i, c in enumerate(features)}
-    kept: list[str] = []
-    for c in usable:
-        twin = next(
-            (
-                k for k in kept
-                if abs(cov[place[c], place[k]]) / (deviation[c] * deviation[k]) > correlation_limit
-            ),
-            None,
-        )
-        if twin is None:
-            kept.append(c)
-        else:
-            reasons[c] = f"training correlation > {correlation_limit:.2f} with {twin}"
-    return Processor(sums.fold, {c: sums.medians[c] for c in kept}, kept, reasons)
+            kept[i] = True
+    reasons = {}
+    for i, c in enumerate(features):
+        if sparse[i]:
+            reasons[c] = f"sparse: {sums.missing[c]:.3f} of the training values are null, the limit is {missing_limit:.3f}"
+        elif empty[i]:
+            reasons[c] = "empty: no training value"
+        elif flat[i]:
+            reasons[c] = f"flat: standard deviation {deviation[i]:.3g} in training"
+        elif i in twin:
+            j = twin[i]
+            reasons[c] = f"twin: correlation {abs(cov[i, j]) / (scale[i] * scale[j]):.4f} with {features[j]} in training"
+    selected = [c for c, k in zip(features, kept) if k]
+    return Processor(sums.fold, {c: sums.medians[c] for c in selected}, selected, reasons)
 
 
 @dataclass(frozen=True)

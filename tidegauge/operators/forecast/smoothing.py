@@ -95,4 +95,14 @@ def smoothing_forecasts(
     return held.join(dated, [*keys, "fold", date])
 
 
-__all__ = ["CURRENT", "GRID", "TARGET", "smooth", "smoothing_forecasts"]
+def too_short(rows: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """Series and folds that smoothing gives no forecast for, with their training days and a reason."""
+    days = rows.where("role = 'train'").groupBy(*spec.keys, "fold").agg(F.count("*").alias("training_days"))
+    known = rows.select(*spec.keys, "fold").distinct().join(days, [*spec.keys, "fold"], "left")
+    short = known.withColumn("training_days", F.coalesce("training_days", F.lit(0).cast("long")))
+    return short.where(F.col("training_days") < 2 * _SEASON).withColumn(
+        "reason", F.format_string(f"%d training days; two seasons ({2 * _SEASON}) are needed", "training_days")
+    )
+
+
+__all__ = ["CURRENT", "GRID", "TARGET", "smooth", "smoothing_forecasts", "too_short"]

@@ -34,37 +34,21 @@ BACKLOG_KPI = "backlog_accumulation_rate"
 OFFSET_KPI = "discharge_offset_ratio"
 KPI_KEYS = (LOAD_KPI, NET_KPI, VOLATILITY_KPI, BACKLOG_KPI, OFFSET_KPI)
 
+
+
+def _kpi(label: str, unit: str, formula: str, rises: bool, wanted_high: bool = False) -> tuple:
+    """Name, unit, description, formula, whether high is good, and the alert text of a KPI."""
+    side = "below" if wanted_high else "above"
+    alert = f"{label}: {side} its bound" + (", and rising" if rises else "")
+    return label, unit, f"{formula}, in {unit}", formula, wanted_high, alert
+
+
 KPI_TEXT = {
-    LOAD_KPI: (
-        "Total Active Load", "count",
-        "Latest active load of stage A plus stage B.",
-        "stock_a + stock_b", False,
-        "System load is rising relative to its prior comparison window.",
-    ),
-    NET_KPI: (
-        "Net Intake Pressure", "count/day",
-        "Latest transfers into stage B minus discharges.",
-        "transfer - discharge", False,
-        "Transfers are materially exceeding discharges.",
-    ),
-    VOLATILITY_KPI: (
-        "Load Volatility Index", "%",
-        "Population standard deviation of daily load growth.",
-        "population SD of daily total load growth (%)", False,
-        "Daily load changes are unusually variable.",
-    ),
-    BACKLOG_KPI: (
-        "Backlog Accumulation Rate", "consecutive days",
-        "Longest selected-period run of positive net intake.",
-        "longest consecutive run where net intake > 0", False,
-        "A sustained positive-net-intake episode requires review.",
-    ),
-    OFFSET_KPI: (
-        "Discharge Offset Ratio", "ratio",
-        "Latest discharges relative to transfers into stage B.",
-        "discharge / (transfer + 1)", True,
-        "Discharges are not sufficiently offsetting transfers.",
-    ),
+    LOAD_KPI: _kpi("Total Active Load", "count", "stock_a + stock_b", True),
+    NET_KPI: _kpi("Net Intake Pressure", "count/day", "transfer - discharge", False),
+    VOLATILITY_KPI: _kpi("Load Volatility Index", "%", "population SD of daily total load growth (%)", False),
+    BACKLOG_KPI: _kpi("Backlog Accumulation Rate", "consecutive days", "longest consecutive run where net intake > 0", False),
+    OFFSET_KPI: _kpi("Discharge Offset Ratio", "ratio", "discharge / (transfer + 1)", False, wanted_high=True),
 }
 
 

@@ -202,7 +202,8 @@ def run_experiment(
         boosted_importance = B.gain_importance(models[0], processors[0], frame.sparkSession)
     every = cut_lineage(V.union_predictions(parts).withColumn("evaluation_label", _label()))
 
-    scores = V.candidate_scores(V.fold_table(every.where("fold <> 'holdout'"), calendar))
+    common = V.shared_origins(every.where("fold <> 'holdout'"), spec)
+    scores = V.candidate_scores(V.fold_table(common, calendar))
     best = V.select_best(scores).collect()
     chosen = every.where(
         F.concat_ws("|", "model_name", "configuration").isin(
@@ -300,7 +301,7 @@ def single_model_run(
 def smoke_pipeline(metrics: DataFrame, spec: SeriesSpec = SeriesSpec(), alpha: float = 100.0) -> dict:
     """Four folds of 28 days, ridge on the last fold, interval of one persistence error."""
     config = P.ForecastConfig(folds=4, fold_days=28)
-    prepared = P.prepare_forecast(metrics, spec, config, verify=False)
+    prepared = P.prepare_forecast(metrics, spec, config)
     frame = prepared.frame.persist()
     try:
         calendar = P.plan_calendar(frame, spec, config)
