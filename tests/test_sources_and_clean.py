@@ -132,3 +132,17 @@ def test_records_and_predictions(spark, tmp_path):
     assert rows.columns == ["a", "b"] and rows.collect()[0].a == "1"
     with pytest.raises(CapacityError):
         readers.from_records(spark, [])
+
+
+def test_files_of_another_column_order_are_never_misread(spark, tmp_path):
+    head = ["date", "intake", "stock_a", "transfer", "stock_b", "discharge"]
+    turned = [*head[:1], *head[:0:-1]]
+    for name, order in (("a", head), ("b", turned)):
+        (tmp_path / name).mkdir()
+        cells = {c: str(k) for k, c in enumerate(head)} | {"date": "2024-01-01"}
+        (tmp_path / name / "x.csv").write_text(",".join(order) + "\n" + ",".join(cells[c] for c in order) + "\n")
+    rows = readers.read_raw_csv(spark, [f"{tmp_path}/a", f"{tmp_path}/b"]).drop("src_row").distinct().collect()
+    assert [tuple(r[c] for c in head) for r in rows] == [("2024-01-01", "1", "2", "3", "4", "5")]
+    (tmp_path / "a" / "y.csv").write_text((tmp_path / "b" / "x.csv").read_text())
+    with pytest.raises(Exception, match="header"):
+        readers.read_raw_csv(spark, f"{tmp_path}/a").collect()

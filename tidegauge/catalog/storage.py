@@ -57,15 +57,31 @@ def _(spark, sf):
     )
 
 
+@register(
+    "src01_csv_of_two_column_orders",
+    f"""WITH daily AS ({daily_sql('supplier')}) SELECT CAST(series AS VARCHAR) AS series, strftime(date, '%Y-%m-%d') AS date,
+    {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in COUNTS)} FROM daily""",
+)
+def _(spark, sf):
+    days, spec = lineitem_daily(spark, sf, "supplier")
+    path = _path(spark)
+    early = F.year("date") < 1998
+    writers.write_csv(days.where(early), f"{path}/a")
+    turned = days.where(~early).select(*spec.keys, *reversed(COUNTS), "date")
+    writers.write_csv(turned.withColumnRenamed("date", " Date* "), f"{path}/b")
+    raw = readers.read_raw_csv(spark, [f"{path}/a", f"{path}/b"], names={" Date* ": "date"}, extra=spec.keys)
+    return raw.drop(SRC_ROW)
+
+
 @register(
     "src03_snk02_parquet_round_trip",
-    f"WITH daily AS ({daily_sql('nation')}) SELECT *, CAST(year(date) AS INTEGER) AS year FROM daily WHERE year(date) = 1997",
+    f"WITH daily AS ({daily_sql('nation')}) SELECT *, CAST(year(date) AS INTEGER) AS year FROM daily",
 )
 def _(spark, sf):
     days, spec = lineitem_daily(spark, sf, "nation")
     path = _path(spark)
     writers.write_parquet(days.withColumn("year", F.year("date")), path, partition_by=["year"])
-    return readers.read_feature_table(spark, path, spec).where("year = 1997")
+    return readers.read_feature_table(spark, path, spec)
 
 
 @register(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -58,6 +59,48 @@ def canonical_columns(
     return unique.select(*[F.col(f"_c{last[c]}").alias(c) for c in wanted])
 
 
+def _header_of(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names in the first line of a path's first file."""
+    lines = spark.read.text(path).head(1)
+    found = next(csv.reader([lines[0][0].lstrip("\ufeff")]), []) if lines else []
+    if not found:
+        raise CapacityError(f"The CSV source has no columns: {path}")
+    return tuple(found)
+
+
+def _scan(
+    spark: SparkSession, paths: list[str], header: tuple[str, ...], names: Mapping[str, str] | None,
+    extra: Sequence[str], on_collision: str, checked: bool,
+) -> DataFrame:
+    """Rows of files with one header. Unless names are blank or repeated, each file's header is checked."""
+    positional = [f"_c{i}" for i in range(len(header))]
+    by_name = checked and len(set(header)) == len(header) and all(h.strip() for h in header)
+    fields = [T.StructField(c, T.StringType()) for c in (header if by_name else positional)]
+    scan = (
+        spark.read.option("header", True)
+        .option("enforceSchema", not by_name)
+        .option("multiLine", False)
+        .option("encoding", "UTF-8")
+        .schema(T.StructType(fields))
+        .csv(paths)
+        .select(
+            "*",
+            F.monotonically_increasing_id().alias("tg_order"),
+            F.col("_metadata.file_path").alias("tg_file"),
+            F.col("_metadata.file_block_start").alias("tg_block"),
+        )
+        .toDF(*positional, "tg_order", "tg_file", "tg_block")
+    )
+    cells = [F.when(~F.col(c).isin(*NA_TOKENS), F.col(c)).alias(h) for c, h in zip(positional, header)]
+    named = canonical_columns(
+        scan.select(*cells, "tg_order", "tg_file", "tg_block"),
+        names,
+        extra=(*extra, "tg_order", "tg_file", "tg_block"),
+        on_collision=on_collision,
+    )
+    return named.select(*extra, *REQUIRED, F.struct("tg_file", "tg_block", "tg_order").alias(SRC_ROW))
+
+
 def read_raw_csv(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -70,45 +113,20 @@ def read_raw_csv(
 ) -> DataFrame:
     """Scan CSV files with every field as text, plus the source row order.
 
-    Types are decided later, where failures can be counted. ``header`` skips the
-    one-line peek at the files when the caller knows the columns. ``src_row`` sorts
-    by file, then by position in the file: it is the only record of source order.
+    Types are decided later, where failures can be counted. Every path has its own header, and
+    paths of one header are scanned together; a file under a path whose header differs from the
+    path's first one is an error, never read into wrong columns. ``header`` skips the one-line
+    peeks when the caller knows the columns of all files. ``src_row`` sorts by file, then by
+    position in the file: it is the only record of source order.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    if header is None:
-        header = spark.read.option("header", True).csv(paths[0]).columns
-    if not header:
-        raise CapacityError(f"The CSV source has no columns: {paths[0]}")
-    positional = [f"_c{i}" for i in range(len(header))]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in positional])
-    scan = (
-        spark.read.option("header", True)
-        .option("enforceSchema", True)
-        .option("multiLine", False)
-        .option("encoding", "UTF-8")
-        .schema(schema)
-        .csv(paths)
-        .withColumn("_order", F.monotonically_increasing_id())
-        .withColumn("_file", F.col("_metadata.file_path"))
-        .withColumn("_block", F.col("_metadata.file_block_start"))
-    )
-    scan = scan.withColumns(
-        {c: F.when(~F.col(c).isin(*NA_TOKENS), F.col(c)) for c in positional}
-    )
-    named = canonical_columns(
-        scan.select(*[F.col(p).alias(h) for p, h in zip(positional, header)],
-                    F.col("_order").alias("tg_order"),
-                    F.col("_file").alias("tg_file"),
-                    F.col("_block").alias("tg_block")),
-        names,
-        extra=(*extra, "tg_order", "tg_file", "tg_block"),
-        on_collision=on_collision,
-    )
-    out = named.select(
-        *extra,
-        *REQUIRED,
-        F.struct("tg_file", "tg_block", "tg_order").alias(SRC_ROW),
-    )
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for p in paths:
+        groups.setdefault(tuple(header) if header else _header_of(spark, p), []).append(p)
+    parts = [_scan(spark, own, columns, names, extra, on_collision, header is None) for columns, own in groups.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     if max_rows is not None and out.limit(max_rows + 1).count() > max_rows:
         raise CapacityError(f"Source holds more than {max_rows:,} rows.")
     if out.isEmpty():
