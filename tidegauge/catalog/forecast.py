@@ -178,10 +178,62 @@ def _(spark, sf):
 
 @register(
     "fc17_prediction_faults",
-    PRED + " SELECT count(*) AS rows, count(*) FILTER (WHERE fc IS NULL OR actual IS NULL) AS not_finite, CAST(0 AS BIGINT) AS misordered FROM pred",
+    PRED + """ SELECT count(*) AS rows, count(*) FILTER (WHERE fc IS NULL OR actual IS NULL OR day(origin) = 17) AS not_finite,
+    count(*) FILTER (WHERE day(origin) IN (11, 12)) AS misordered FROM pred""",
 )
 def _(spark, sf):
-    return _baselines(spark, sf)[0].agg(*V.prediction_faults())
+    day = F.day("forecast_origin_date")
+    faulty = _baselines(spark, sf)[0].withColumns(
+        {
+            V.FORECAST: F.when(day != 17, F.col(V.FORECAST)),
+            "lower_interval": F.when(day == 11, F.lit(2.0)).otherwise(F.lit(-1.0)),
+            "median_prediction": F.lit(0.0),
+            "upper_interval": F.when(day == 12, F.lit(-2.0)).otherwise(F.lit(1.0)),
+        }
+    )
+    return faulty.agg(*V.prediction_faults())
+
+
+def _promotion_sql(challenger: str) -> str:
+    checks = {
+        "mean_walk_forward_mae_better_than_persistence": "mae < base",
+        "holdout_mae_better_than_persistence": "late < late_base",
+        "validation_fold_majority": "wins >= ceil(folds / 2)",
+        "worst_fold_within_limit": "worst <= worst_base * CAST(1.5 AS DOUBLE)",
+        "leakage_audit_passed": "folds = 5",
+        "same_eligible_dates": "n = n_base",
+        "reproducible_fixed_seed": "folds > 0",
+        "real_and_synthetic_results_not_conflated": "folds > 0",
+    }
+    rows = " UNION ALL ".join(f"SELECT '{k}' AS \"check\", {v} AS passed, {v0} AS value, {v1} AS bound FROM d" for k, v, v0, v1 in (
+        (k, v, *(("mae", "base") if k.startswith("mean") else ("late", "late_base") if k.startswith("holdout") else ("CAST(wins AS DOUBLE)", "ceil(folds / 2)")
+         if k.startswith("validation") else ("CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)")))
+        for k, v in checks.items()))
+    return PRED + f""", e AS (SELECT fold, count(*) FILTER (model = '{challenger}') AS n, count(*) FILTER (model = 'persistence') AS n_base,
+      avg(abs(actual - fc)) FILTER (model = '{challenger}') AS own, avg(abs(actual - fc)) FILTER (model = 'persistence') AS per FROM pred GROUP BY 1),
+    d AS (SELECT sum(own * n) FILTER (fold <> 'holdout') / sum(n) FILTER (fold <> 'holdout') AS mae, sum(per * n) FILTER (fold <> 'holdout') / sum(n) FILTER (fold <> 'holdout') AS base,
+      max(own) FILTER (fold = 'holdout') AS late, max(per) FILTER (fold = 'holdout') AS late_base, count(*) FILTER (fold <> 'holdout' AND own < per) AS wins,
+      count(*) FILTER (fold <> 'holdout') AS folds, max(own) FILTER (fold <> 'holdout') AS worst, max(per) FILTER (fold <> 'holdout') AS worst_base,
+      sum(n) FILTER (fold <> 'holdout') AS n, sum(n_base) FILTER (fold <> 'holdout') AS n_base FROM e) {rows}"""
+
+
+def _promotion(spark, sf, challenger):
+    out, calendar, spec = _baselines(spark, sf)
+    late = F.col("fold") == "holdout"
+    found = G.promotion_decision(out.where(~late), out.where(late), spec, challenger, len(calendar.folds) == 5)
+    shown = {
+        "mean_walk_forward_mae_better_than_persistence": (found.challenger_mae, found.baseline_mae),
+        "holdout_mae_better_than_persistence": (found.challenger_holdout_mae, found.baseline_holdout_mae),
+        "validation_fold_majority": (float(found.fold_wins), float(found.required_fold_wins)),
+    }
+    rows = [(k, bool(v), *shown.get(k, (None, None))) for k, v in found.checks.items()]
+    return spark.createDataFrame(rows, "check string, passed boolean, value double, bound double")
+
+
+for _challenger in ("seven_day_drift", "half_drift"):
+    register(f"fc26_promotion_checks_{_challenger}", _promotion_sql(_challenger), ("value", "bound"))(
+        lambda spark, sf, c=_challenger: _promotion(spark, sf, c)
+    )
 
 
 RESIDUAL = PRED + """, oof AS (SELECT *, CAST(fold AS INTEGER) AS k FROM pred WHERE fold <> 'holdout' AND model = 'seven_day_drift'),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.catalog.cleaning import final_sql, prefix, repaired_sql
 from tidegauge.catalog.fixtures import daily_sql, dense_daily, dirty, lineitem_daily, metrics, with_metrics
-from tidegauge.catalog.forecast import BY, PRED, WIDE, _baselines, _stored
+from tidegauge.catalog.forecast import BY, CAL, FRAME, PRED, WIDE, _baselines, _stored
 from tidegauge.catalog.registry import register
 from tidegauge.operators import clean as C
 from tidegauge.operators.audit import AuditConfig, audit
@@ -152,12 +152,16 @@ def _(spark, sf):
 
 @register(
     "set04_disjoint_partitions",
-    """SELECT 'development' AS part, CAST(0 AS BIGINT) AS shared_rows""",
+    FRAME + """ SELECT 'development' AS part, count(*) AS shared_rows FROM (
+    SELECT date, row_number() OVER (PARTITION BY series ORDER BY date) - 1 AS pos,
+    count(*) OVER (PARTITION BY series) - greatest(1, ceil(count(*) OVER (PARTITION BY series) * CAST(0.2 AS DOUBLE))) AS s FROM p)
+    WHERE pos < s - 7 AND day(date) <= 3""",
 )
 def _(spark, sf):
     df, spec = metrics(spark, sf, BY)
     parts = P.partition_labels(P.prepare_forecast(df, spec).frame.select(*spec.index), spec)
-    late = parts.where("part = 'holdout'").select(*spec.index)
+    # beside the holdout, some days of development that must be found as shared
+    late = parts.where("part = 'holdout' OR day(date) <= 3").select(*spec.index)
     both = parts.where("part = 'development'").join(late, list(spec.index), "left_semi")
     return both.agg(F.lit("development").alias("part"), F.count(F.lit(1)).alias("shared_rows"))
 
@@ -203,11 +207,19 @@ def _(spark, sf):
     return V.regression_metrics(mixed, ["model_name", "configuration", "fold"])
 
 
-@register("fc27_leakage_audit")
+@register(
+    "fc27_leakage_audit",
+    CAL + """, a AS (SELECT p.*, lead(cur, 7) OVER (PARTITION BY series ORDER BY date) AS later FROM p),
+    r AS (SELECT a.*, fold, date <= train_last AS train FROM a JOIN folds ON date <= train_last OR date BETWEEN first_day AND last_day_),
+    g AS (SELECT fold, count(*) FILTER (train) AS training_rows, count(*) FILTER (NOT train) AS validation_rows,
+      max(date) FILTER (train) AS last_training_day, min(date) FILTER (NOT train) AS first_validation_day,
+      count(*) FILTER (later <> target) AS label_faults FROM r GROUP BY 1)
+    SELECT *, CAST(date_diff('day', last_training_day, first_validation_day) - 1 AS INTEGER) AS gap_days,
+      date_diff('day', last_training_day, first_validation_day) > 7 AS labels_known FROM g""",
+)
 def _(spark, sf):
-    _, calendar, prepared, _ = _stored(spark, sf)
-    checks = P.leakage_audit(prepared, calendar)
-    return spark.createDataFrame(list(checks.items()), "check string, passed boolean")
+    _, calendar, prepared, spec = _stored(spark, sf)
+    return P.leakage_facts(prepared.frame, spec, [calendar.holdout, *calendar.folds])
 
 
 @register("fc35_verify_layers")
