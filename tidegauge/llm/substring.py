@@ -4,7 +4,8 @@
    ASCII white space made single spaces, none at the ends) and digested to 128 bits; its place
    in the text is kept in characters.
 2. Digests are grouped over all documents, pre-aggregated before the shuffle; each keeps its
-   earliest occurrence by (doc_id, place). Digests that occur once leave here.
+   earliest occurrence by (doc_id, place). Digests of one document leave here.
+   A later occurrence is one in another document than the smallest id, or a repetition in its own text.
 3. Later occurrences go back to their documents. A stretch of neighbouring later occurrences is
    removed if it has ``least_words`` words; shorter ones are left, so that common short lines
    and set phrases of clean texts stay.
@@ -12,8 +13,8 @@
 
 Defined results: null, empty and blank texts have no units and stay as they are, null included. A null
 ``doc_id`` stays and takes part neither as an occurrence nor as a text to be cut. Equal rows of a
-``doc_id`` are one document and are cut alike; unequal texts under one id are ranked by a hash of the
-text, so ranks have no ties. Other columns pass through ``deduplicate`` unchanged, also such that are
+``doc_id`` are one document and are cut alike; unequal texts under one id take nothing from each other.
+Other columns pass through ``deduplicate`` unchanged, also such that are
 named like ours.
 """
 
@@ -65,19 +66,22 @@ def units(text: str) -> Iterator[tuple[int, int, int, int, str]]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """One row per unit: doc_id, version (hash of the text), its number in the text, start, end, edges,
-    words, and its digest in two halves."""
-    names = ["doc_id", "version", "unit", "start", "end", "edges", "words", "h0", "h1"]
-    types = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.int64()]
+    """One row per unit: doc_id, version (hash of the text), start and end as one number (``place``), number
+    in the text, words and edges as another (``meta``), its digest in two halves, and whether the text
+    holds it before (``again``)."""
+    names = ["doc_id", "version", "place", "meta", "h0", "h1", "again"]
+    types = [*[pa.int64()] * 6, pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
         for batch in batches:
             for doc, version, text in zip(batch["doc_id"].to_pylist(), batch["version"].to_pylist(), batch["text"]):
+                seen = set()
                 for k, (start, end, edges, words, form) in enumerate(units(text.as_py())):
-                    digest = xxhash.xxh3_128_digest(form.encode("utf-8", "surrogatepass"))
-                    rows.append((doc, version, k, start, end, edges, words, *struct.unpack("<qq", digest)))
+                    h0, h1 = struct.unpack("<qq", xxhash.xxh3_128_digest(form.encode("utf-8", "surrogatepass")))
+                    rows.append((doc, version, start << 32 | end, k << 34 | words << 2 | edges, h0, h1, (h0, h1) in seen))
+                    seen.add((h0, h1))
                 if len(rows) > 50_000:
                     yield batch_of(rows)
                     rows = []
@@ -85,8 +89,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             yield batch_of(rows)
 
     known = texts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("version", F.xxhash64("text"))
-    schema = "doc_id long, version long, unit int, start int, end int, edges int, words int, h0 long, h1 long"
-    return known.mapInArrow(run, schema)
+    return known.mapInArrow(run, "doc_id long, version long, place long, meta long, h0 long, h1 long, again boolean")
 
 
 def stretches(group: list[dict], least_words: int) -> list[dict]:
@@ -105,6 +108,14 @@ def stretches(group: list[dict], least_words: int) -> list[dict]:
     return out
 
 
+def _unpacked(item: dict) -> dict:
+    place, meta = item["place"], item["meta"]
+    return {
+        "start": place >> 32, "end": place & 0xFFFFFFFF, "unit": meta >> 34, "words": meta >> 2 & 0xFFFFFFFF, "edges": meta & 3,
+        "first_doc": item["first_doc"],
+    }
+
+
 def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, version and spans of the documents to be cut.
 
@@ -112,22 +123,18 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     that keeps the earliest occurrence of its longest unit.
     """
     found = cut_lineage(occurrences(docs))
-    place = F.struct("doc_id", "version", "unit")
-    earliest = (
-        found.groupBy("h0", "h1")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where("first <> last")
-        .select("h0", "h1", F.col("first.doc_id").alias("first_doc"), F.col("first.version").alias("v"), F.col("first.unit").alias("u"))
-    )
-    later = found.join(earliest, ["h0", "h1"]).where("doc_id <> first_doc OR version <> v OR unit <> u")
+    once = found.where("NOT again")
+    earliest = once.groupBy("h0", "h1").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1").drop("n")
+    item = F.struct("meta", "place", "first_doc")
+    others = once.join(earliest, ["h0", "h1"]).where("doc_id <> first_doc").select("doc_id", "version", item.alias("u"))
+    own = found.where("again").withColumn("first_doc", F.col("doc_id")).select("doc_id", "version", item.alias("u"))
     # the units of one text: bounded by the text itself
-    item = F.struct("unit", "start", "end", "edges", "words", "first_doc")
-    lists = later.groupBy("doc_id", "version").agg(F.collect_set(item).alias("u"))
+    lists = others.unionByName(own).groupBy("doc_id", "version").agg(F.collect_set("u").alias("u"))
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("first_doc", pa.int64())]))
 
     def run(batches):
         for batch in batches:
-            spans = [stretches(group, least_words) for group in batch["u"].to_pylist()]
+            spans = [stretches(list(map(_unpacked, group)), least_words) for group in batch["u"].to_pylist()]
             rows = pa.RecordBatch.from_arrays([batch["doc_id"], batch["version"], pa.array(spans, spans_type)], names=["doc_id", "version", "spans"])
             yield rows.filter(pa.array([bool(s) for s in spans], pa.bool_()))
 
