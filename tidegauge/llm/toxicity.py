@@ -3,7 +3,7 @@
 1. A bounded, hash-ordered sample of labelled rows (``sample``) is featurised on the executors:
    every distinct character n-gram of the whole lower-cased text falls into a hash bucket.
 2. Per bucket, documents of either label are counted; the log-count ratio scales the feature, and
-   the ``features`` buckets that tell the labels apart best are kept.
+   at most ``features`` buckets, those that tell the labels apart best and beyond chance, are kept.
 3. A logistic regression is fitted on the scaled presence of those buckets. What reaches the driver
    is at most ``features`` ratios and ``sample`` rows of at most ``features`` bucket numbers.
 4. Scoring reads every whole text once with a table of known size and needs no shuffle.
@@ -32,11 +32,13 @@ SLICE = 1 << 20
 class ToxicityConfig:
     sizes: tuple[int, ...] = (3, 4, 5)
     bits: int = 20
-    features: int = 256
+    features: int = 128
     #: Labelled rows that the fit uses at most, chosen by a hash of their id.
     sample: int = 8192
+    #: Least gain in log-likelihood of a feature; a million useless buckets reach 14 by chance.
+    least_gain: float = 20.0
     smoothing: float = 1.0
-    penalty: float = 0.5
+    penalty: float = 5.0
     steps: int = 2000
 
 
@@ -115,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     size = rows.groupBy().agg(F.count_if(F.col("toxic") != 1).alias("n0"), F.count_if(F.col("toxic") == 1).alias("n1")).first()
     none = ToxicityModel(
         config, np.full(1 << config.bits, -1, np.int16), np.zeros(0),
-        float(np.log((size["n1"] + 0.5) / (size["n0"] + 0.5))), size["n0"] + size["n1"],
+        float(np.log((size["n1"] + 0.5) / (size["n0"] + 1.0))), size["n0"] + size["n1"],
     )
     if not size["n0"] or not size["n1"]:
         return none
@@ -128,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
         .groupBy("bucket")
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         .select("bucket", F.log(p / q).alias("ratio"), gain.alias("gain"))
+        .where(F.col("gain") >= config.least_gain)
         .orderBy(F.desc("gain"), "bucket")
         .limit(config.features)
         .toPandas()
