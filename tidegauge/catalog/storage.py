@@ -13,7 +13,6 @@ from tidegauge.catalog.registry import register
 from tidegauge.operators import clean as C
 from tidegauge.operators.audit import AuditConfig, audit
 from tidegauge.operators.features import scrub
-from tidegauge.operators.forecast import boosted as B
 from tidegauge.operators.forecast import evaluate as V
 from tidegauge.operators.forecast import prepare as P
 from tidegauge.operators.metrics import daily_metrics
