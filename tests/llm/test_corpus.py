@@ -65,6 +65,21 @@ def test_passages_go_from_all_but_the_first(spark):
     assert substring.deduplicate(empty(spark)).isEmpty()
 
 
+def test_passages_inside_longer_sentences_go(spark):
+    rng = random.Random(4)
+    words = lambda n: prose(rng, n).replace(".", "").lower()
+    passage = words(60)
+    joined = words(20) + ". " + words(20) + ". " + words(20)
+    found = [(k, f"{words(30)} {passage} {words(40)}\n{words(9)} {joined} {words(11)}", "en", "s", None) for k in range(6)]
+    found.append((10, "word " * 300, "en", "s", None))
+    got = {r.doc_id: r for r in substring.deduplicate(documents(spark, found)).collect()}
+    assert got[0].removed_spans is None and got[10].removed_spans is None
+    for k, text, *_ in found[1:6]:
+        cut = [text[x.start : x.end].strip() for x in got[k].removed_spans]
+        assert len(cut) == 2 and cut[0] in passage and cut[1] in joined
+        assert all(len(c.split()) >= 25 for c in cut)
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(8)

@@ -1,8 +1,11 @@
 """Removal of repeated passages by hashing lines and the sentences inside them.
 
-1. Texts are cut into units: lines, and inside a line sentences. A unit is normalised (A-Z lower-cased,
-   ASCII white space made single spaces, none at the ends) and digested to 128 bits; its place
-   in the text is kept in characters.
+1. Texts are cut into units: lines, inside a line sentences, and inside a sentence of over ``LONG`` words chunks. A chunk
+   starts at a word whose hash is under those of the ``REACH`` words on either side, so that chunks of a
+   passage align wherever in a sentence it begins or ends; equal words in a row have no such place.
+   A unit is normalised (A-Z lower-cased, ASCII white space made single spaces, none at the ends) and
+   digested to 128 bits, a chunk together with the words after it (at a sentence's end, before it) up to
+   ``CONTEXT`` words, so that short phrases don't count as repeated. Its place is kept in characters.
 2. Digests are grouped over all documents, pre-aggregated before the shuffle; each keeps its
    earliest occurrence by (doc_id, place). Digests of one document leave here.
    A later occurrence is one in another document than the smallest id, or a repetition in its own text.
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,18 +37,36 @@ from tidegauge.llm.tables import texts
 from tidegauge.session import cut_lineage
 
 LEAST_WORDS = 25
+REACH = 4
+CONTEXT = 10
+LONG = 16
 
 _UPPER = bytes(range(0x41, 0x5B))
 _LOWER = _UPPER.lower()
+_NEVER = 1 << 32
 _ASCII_LOWER = str.maketrans(_UPPER.decode(), _LOWER.decode())
 #: A unit ends at a line feed, or behind . ! or ? before white space.
 _UNIT = re.compile(r"[^\n]*?(?:[.!?]+(?=[\t-\r ])|(?=\n)|\Z)", re.A)
 _SPACE = re.compile(r"[\t-\r ]+", re.A)
+_WORD = re.compile(r"[^\t-\r ]+", re.A)
 
 
 SPAN = "start int, end int, words int, first_doc long"
 
 
+def _chunk_starts(words: list[bytes]) -> list[int]:
+    """Numbers of the words that start a chunk, but for the first."""
+    n, out = len(words), []
+    if n <= LONG:
+        return out
+    codes = [_NEVER] * REACH + [zlib.crc32(w) for w in words] + [_NEVER] * REACH
+    for i in range(REACH + 1, n + REACH):
+        h = codes[i]
+        if h < codes[i - 1] and h < codes[i + 1] and h < min(codes[i - REACH : i - 1]) and h < min(codes[i + 2 : i + REACH + 1]):
+            out.append(i - REACH)
+    return out
+
+
 def units(text: str) -> Iterator[tuple[int, int, int, int, str]]:
     """start, end, edges, number of words and normalised form of each unit that has a word.
 
@@ -57,7 +79,12 @@ def units(text: str) -> Iterator[tuple[int, int, int, int, str]]:
         if end > at:
             form = _SPACE.sub(" ", text[at:end]).strip(" ").translate(_ASCII_LOWER)
             if form:
-                yield at, end, opens + 2 * feed, form.count(" ") + 1, form
+                words = form.encode("utf-8", "surrogatepass").split(b" ")
+                starts = _chunk_starts(words)
+                if not starts:
+                    yield at, end, opens + 2 * feed, len(words), form
+                else:
+                    yield from _chunks(text, at, end, opens, feed, words, starts)
                 opens = 0
         if feed:
             at, opens = end + 1, 1
@@ -65,6 +92,15 @@ def units(text: str) -> Iterator[tuple[int, int, int, int, str]]:
             at = max(end, at + 1)
 
 
+def _chunks(text: str, at: int, end: int, opens: int, feed: bool, words: list[bytes], starts: list[int]) -> Iterator[tuple[int, int, int, int, str]]:
+    """The units of a sentence of more than one chunk."""
+    n, places = len(words), [m.start() for m in _WORD.finditer(text, at, end)]
+    for a, b in zip([0, *starts], [*starts, n]):
+        form = b" ".join(words[max(0, min(a, n - CONTEXT)) : max(b, a + CONTEXT)]).decode("utf-8", "surrogatepass")
+        edges = (opens if a == 0 else 0) + (2 * feed if b == n else 0)
+        yield places[a] if a else at, places[b] if b < n else end, edges, b - a, form
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """One row per unit: doc_id, version (hash of the text), start and end as one number (``place``), number
     in the text, words and edges as another (``meta``), its digest in two halves, and whether the text
