@@ -115,6 +115,17 @@ def test_toxicity_without_labels(spark, labelled):
         assert {r.predicted for r in toxicity.score(docs.limit(20), toxicity.fit(docs, few)).collect()} == {0}
 
 
+def test_toxicity_learns_from_ten_toxic_rows(spark):
+    rng = random.Random(12)
+    marked = lambda: prose(rng, 30) + " you utter nitwit and worthless blockhead " + prose(rng, 5)
+    few = ["nitwit", "blockhead", "numbskull"]
+    found = [(k, prose(rng, 20) + f" {few[k % 3]} " + prose(rng, 20) if k < 12 else prose(rng, 40), "en", "s", 1) for k in range(80)]
+    labels = spark.createDataFrame([(k, int(k < 12)) for k in range(80)], "doc_id long, toxic int")
+    new = [(1000 + k, marked() if k % 2 else prose(rng, 40), "en", "s", 1) for k in range(40)]
+    got = toxicity.score(documents(spark, new), toxicity.fit(documents(spark, found), labels)).collect()
+    assert sum(r.predicted == r.doc_id % 2 for r in got) >= 36
+
+
 def test_preference_pairs(spark):
     chosen = spark.createDataFrame(
         [(1, 0, "user", "q"), (1, 1, "assistant", "good"), (1, 2, "user", "thanks"), (2, 0, "user", "same"), (3, 5, None, None), (4, 0, "user", "a"),

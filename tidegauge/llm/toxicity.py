@@ -3,7 +3,8 @@
 1. A bounded, hash-ordered sample of labelled rows (``sample``) is featurised on the executors:
    every distinct character n-gram of the whole lower-cased text falls into a hash bucket.
 2. Per bucket, documents of either label are counted; the log-count ratio scales the feature, and
-   at most ``features`` buckets, those that tell the labels apart best and beyond chance, are kept.
+   at most ``features`` buckets, those that tell the labels apart best, are kept: those beyond
+   chance, and of few toxic rows, where nothing can be, the best ``least_features``.
 3. A logistic regression is fitted on the scaled presence of those buckets. What reaches the driver
    is at most ``features`` ratios and ``sample`` rows of at most ``features`` bucket numbers.
 4. Scoring reads every whole text once with a table of known size and needs no shuffle.
@@ -37,6 +38,8 @@ class ToxicityConfig:
     sample: int = 8192
     #: Least gain in log-likelihood of a feature; a million useless buckets reach 14 by chance.
     least_gain: float = 20.0
+    #: The best features are kept whatever their gain: gains grow with the toxic rows, and ten of them reach 20 hardly ever.
+    least_features: int = 64
     smoothing: float = 1.0
     penalty: float = 5.0
     steps: int = 2000
@@ -130,11 +133,12 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
         .groupBy("bucket")
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         .select("bucket", F.log(p / q).alias("ratio"), gain.alias("gain"))
-        .where(F.col("gain") >= config.least_gain)
+        .where("gain > 0")
         .orderBy(F.desc("gain"), "bucket")
         .limit(config.features)
         .toPandas()
     )
+    kept = kept[(kept["gain"] >= config.least_gain) | (kept.index < config.least_features)]
     slots = np.full(1 << config.bits, -1, np.int16)
     slots[kept["bucket"].to_numpy()] = np.arange(len(kept), dtype=np.int16)
     ratio = kept["ratio"].to_numpy(np.float64)
