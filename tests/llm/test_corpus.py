@@ -172,6 +172,21 @@ def test_licence_families(spark):
     assert licenses.scan(empty(spark), licenses.fit(empty(spark))).isEmpty()
 
 
+def test_reserved_rights_and_first_lines_of_licences(spark):
+    rng = random.Random(16)
+    lines = [
+        ("proprietary", "All rights reserved."),
+        ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+        ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+        (None, prose(rng, 12)),
+    ]
+    found = [(k, prose(rng, 15) + "\n" + lines[k % 4][1] + "\n" + prose(rng, 15), "en", "s", 1) for k in range(120)]
+    docs = documents(spark, found)
+    for r in licenses.scan(docs, licenses.fit(docs)).collect():
+        family = lines[r.doc_id % 4][0]
+        assert r.families == r.confirmed_families == ([family] if family else [])
+
+
 def test_the_pipeline_keeps_what_each_stage_should(spark, labelled, tmp_path):
     docs, labels = labelled
     rng = random.Random(2)
