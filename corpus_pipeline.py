@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm import minhash, packing, quality, substring, toxicity
 from tidegauge.llm.tables import table
-from tidegauge.session import shared_folder
+from tidegauge.session import cut_lineage, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +30,18 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates by five-word shingles.
 
-    Documents without an id are kept; of repeated rows of one id, one stays.
+    Documents without an id are kept; of repeated rows of one id, one stays (the least in the order of
+    the columns).
     """
-    found = minhash.near_duplicates(docs, minhash.SketchConfig(words=5, percent=80))
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    found = minhash.near_duplicates(docs, minhash.SketchConfig(words=5, percent=80)).where("doc_id IS NOT NULL")
+    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    ids = cut_lineage(ids.where("NOT kept OR n > 1"))  # a row for each id but the unique and kept ones
+    single = docs.join(ids, docs["doc_id"] == ids["_id"], "left_anti")
+    several = ids.where("kept")
+    several = docs.join(several, docs["doc_id"] == several["_id"], "left_semi")
+    # equal rows are counted together before the shuffle
+    several = several.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    return single.unionByName(several.select("row.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

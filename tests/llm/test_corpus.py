@@ -216,3 +216,19 @@ def test_the_pipeline_keeps_what_each_stage_should(spark, labelled, tmp_path):
     cut = spark.read.parquet(f"{tmp_path}/3").where(F.col("text").contains(passage))
     assert [r.doc_id for r in cut.collect()] == [7000]
     assert seen["packing"] == seen["substring_dedup"]
+
+
+def test_one_row_of_an_id_goes_through_the_pipeline(spark, tmp_path):
+    rng = random.Random(21)
+    rows = [(k, "\n".join(prose(rng, 30) for _ in range(4)), "en", "s", 1) for k in range(12)]
+    copy = (40, rows[3][1], "en", "s", 1)
+    bare = [(None, prose(rng, 90), "en", "s", 1)] * 2
+    table = documents(spark, rows + [rows[0]] * 9 + [copy] * 3 + bare)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert kept.columns == table.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(rows + bare, key=str)
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).where("doc_id IS NOT NULL").groupBy("doc_id")
+    packed = pieces.agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert {r.doc_id for r in packed} == {r[0] for r in rows} and all(r["n"] == r["all"] for r in packed)
