@@ -126,6 +126,13 @@ def test_toxicity_learns_from_ten_toxic_rows(spark):
     assert sum(r.predicted == r.doc_id % 2 for r in got) >= 36
 
 
+def test_toxicity_sample_is_of_documents(spark, labelled):
+    docs, labels = labelled
+    absent = spark.range(100_000, 110_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("toxic"))
+    config = toxicity.ToxicityConfig(sample=500)
+    assert toxicity.training_rows(docs, labels.union(absent), config).count() == 500
+
+
 def test_preference_pairs(spark):
     chosen = spark.createDataFrame(
         [(1, 0, "user", "q"), (1, 1, "assistant", "good"), (1, 2, "user", "thanks"), (2, 0, "user", "same"), (3, 5, None, None), (4, 0, "user", "a"),

@@ -89,13 +89,15 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, config: ToxicityConfig) -> DataFrame:
     """The sample: (text, toxic) of labelled rows outside the held-out fifth.
 
-    At most ``config.sample`` ids are broadcast, so the texts are not shuffled.
+    At most ``config.sample`` ids, all of which have a document, are broadcast, so the texts are not shuffled.
     """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
+        .join(ids, "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(config.sample)
     )
