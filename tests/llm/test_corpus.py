@@ -194,6 +194,13 @@ def test_reserved_rights_and_first_lines_of_licences(spark):
         assert r.families == r.confirmed_families == ([family] if family else [])
 
 
+def test_ordinary_sample_is_of_unlike_lines(spark):
+    rng = random.Random(18)
+    lines = spark.createDataFrame([(x,) for k in range(60) for x in [f"{prose(rng, 8)} {k}"] * (1 + k % 7 * 20)], "line string")
+    found = licenses._ordinary(lines.withColumn("h", F.xxhash64("line")), licenses.LicenseConfig(sample=30))
+    assert found.count() == found.distinct().count() == 30
+
+
 def test_the_pipeline_keeps_what_each_stage_should(spark, labelled, tmp_path):
     docs, labels = labelled
     rng = random.Random(2)
