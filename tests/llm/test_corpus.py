@@ -201,6 +201,14 @@ def test_ordinary_sample_is_of_unlike_lines(spark):
     assert found.count() == found.distinct().count() == 30
 
 
+def test_notices_are_ranked_in_parts(spark):
+    found = [(k, f"Licensed under the MIT License, copy {k}.", "en", "s", 1) for k in range(300)]
+    rows = licenses._training(documents(spark, found), licenses.LicenseConfig(sample=20))
+    assert rows.where("family = 'mit'").count() == 20 + len(licenses.TEMPLATES["mit"])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "pmod" in plan and plan.count("row_number()") >= 2
+
+
 def test_the_pipeline_keeps_what_each_stage_should(spark, labelled, tmp_path):
     docs, labels = labelled
     rng = random.Random(2)
