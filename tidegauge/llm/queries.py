@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, chat, counts, embedding, licenses, minhash, packing, quality, substring, toxicity
+from tidegauge.llm import bpe, chat, counts, embedding, licenses, minhash, negatives, packing, phrases, quality, substring, toxicity, wrappers
 from tidegauge.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,65 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return licenses.scan(docs, licenses.fit(docs))
+
+
+@query("op11_html_extraction")
+def _(spark, sf_dir):
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
+PHRASE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, id, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+q AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+u AS (SELECT lang, id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM q),
+w AS (SELECT lang, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM u WINDOW o AS (PARTITION BY id ORDER BY i)),
+g AS (SELECT lang, 1 AS m, a AS phrase FROM w UNION ALL SELECT lang, 2, a || ' ' || b FROM w WHERE b IS NOT NULL
+      UNION ALL SELECT lang, 3, a || ' ' || b || ' ' || c FROM w WHERE c IS NOT NULL),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY lang, m, phrase),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS words, f AS a FROM f WHERE m > 1 AND f >= 10),
+k AS (SELECT c.*, k, array_to_string(words[1:k], ' ') AS head, array_to_string(words[k + 1:m], ' ') AS tail FROM c, (VALUES (1), (2)) AS v(k) WHERE k < m),
+s AS (SELECT k.lang, k.m, k.phrase, k.a, k.k, x.f AS l, y.f AS r,
+             (CAST(k.a AS HUGEINT) * k.a * 1000000) // (CAST(x.f AS HUGEINT) * y.f) AS score
+      FROM k JOIN f x ON x.lang = k.lang AND x.phrase = k.head AND x.m = k.k JOIN f y ON y.lang = k.lang AND y.phrase = k.tail AND y.m = k.m - k.k),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase, m ORDER BY score, k) = 1),
+parts AS (SELECT lang, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS phrase, a FROM c WHERE m = 3),
+longer AS (SELECT lang, phrase, max(a) AS f FROM parts GROUP BY lang, phrase),
+kept AS (SELECT b.* FROM b LEFT JOIN longer z ON z.lang = b.lang AND z.phrase = b.phrase AND b.m = 2 WHERE z.f IS NULL OR 100 * z.f < 50 * b.a),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT o.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+"""
+
+
+@query("op12_phrase_mining", PHRASE_SQL)
+def _(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+NEGATIVE_SQL = r"""
+WITH e AS (SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.k AS ak, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+             CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.k <> b.k AND len(a.v) = len(b.v)),
+pos AS (SELECT *, row_number() OVER (PARTITION BY ak ORDER BY score DESC, vec_id) AS j FROM p WHERE same QUALIFY j <= 5),
+neg AS (SELECT pos.anchor_id, pos.vec_id AS positive_id, pos.score AS positive_score, n.vec_id AS negative_id, n.score AS negative_score,
+               row_number() OVER (PARTITION BY pos.ak, pos.j ORDER BY n.score DESC, n.vec_id) AS rank
+        FROM pos JOIN p n ON n.ak = pos.ak AND NOT n.same AND 80 * pos.score <= 100 * n.score AND n.score <= pos.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 5
+"""
+
+
+@query("op13_hard_negatives", NEGATIVE_SQL)
+def _(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    finite = lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(finite(x), F.floor(256 * x).cast("double")).otherwise(x))
+    return negatives.mine(vectors.withColumns({"label": label, "embedding": whole}), F.col("vec_id") % 100 == 0)
