@@ -1,7 +1,5 @@
 import random
 
-import pytest
-
 from tidegauge.llm import wrappers
 
 PAGES = "page_id long, url string, html string"
@@ -31,7 +29,6 @@ def test_blocks_of_broken_markup():
     assert texts(deep) == ["in", "out"]
 
 
-@pytest.mark.timeout(60) if hasattr(pytest.mark, "timeout_") else pytest.mark.usefixtures()
 def test_long_pages_take_time_in_proportion():
     for page in ("<a" * 200_000, "<p x=\"" * 100_000, "<!--" * 100_000, "<b><p>" * 100_000, "&" * 300_000, "<" * 300_000 + ">"):
         list(wrappers.blocks(page))

@@ -11,8 +11,8 @@
 4. In the result the slots of the main text are chosen: inside article or main elements where there
    are any, else in the whole body, without boilerplate (navigation, notices, adverts, reader comments ...),
    lists of links, and texts that stay the same on all pages while the rest changes.
-5. Each page's texts in chosen slots are its main text. A page that has none of its host's
-   chosen slots is read by its own expression.
+5. Each page's texts in chosen slots are its main text. A page that has none, since it marks no article
+   where its host's others do, is read by the slots chosen without marks, else by its own expression.
 
 Expressions merge like counts: first within a partition, then in rounds of a bounded number of parts, so
 a host with a third of the pages never is one task. Equal pages of a partition count once.
@@ -325,8 +325,8 @@ def render(part: Part, key: str = "", pages: int | None = None) -> str:
     return out + ("+" if part.many else "") + ("?" if pages is not None and part.pages < pages else "")
 
 
-def main_slots(root: Part, config: WrapperConfig = WrapperConfig()) -> list[tuple[str, ...]]:
-    """Paths of the slots that hold the main text."""
+def main_slots(root: Part, config: WrapperConfig = WrapperConfig(), marks: bool = True) -> list[tuple[str, ...]]:
+    """Paths of the slots that hold the main text; without ``marks``, of pages that mark no article on such a host."""
     found: list[tuple[tuple[str, ...], Part]] = []
     stack: list[tuple[tuple[str, ...], Part]] = [((), root)]
     while stack:
@@ -335,7 +335,8 @@ def main_slots(root: Part, config: WrapperConfig = WrapperConfig()) -> list[tupl
             if key == TEXT:
                 found.append((path, kid))
             else:
-                stack.append(((*path, key), kid))
+                if marks or key.lstrip("!") not in ("article", "main"):
+                    stack.append(((*path, key), kid))
 
     def poor(keys):
         return any(k.startswith("!") for k in keys)
@@ -422,7 +423,8 @@ def expressions(pages: DataFrame, config: WrapperConfig = WrapperConfig()) -> Da
 
 
 def wrappers(pages: DataFrame, config: WrapperConfig = WrapperConfig()) -> DataFrame:
-    """host, n_pages (different ones), wrapper (the expression as text) and slots (paths of the main text, as text)."""
+    """host, n_pages (different ones), wrapper (the expression as text), slots (paths of the main text, as text)
+    and unmarked (those of pages that mark no article)."""
 
     def run(batches):
         for batch in batches:
@@ -431,12 +433,12 @@ def wrappers(pages: DataFrame, config: WrapperConfig = WrapperConfig()) -> DataF
                 batch["host"],
                 pa.array([p.pages for p in parts], pa.int64()),
                 pa.array([render(p) for p in parts], pa.string()),
-                pa.array([["/".join(s) for s in main_slots(p, config)] for p in parts], pa.list_(pa.string())),
+                *(pa.array([["/".join(s) for s in main_slots(p, config, marks)] for p in parts], pa.list_(pa.string())) for marks in (True, False)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["host", "n_pages", "wrapper", "slots"])
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "n_pages", "wrapper", "slots", "unmarked"])
 
     found = expressions(pages, config)
-    return found.mapInArrow(run, "host string, n_pages long, wrapper string, slots array<string>")
+    return found.mapInArrow(run, "host string, n_pages long, wrapper string, slots array<string>, unmarked array<string>")
 
 
 def main_text(pages: DataFrame, config: WrapperConfig = WrapperConfig()) -> DataFrame:
@@ -445,23 +447,25 @@ def main_text(pages: DataFrame, config: WrapperConfig = WrapperConfig()) -> Data
     Slots are few bytes a host, pages are many: a host with more than one in config.hot pages (there
     are at most config.hot such hosts) has its pages dealt into salted parts, so that none is one task.
     """
-    slots = cut_lineage(wrappers(pages, config).select("host", "n_pages", "slots"))
+    slots = cut_lineage(wrappers(pages, config).select("host", "slots", "unmarked"))
     narrow = pages.select(F.col("page_id"), F.col("url"), F.col("html").cast("string").alias("html"), _host().alias("host"))
     counts = cut_lineage(narrow.groupBy("host").agg(F.count("*").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(counts.where(F.col("n") * config.hot > total).select("host", F.lit(config.salts).alias("salts")))
     salted = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
-    rules = cut_lineage(slots.join(hot, "host", "left").select(F.col("host").alias("_host"), "slots", salted.alias("_salt")))
+    rules = cut_lineage(slots.join(hot, "host", "left").select(F.col("host").alias("_host"), "slots", "unmarked", salted.alias("_salt")))
     dealt = narrow.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", F.length("html")), F.coalesce("salts", F.lit(1))).cast("int"))
     joined = dealt.join(rules, (F.col("host") == F.col("_host")) & (F.col("salt") == F.col("_salt")), "left")
 
     def run(batches):
         for batch in batches:
             texts = []
-            for page, chosen in zip(batch["html"], batch["slots"].to_pylist()):
+            for page, *choices in zip(batch["html"], batch["slots"].to_pylist(), batch["unmarked"].to_pylist()):
                 found = list(blocks(page.as_py() or "", config.depth))
-                chosen = set(chosen or ())
-                kept = [text for path, _, text, _ in found if "/".join(path) in chosen]
+                for chosen in choices:
+                    kept = [text for path, _, text, _ in found if "/".join(path) in (chosen or ())]
+                    if kept:
+                        break
                 if not kept and found:
                     own = set(main_slots(expression(found), config))
                     kept = [text for path, _, text, _ in found if path in own]
@@ -470,4 +474,4 @@ def main_text(pages: DataFrame, config: WrapperConfig = WrapperConfig()) -> Data
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
     ids = pages.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "slots").mapInArrow(run, f"page_id {ids}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "slots", "unmarked").mapInArrow(run, f"page_id {ids}, url string, text string, n_chars long")
