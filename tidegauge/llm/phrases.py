@@ -43,7 +43,7 @@ class PhraseConfig:
     #: Phrases returned of a language.
     top: int = 2000
     #: One word in so many is a trigger.
-    spacing: int = 16
+    spacing: int = 32
     #: A chunk owns at most so many words, whatever the triggers.
     widest: int = 64
     #: Bits of the bitmap of frequent phrases: 16 MB.
@@ -51,7 +51,7 @@ class PhraseConfig:
     #: Chunks that a task holds before it hands them on.
     held: int = 200_000
     #: Words whose phrases a task counts at once.
-    words_at_once: int = 1 << 20
+    words_at_once: int = 1 << 21
     #: Parts in which a language is ranked first.
     parts: int = 64
 
@@ -63,6 +63,9 @@ ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 def _chunks(words: list[bytes], trigger: Callable[[bytes], bool], config: PhraseConfig) -> Iterator[tuple[bytes, int]]:
     """Chunks of a piece with the number of words that each owns."""
     n, start, more = len(words), 0, config.longest - 1
+    if n <= config.widest and not any(map(trigger, words)):
+        yield b" ".join(words), n
+        return
     for at in range(1, n):
         if trigger(words[at]) or at - start == config.widest:
             yield b" ".join(words[start : at + more]), at - start
