@@ -92,6 +92,9 @@ def test_bpe_tables(spark, reference):
         if r.doc_id is not None:
             assert list(r.ids) == reference.encode_ordinary(texts[r.doc_id]) and bytes(r.data).decode() == texts[r.doc_id]
     assert bpe.digests(bpe.decode(bpe.encode(empty(spark), RANKS), RANKS)).isEmpty()
+    one_by_one = bpe.digests(bpe.decode(bpe.encode(documents(spark), RANKS), RANKS))
+    assert sorted(map(str, bpe.round_trip(documents(spark), RANKS).collect())) == sorted(map(str, one_by_one.collect()))
+    assert bpe.round_trip(empty(spark), RANKS).isEmpty()
 
 
 def test_count_table(spark):

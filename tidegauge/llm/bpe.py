@@ -258,23 +258,50 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, data binary")
 
 
+class _Decimal(dict):
+    """Ids as decimal text."""
+
+    def __missing__(self, token: int) -> bytes:
+        self[token] = text = str(token).encode()
+        return text
+
+
+def _digest(ids: list[int]) -> str:
+    """SHA-256 of the decimal ids joined by commas."""
+    return hashlib.sha256(b",".join(map(once("decimal", _Decimal).__getitem__, ids))).hexdigest()
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """n_tokens, the SHA-256 of the decimal ids joined by commas, and that of the decoded bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal = once("decimal", dict)
         for batch in batches:
-            sizes, hashes = [], []
-            for ids in batch["ids"]:
-                found = ids.values.to_numpy().tolist()
-                sizes.append(len(found))
-                for new in {*found} - decimal.keys():
-                    decimal[new] = str(new).encode()
-                hashes.append(hashlib.sha256(b",".join(map(decimal.__getitem__, found))).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), batch["decoded_sha256"]],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            found = [ids.values.to_numpy().tolist() for ids in batch["ids"]]
+            sizes, hashes = pa.array(map(len, found), pa.int64()), pa.array(map(_digest, found), pa.string())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], sizes, hashes, batch["decoded_sha256"]], names=DIGESTS)
 
     hashed = decoded.select("doc_id", "ids", F.sha2("data", 256).alias("decoded_sha256"))
-    return hashed.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return hashed.mapInArrow(run, DIGEST_SCHEMA)
+
+
+DIGESTS = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``digests(decode(encode(docs)))`` in one pass, so that no list of ids leaves its worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(path)
+        decode_ids = encoder.vocabulary.decode
+        for batch in batches:
+            sizes, hashes, decoded = [], [], []
+            for text in batch["text"]:
+                ids = memoryview(encoder(text.as_py())).cast("I").tolist()
+                sizes.append(len(ids))
+                hashes.append(_digest(ids))
+                decoded.append(hashlib.sha256(decode_ids(ids)).hexdigest())
+            columns = [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=DIGESTS)
+
+    return texts(docs).mapInArrow(run, DIGEST_SCHEMA)

@@ -114,8 +114,7 @@ def _(spark, sf_dir):
 @query("op5_byte_bpe")
 def _(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
-    return bpe.digests(decoded)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), path)
 
 
 @query("op6_substring_dedup")
