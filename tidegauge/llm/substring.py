@@ -4,14 +4,15 @@
    starts at a word whose hash is under those of the ``REACH`` words on either side, so that chunks of a
    passage align wherever in a sentence it begins or ends; equal words in a row have no such place.
    A unit is normalised (A-Z lower-cased, ASCII white space made single spaces, none at the ends) and
-   digested to 128 bits, a chunk together with the words after it (at a sentence's end, before it) up to
+   digested to 96 bits, a chunk together with the words after it (at a sentence's end, before it) up to
    ``CONTEXT`` words, so that short phrases don't count as repeated. Its place is kept in characters.
-2. Digests are grouped over all documents, pre-aggregated before the shuffle; each keeps its
-   earliest occurrence by (doc_id, place). Digests of one document leave here.
-   A later occurrence is one in another document than the smallest id, or a repetition in its own text.
-3. Later occurrences go back to their documents. A stretch of neighbouring later occurrences is
-   removed if it has ``least_words`` words; shorter ones are left, so that common short lines
-   and set phrases of clean texts stay.
+2. A text's units are written as one row. Their digests are grouped over all documents, pre-aggregated before
+   the shuffle; each that more than one document holds keeps its smallest doc_id, and is marked in a bitmap of a
+   fixed size. A later occurrence is one in another document than that, or a repetition in its own text.
+3. Inside each document, stretches of neighbouring units that are marked or repeated and have at least ``least_words``
+   words ask for their digests' smallest doc_id; all other units are never sent. A false mark costs a question. Very
+   common digests are known to the tasks. A stretch of neighbouring later occurrences is then removed if it has
+   ``least_words`` words; shorter ones are left, so that common short lines and set phrases of clean texts stay.
 4. The spans removed are returned with their original offsets next to the remaining text.
 
 Defined results: null, empty and blank texts have no units and stay as they are, null included. A null
@@ -24,10 +25,10 @@ named like ours.
 from __future__ import annotations
 
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -101,31 +102,125 @@ def _chunks(text: str, at: int, end: int, opens: int, feed: bool, words: list[by
         yield places[a] if a else at, places[b] if b < n else end, edges, b - a, form
 
 
+Digest = tuple[int, int]
+#: Bits of the bitmap of repeated digests: 16 MB.
+BITS = 1 << 27
+#: A digest in more than one of so many occurrences is looked up without a shuffle; there are fewer such digests.
+HOT = 1000
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """One row per unit: doc_id, version (hash of the text), start and end as one number (``place``), number
-    in the text, words and edges as another (``meta``), its digest in two halves, and whether the text
-    holds it before (``again``)."""
-    names = ["doc_id", "version", "place", "meta", "h0", "h1", "again"]
-    types = [*[pa.int64()] * 6, pa.bool_()]
+    """One row per text: doc_id, version (hash of the text), its number of units, and of all units, as bytes, the
+    digest's first 64 and next 32 bits, the gap since the unit before and the length in characters, words, and edges."""
+    names = ["doc_id", "version", "size", "h0", "h1", "gap", "length", "words", "edges"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
         for batch in batches:
-            for doc, version, text in zip(batch["doc_id"].to_pylist(), batch["version"].to_pylist(), batch["text"]):
-                seen = set()
-                for k, (start, end, edges, words, form) in enumerate(units(text.as_py())):
-                    h0, h1 = struct.unpack("<qq", xxhash.xxh3_128_digest(form.encode("utf-8", "surrogatepass")))
-                    rows.append((doc, version, start << 32 | end, k << 34 | words << 2 | edges, h0, h1, (h0, h1) in seen))
-                    seen.add((h0, h1))
-                if len(rows) > 50_000:
-                    yield batch_of(rows)
-                    rows = []
-        if rows:
-            yield batch_of(rows)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                cells: list[list] = [[] for _ in names[2:]]
+                for text in part["text"]:
+                    found = list(units(text.as_py()))
+                    digests = b"".join([xxhash.xxh3_128_digest(u[4].encode("utf-8", "surrogatepass"))[:12] for u in found])
+                    halves = np.frombuffer(digests, [("h0", "<i8"), ("h1", "<i4")])
+                    start, end, edges, words = np.array([u[:4] for u in found], np.int64).reshape(-1, 4).T
+                    gap = start - np.r_[0, end[:-1]][: len(start)]
+                    columns = (halves["h0"], halves["h1"], gap.astype("<i4"), (end - start).astype("<i4"), words.astype("<i4"), edges.astype("<i1"))
+                    for cell, value in zip(cells, (len(found), *[c.tobytes() for c in columns])):
+                        cell.append(value)
+                kinds = [pa.int64(), *[pa.binary()] * 6]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["version"], *map(pa.array, cells, kinds)], names=names)
 
     known = texts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("version", F.xxhash64("text"))
-    return known.mapInArrow(run, "doc_id long, version long, place long, meta long, h0 long, h1 long, again boolean")
+    return known.mapInArrow(run, "doc_id long, version long, size long, h0 binary, h1 binary, gap binary, length binary, words binary, edges binary")
+
+
+def _digests(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(row["h0"], "<i8"), np.frombuffer(row["h1"], "<i4")
+
+
+def _first_here(h0: np.ndarray, h1: np.ndarray) -> np.ndarray:
+    """Whether no unit before it in the text has the same digest."""
+    order = np.lexsort((np.arange(len(h0)), h1, h0))
+    same = (h0[order][1:] == h0[order][:-1]) & (h1[order][1:] == h1[order][:-1])
+    out = np.ones(len(h0), bool)
+    out[order[1:][same]] = False
+    return out
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    for k in range(batch.num_rows):
+        yield {c: batch[c][k].as_py() for c in batch.schema.names}
+
+
+def earliest(found: DataFrame) -> DataFrame:
+    """h0, h1, first_doc and n (documents) of the digests in more than one document."""
+
+    def run(batches):
+        for batch in batches:
+            for row in _rows(batch):
+                h0, h1 = _digests(row)
+                own = _first_here(h0, h1)
+                doc = pa.array(np.full(int(own.sum()), row["doc_id"], np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(h0[own]), pa.array(h1[own]), doc], names=["h0", "h1", "doc_id"])
+
+    rows = found.where("size > 0").select("doc_id", "h0", "h1").mapInArrow(run, "h0 long, h1 int, doc_id long")
+    grouped = rows.groupBy("h0", "h1").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n"))
+    return grouped.where("first_doc < last_doc").select("h0", "h1", "first_doc", "n")
+
+
+def _marks(repeated: DataFrame):
+    """The bitmap of the repeated digests as a broadcast of BITS bits, whatever their number."""
+    place = F.pmod("h0", F.lit(BITS))
+    rows = repeated.groupBy(F.expr(f"pmod(h0, {BITS}) div 32768").alias("row")).agg(F.bitmap_construct_agg(place % 32768).alias("bitmap"))
+    bits = bytearray(BITS // 8)
+    for r in rows.toLocalIterator():  # at most BITS / 32,768 rows of 4 KB
+        bits[r["row"] * 4096 : (r["row"] + 1) * 4096] = bytes(r["bitmap"])
+    return repeated.sparkSession.sparkContext.broadcast(bytes(bits))
+
+
+def _long_runs(candidate: np.ndarray, words: np.ndarray, least_words: int) -> np.ndarray:
+    """Units in stretches of neighbouring candidates with enough words."""
+    change = np.flatnonzero(np.diff(np.r_[False, candidate, False].astype(np.int8)))
+    total = np.r_[0, np.cumsum(words)]
+    out = np.zeros(len(candidate), bool)
+    for a, b in zip(change[::2], change[1::2]):
+        out[a:b] = total[b] - total[a] >= least_words
+    return out
+
+
+def candidates(found: DataFrame, marks, hot: dict[Digest, int], least_words: int) -> DataFrame:
+    """The units that may be later occurrences and stand in stretches long enough: doc_id, version, digest, place,
+    meta, and first_doc where it is known (repetitions in the text itself, hot digests)."""
+    names = ["doc_id", "version", "h0", "h1", "place", "meta", "first_doc"]
+
+    def run(batches):
+        bits = np.frombuffer(marks.value, np.uint8)
+        hot_h0 = np.array(sorted({h for h, _ in hot}), np.int64)
+        for batch in batches:
+            for row in _rows(batch):
+                h0, h1 = _digests(row)
+                place = (h0 % BITS).astype(np.int64)
+                again = ~_first_here(h0, h1)
+                candidate = again | ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1)
+                words = np.frombuffer(row["words"], "<i4").astype(np.int64)
+                at = np.flatnonzero(_long_runs(candidate, words, least_words))
+                if not len(at):
+                    continue
+                gap, length = (np.frombuffer(row[c], "<i4").astype(np.int64) for c in ("gap", "length"))
+                end = np.cumsum(gap + length)
+                spot, meta = (end - length) << 32 | end, np.arange(len(h0)) << 34 | words << 2 | np.frombuffer(row["edges"], np.int8)
+                first = [row["doc_id"] if a else None for a in again[at].tolist()]
+                no_repeat = np.zeros(len(at), bool)
+                for k in np.flatnonzero(np.isin(h0[at], hot_h0) & ~again[at]).tolist():
+                    first[k] = hot.get((int(h0[at[k]]), int(h1[at[k]])))
+                    no_repeat[k] = first[k] == row["doc_id"]
+                ids = [pa.array(np.full(len(at), row[c], np.int64)) for c in ("doc_id", "version")]
+                columns = [*ids, *(pa.array(c[at]) for c in (h0, h1, spot, meta)), pa.array(first, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(~no_repeat))
+
+    schema = "doc_id long, version long, h0 long, h1 int, place long, meta long, first_doc long"
+    return found.where("size > 0").mapInArrow(run, schema)
 
 
 def stretches(group: list[dict], least_words: int) -> list[dict]:
@@ -159,13 +254,17 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     that keeps the earliest occurrence of its longest unit.
     """
     found = cut_lineage(occurrences(docs))
-    once = found.where("NOT again")
-    earliest = once.groupBy("h0", "h1").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = cut_lineage(earliest(found))
+    total = found.agg(F.sum("size")).first()[0] or 0
+    hot = {(r["h0"], r["h1"]): r["first_doc"] for r in repeated.where(F.col("n") * HOT > total).collect()}  # under HOT rows
+    later = cut_lineage(candidates(found, _marks(repeated), hot, least_words))
     item = F.struct("meta", "place", "first_doc")
-    others = once.join(earliest, ["h0", "h1"]).where("doc_id <> first_doc").select("doc_id", "version", item.alias("u"))
-    own = found.where("again").withColumn("first_doc", F.col("doc_id")).select("doc_id", "version", item.alias("u"))
+    known = later.where("first_doc IS NOT NULL")
+    asked = later.where("first_doc IS NULL").drop("first_doc").join(repeated.drop("n"), ["h0", "h1"])
+    others = asked.where("doc_id <> first_doc")
+    both = known.select("doc_id", "version", item.alias("u")).unionByName(others.select("doc_id", "version", item.alias("u")))
     # the units of one text: bounded by the text itself
-    lists = others.unionByName(own).groupBy("doc_id", "version").agg(F.collect_set("u").alias("u"))
+    lists = both.groupBy("doc_id", "version").agg(F.collect_set("u").alias("u"))
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("first_doc", pa.int64())]))
 
     def run(batches):
