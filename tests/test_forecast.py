@@ -271,3 +271,81 @@ def test_only_shared_origins_are_ranked_and_short_series_are_named(spark):
     rows = spark.range(33).selectExpr("if(id < 20, 'long', 'short') AS k", "1 AS fold", "'train' AS role")
     (short,) = too_short(rows, SeriesSpec.of("k")).collect()
     assert (short.k, short.training_days) == ("short", 13)
+
+
+def test_wide_quantiles_are_those_of_sorting(spark):
+    import numpy as np
+
+    from tidegauge.operators.orderstats import column_facts, sortable, wide_quantiles
+
+    rng = np.random.default_rng(4)
+    columns = {
+        "small": rng.integers(-5, 5, 900).astype(float), "close": 1.0 + rng.integers(0, 50, 900) * 2.0**-50, "wide": rng.normal(0, 1e200, 900),
+        "signs": rng.choice([-0.0, 0.0, -1e-310, 1e-310], 900), "none": np.full(900, np.nan), "one": np.full(900, 7.25),
+    }
+    fold = rng.choice([0, 1, 1, 1, 2], 900)
+    cells = [(int(f), *[None if np.isnan(x) or k % 11 == 0 else float(x) for x in row]) for k, (f, row) in enumerate(zip(fold, zip(*columns.values())))]
+    df = spark.createDataFrame(cells, "fold int, " + ", ".join(f"{c} double" for c in columns)).repartition(5)
+    points = {"low": 0.0, "q": 0.237, "median": 0.5, "high": 1.0}
+    got = wide_quantiles(df, "fold", list(columns), points)
+    for f in (0, 1, 2):
+        for k, c in enumerate(columns):
+            mine = np.array([r[k + 1] for r in cells if r[0] == f and r[k + 1] is not None], float)
+            if not len(mine):
+                assert (f, c) not in got
+            else:
+                assert got[f, c] == pytest.approx({n: float(np.quantile(mine, p)) for n, p in points.items()}, rel=1e-15, abs=0)
+    facts = {r["column"]: r for r in column_facts(df, list(columns)).collect()}
+    for k, c in enumerate(columns):
+        mine = [r[k + 1] for r in cells]
+        assert facts[c].missing_values == mine.count(None) and facts[c].rows == 900
+        assert facts[c].unique_values == len({x + 0.0 for x in mine if x is not None})
+    values = np.array([-np.inf, -2.0, -1e-320, -0.0, 0.0, 1e-320, 3.0, np.inf])
+    assert (np.diff(sortable(values).astype(object)) >= 0).all() and sortable(values)[3] == sortable(values)[4]
+    assert wide_quantiles(df.where("false"), "fold", ["small"], points) == {}
+
+
+def test_hybrid_learns_only_from_known_residuals(spark, source):
+    from tidegauge.operators.forecast import hybrid as H
+    from tidegauge.operators.forecast import ledger as K
+
+    config = P.ForecastConfig()
+    prepared = P.prepare_forecast(source, SPEC, config)
+    calendar = P.plan_calendar(prepared.frame, SPEC, config)
+    folds = [calendar.holdout, *calendar.folds]
+    rows = P.assign_folds(prepared.frame, SPEC, folds)
+    base = X.baseline_predictions(rows.where("role = 'validation'"), SPEC).where("model_name = 'seven_day_drift'").persist()
+    grid = H.correctors({"compact": prepared.compact}, (10.0, 100.0))
+    found = H.residual_hybrid(base, prepared.frame, SPEC, calendar, config, grid, "mixed")
+    assert {r.configuration for r in found.inner_scores.collect()} == {"compact_a10", "compact_a100"}
+    best = found.inner_scores.orderBy("mean_mae", "configuration").first().configuration
+    assert found.corrector.name == best
+    assert found.predictions.count() == base.count()
+    first = found.predictions.where("fold = '1'").join(base.withColumnRenamed(V.FORECAST, "told"), "forecast_origin_date")
+    assert first.where(f"{V.FORECAST} <> told").isEmpty()
+    # outcomes of the holdout change nothing that was forecast
+    spoilt = base.withColumn("actual_value", F.when(F.col("fold") == "holdout", 1e9).otherwise(F.col("actual_value")))
+    again = H.residual_hybrid(spoilt, prepared.frame, SPEC, calendar, config, grid, "mixed")
+    told = lambda h: sorted((r[0], r[1]) for r in h.predictions.select("forecast_origin_date", V.FORECAST).collect())
+    assert told(again) == told(found) and again.corrector == found.corrector
+    ledger = K.audited(K.fitted_statistics(spark, "hybrid", found.sums, found.processors, found.models), folds)
+    assert ledger.where("late").isEmpty() and not ledger.isEmpty()
+    with pytest.raises(CapacityError):
+        H.inner_folds(calendar.first, calendar.first, 7)
+
+
+def test_leading_trees_are_those_of_a_shorter_fit(spark, source):
+    from tidegauge.operators.forecast import boosted as B
+    from tidegauge.operators.forecast import linear as L
+
+    prepared = P.prepare_forecast(source, SPEC)
+    calendar = P.plan_calendar(prepared.frame, SPEC, prepared.config)
+    rows = P.assign_folds(prepared.frame, SPEC, [calendar.folds[-1]]).persist()
+    (sums,) = L.fold_sums(rows.where("role = 'train'"), prepared.compact, P.CHANGE).values()
+    processor = L.fit_processor(sums, prepared.compact)
+    whole = B.fit_boosted(rows, processor, P.CHANGE, B.BoostConfig(iterations=8))
+    short = B.fit_boosted(rows, processor, P.CHANGE, B.BoostConfig(iterations=8), 3)
+    held = B.filled(rows.where("role = 'validation'"), processor)
+    told = lambda m: [r.prediction for r in m.transform(held).orderBy("date").select("prediction").collect()]
+    assert told(B.leading_trees(whole, 3)) == pytest.approx(told(short))
+    assert B.trees_used(B.leading_trees(whole, 3)) == 3 and B.leading_trees(whole, 8) is whole

@@ -10,8 +10,10 @@ from tidegauge.operators.forecast import boosted as B
 from tidegauge.operators.forecast import ensemble as N
 from tidegauge.operators.forecast import evaluate as V
 from tidegauge.operators.forecast import gate as G
+from tidegauge.operators.forecast import hybrid as H
 from tidegauge.operators.forecast import importance as M
 from tidegauge.operators.forecast import intervals as I
+from tidegauge.operators.forecast import ledger as K
 from tidegauge.operators.forecast import linear as L
 from tidegauge.operators.forecast import monitor as O
 from tidegauge.operators.forecast import prepare as P
@@ -237,8 +239,9 @@ for _challenger in ("seven_day_drift", "half_drift"):
 
 
 RESIDUAL = PRED + """, oof AS (SELECT *, CAST(fold AS INTEGER) AS k FROM pred WHERE fold <> 'holdout' AND model = 'seven_day_drift'),
-  cuts AS (SELECT oof.series, f.k, quantile_cont(actual - fc, 0.1) AS q10, quantile_cont(actual - fc, 0.5) AS q50, quantile_cont(actual - fc, 0.9) AS q90
-    FROM (SELECT unnest([2, 3, 4, 5, 6]) AS k) f JOIN oof ON oof.k < f.k GROUP BY 1, 2),
+  fs AS (SELECT CASE WHEN fold = 'holdout' THEN 6 ELSE CAST(fold AS INTEGER) END AS k, min(origin) AS first_day FROM pred GROUP BY 1),
+  cuts AS (SELECT oof.series, fs.k, quantile_cont(actual - fc, 0.1) AS q10, quantile_cont(actual - fc, 0.5) AS q50, quantile_cont(actual - fc, 0.9) AS q90
+    FROM fs JOIN oof ON oof.k < fs.k AND oof.target_date < fs.first_day GROUP BY 1, 2),
   band AS (SELECT t.*, fc + q10 AS lo, fc + q50 AS mid, fc + q90 AS hi FROM (
     SELECT *, CASE WHEN fold = 'holdout' THEN 6 ELSE CAST(fold AS INTEGER) END AS k FROM pred WHERE model = 'seven_day_drift') t JOIN cuts USING (series, k))"""
 
@@ -477,6 +480,110 @@ def _(spark, sf):
     return V.champion_row(out, spec, "half_drift").select("series", "forecast_origin_date", "target_date", FC, "horizon_days")
 
 
+# ---- fitted statistics that SQL can work out -----------------------------------
+PAIR = (P.CURRENT, "load_lag_7")
+TRAIN = CAL + """, tr AS (SELECT p.*, fold FROM p JOIN folds ON date <= train_last)"""
+
+
+def _pair_sums(spark, sf):
+    rows, calendar, prepared, spec = _stored(spark, sf)
+    return L.fold_sums(rows.where("role = 'train'"), PAIR, P.CHANGE, spec.date), rows, calendar, prepared, spec
+
+
+def _solved(n, alpha, x1, x2, y, group, source):
+    """SQL of ridge on two standardised features after median filling: weights on the raw scale and the intercept."""
+    return f"""(SELECT *, ((n + {alpha}) * n * t1 - n * rho * n * t2) / det / s1 AS b1, ((n + {alpha}) * n * t2 - n * rho * n * t1) / det / s2 AS b2 FROM (
+      SELECT *, (n + {alpha}) * (n + {alpha}) - n * rho * n * rho AS det FROM (
+      SELECT {group}, CAST(count(*) AS DOUBLE) AS n, avg({x1}) AS m1, avg({x2}) AS m2, avg({y}) AS my, stddev_pop({x1}) AS s1, stddev_pop({x2}) AS s2,
+        corr({x1}, {x2}) AS rho, covar_pop({x1}, {y}) / stddev_pop({x1}) AS t1, covar_pop({x2}, {y}) / stddev_pop({x2}) AS t2 FROM {source} GROUP BY {group})))"""
+
+
+FILLED = TRAIN + """, md AS (SELECT fold, quantile_cont(cur, 0.5) AS c50, quantile_cont(lag7, 0.5) AS l50 FROM tr GROUP BY 1),
+  z AS (SELECT fold, cur, coalesce(lag7, l50) AS lag, target - cur AS y, date FROM tr JOIN md USING (fold))"""
+
+
+@register(
+    "fc07_medians_and_spans",
+    TRAIN + " " + " UNION ALL ".join(
+        f"""SELECT fold, '{c}' AS feature, quantile_cont({x}, 0.5) AS median, avg(CAST({x} IS NULL AS DOUBLE)) AS missing,
+        min(date) FILTER ({x} IS NOT NULL) AS first_day, max(date) FILTER ({x} IS NOT NULL) AS last_day FROM tr GROUP BY 1"""
+        for c, x in zip(PAIR, ("cur", "lag7"))
+    ),
+    ("median", "missing"),
+)
+def _(spark, sf):
+    sums, *_ = _pair_sums(spark, sf)
+    rows = [(f, c, s.medians[c], s.missing[c], *s.spans[c]) for f, s in sums.items() for c in PAIR]
+    return spark.createDataFrame(rows, "fold int, feature string, median double, missing double, first_day date, last_day date")
+
+
+@register(
+    "fc08_ridge_two_features",
+    FILLED + f" SELECT fold, b1 AS weight_{PAIR[0]}, b2 AS weight_{PAIR[1]}, my - b1 * m1 - b2 * m2 AS intercept FROM {_solved('n', '100', 'cur', 'lag', 'y', 'fold', 'z')}",
+    tuple(f"weight_{c}" for c in PAIR) + ("intercept",),
+)
+def _(spark, sf):
+    sums, *_ = _pair_sums(spark, sf)
+    models = {f: L.ridge(s, L.fit_processor(s, PAIR, correlation_limit=1.0), 100.0) for f, s in sums.items()}
+    rows = [(f, *[float(m.weights[c]) for c in PAIR], m.intercept) for f, m in models.items()]
+    return spark.createDataFrame(rows, f"fold int, weight_{PAIR[0]} double, weight_{PAIR[1]} double, intercept double")
+
+
+@register(
+    "fc27_fitted_provenance",
+    TRAIN + """, e AS (SELECT fold, 'median' AS kind, 'current_total_load' AS name, min(date) AS first_day, max(date) AS last_day FROM tr WHERE cur IS NOT NULL GROUP BY 1
+      UNION ALL SELECT fold, 'median', 'load_lag_7', min(date), max(date) FROM tr WHERE lag7 IS NOT NULL GROUP BY 1
+      UNION ALL SELECT fold, k.kind, k.name, min(date), max(date) FROM tr, (VALUES ('kept', 'current_total_load'), ('kept', 'load_lag_7'),
+        ('weight', 'intercept'), ('weight', 'current_total_load'), ('weight', 'load_lag_7'), ('trees', 'all')) k(kind, name) GROUP BY 1, 2, 3),
+    spoilt AS (SELECT fold, kind, name, first_day, CASE WHEN kind = 'trees' AND fold = 3 THEN first_validation ELSE last_day END AS last_day, first_validation
+      FROM e JOIN (SELECT fold, first_day AS first_validation FROM folds) USING (fold))
+    SELECT CASE WHEN kind = 'trees' THEN 'boosted_trees' ELSE 'linear' END AS source, fold, kind, name, first_day, last_day, last_day + 7 AS label_known,
+      first_validation AS validation_from, last_day + 7 >= first_validation AS late FROM spoilt""",
+)
+def _(spark, sf):
+    sums, rows, calendar, _, spec = _pair_sums(spark, sf)
+    processors = {f: L.fit_processor(s, PAIR, correlation_limit=1.0) for f, s in sums.items()}
+    models = {f: L.ridge(sums[f], p, 100.0) for f, p in processors.items()}
+    # one validation day slips into the rows that fold 3's trees are fitted on, and must be found
+    slipped = (F.col("fold") == 3) & (F.col(spec.date) == F.lit(calendar.folds[2].first))
+    trained = rows.where((F.col("role") == "train") | slipped)
+    entries = [K.fitted_statistics(spark, "linear", sums, processors, models), K.trained_rows(trained, spec, "boosted_trees", "trees", "all")]
+    found = K.audited(V.union_predictions(entries), [calendar.holdout, *calendar.folds])
+    return found.select("source", "fold", "kind", "name", "first_day", "last_day", "label_known", "validation_from", "late")
+
+
+HYBRID = PRED + f""", rs AS (SELECT series, origin AS date, cur, lag7, target, actual - fc AS y, fc, pr.fold FROM pred pr
+    JOIN (SELECT series AS s2, date AS d2, lag7, target FROM p) ON s2 = series AND d2 = origin WHERE model = 'seven_day_drift'),
+  span AS (SELECT min(date) AS a, date_diff('day', min(date), max(date)) + 1 AS days FROM rs WHERE fold <> 'holdout'),
+  sz AS (SELECT *, greatest(14, days // 6) AS size FROM span),
+  walks AS (SELECT 'inner' AS walk, CAST(i AS VARCHAR) AS label, CAST(a + CAST(days - (4 - i) * size - 8 AS INTEGER) AS DATE) AS until,
+      CAST(a + CAST(days - (4 - i) * size AS INTEGER) AS DATE) AS f, CAST(a + CAST(days - (3 - i) * size - 1 AS INTEGER) AS DATE) AS l FROM sz, range(1, 4) r(i)
+    UNION ALL SELECT 'outer', CASE WHEN fold = 0 THEN 'holdout' ELSE CAST(fold AS VARCHAR) END, train_last, first_day, last_day_ FROM folds),
+  tr AS (SELECT rs.*, walk, label FROM rs JOIN walks ON date <= until),
+  md AS (SELECT walk, label, quantile_cont(lag7, 0.5) AS l50 FROM tr GROUP BY 1, 2),
+  z AS (SELECT tr.walk, tr.label, cur, coalesce(lag7, l50) AS lag, y FROM tr JOIN md ON md.walk = tr.walk AND md.label = tr.label),
+  fit AS {_solved('n', '100', 'cur', 'lag', 'y', 'walk, label', 'z')},
+  fixed AS (SELECT rs.*, w.walk, w.label, fc + coalesce(my + b1 * (cur - m1) + b2 * (coalesce(lag7, l50) - m2), 0) AS hy
+    FROM rs JOIN walks w ON date BETWEEN w.f AND w.l LEFT JOIN fit ON fit.walk = w.walk AND fit.label = w.label LEFT JOIN md ON md.walk = w.walk AND md.label = w.label)"""
+
+
+@register(
+    "fc22_hybrid_one_corrector",
+    HYBRID + """ SELECT walk, label AS fold, count(*) AS rows, avg(abs(target - hy)) AS mae, sqrt(avg((target - hy) * (target - hy))) AS rmse, avg(hy) AS mean_forecast
+    FROM fixed GROUP BY 1, 2""",
+    ("mae", "rmse", "mean_forecast"),
+)
+def _(spark, sf):
+    out, calendar, spec = _baselines(spark, sf)
+    prepared, _ = _prepared(spark, sf)
+    config = P.ForecastConfig(correlation_limit=0.999999)
+    one = [H.Corrector("pair_a100", PAIR, 100.0)]
+    found = H.residual_hybrid(out.where("model_name = 'seven_day_drift'"), prepared.frame, spec, calendar, config, one, "hybrid")
+    both = found.inner.withColumn("walk", F.lit("inner")).unionByName(found.predictions.withColumn("walk", F.lit("outer")))
+    means = both.groupBy("walk", "fold").agg(F.avg(FC).alias("mean_forecast"))
+    return V.regression_metrics(both, ["walk", "fold"]).select("walk", "fold", "rows", "mae", "rmse").join(means, ["walk", "fold"])
+
+
 # ---- fitted models: no SQL equivalent -------------------------------------------
 @register("fc07_feature_processor")
 def _(spark, sf):

@@ -14,11 +14,12 @@ from tidegauge.operators import clean as C
 from tidegauge.operators.audit import AuditConfig, audit
 from tidegauge.operators.features import scrub
 from tidegauge.operators.forecast import evaluate as V
+from tidegauge.operators.forecast import hybrid as H
 from tidegauge.operators.forecast import prepare as P
 from tidegauge.operators.metrics import daily_metrics
 from tidegauge.plans import analysis as A
 from tidegauge.plans import experiment as X
-from tidegauge.session import shared_folder
+from tidegauge.session import cut_lineage, shared_folder
 from tidegauge.sources import readers, writers
 from tidegauge.spec import COUNTS, PREDICTION_COLUMNS, SRC_ROW
 
@@ -197,13 +198,13 @@ def _(spark, sf):
 
 @register("fc22_residual_hybrid")
 def _(spark, sf):
-    rows, _, prepared, spec = _stored(spark, sf)
-    held = rows.where("role = 'validation' AND fold > 0")
-    oof = X.baseline_predictions(held, spec)
-    mixed = X.hybrid_predictions(
-        oof, prepared.frame, spec, "seven_day_drift", prepared.config, prepared.compact
-    )
-    return V.regression_metrics(mixed, ["model_name", "configuration", "fold"])
+    rows, calendar, prepared, spec = _stored(spark, sf)
+    base = cut_lineage(X.baseline_predictions(rows.where("role = 'validation'"), spec).where("model_name = 'seven_day_drift'"))
+    groups = {"compact": prepared.compact, "expanded": prepared.expanded}
+    grid = H.correctors(groups, X.RIDGE_ALPHAS)
+    found = H.residual_hybrid(base, prepared.frame, spec, calendar, prepared.config, grid, "seven_day_drift_hybrid")
+    both = found.inner.unionByName(found.predictions)
+    return V.regression_metrics(both, ["model_name", "configuration", "evaluation_label", "fold"])
 
 
 @register(

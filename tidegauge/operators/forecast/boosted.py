@@ -7,9 +7,10 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from statistics import median
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +64,21 @@ def best_prefix(
     return min(range(len(errors)), key=lambda k: (errors[k], k)) + 1
 
 
+def leading_trees(model: PipelineModel, trees: int) -> PipelineModel:
+    """The model of the first ``trees`` trees: what a shorter fit would have given, without another fit."""
+    assembler, boosted = model.stages
+    if trees == boosted.getNumTrees:
+        return model
+    whole, gateway = boosted._java_obj, SparkContext._active_spark_context._gateway
+    package = gateway.jvm.org.apache.spark.ml.regression
+    kept, weights = gateway.new_array(package.DecisionTreeRegressionModel, trees), gateway.new_array(gateway.jvm.double, trees)
+    for k in range(trees):
+        kept[k], weights[k] = whole.trees()[k], boosted.treeWeights[k]
+    short = GBTRegressionModel(package.GBTRegressionModel(f"{whole.uid()}_{trees}", kept, weights))
+    short.setFeaturesCol(boosted.getFeaturesCol()).setPredictionCol(boosted.getPredictionCol())
+    return PipelineModel([assembler, short])
+
+
 def boost_folds(
     rows: DataFrame, processors: Mapping[int, Processor], target: str, config: BoostConfig,
     parallelism: int = 4,
@@ -78,8 +94,7 @@ def boost_folds(
         mine = rows.where(F.col("fold") == fold)
         model = fit_boosted(mine, processors[fold], target, config)
         best = best_prefix(model, mine.where("role = 'validation'"), processors[fold], target, config)
-        # the first trees of a shorter fit are the same ones
-        return fold, model if best == trees_used(model) else fit_boosted(mine, processors[fold], target, config, best)
+        return fold, leading_trees(model, best)
 
     with ThreadPoolExecutor(parallelism) as pool:
         models = dict(pool.map(walk, sorted(f for f in processors if f)))

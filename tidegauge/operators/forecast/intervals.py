@@ -28,27 +28,42 @@ def crossing_rate(lower: Column, median: Column, upper: Column) -> Column:
     return F.avg(((lower > median) | (median > upper)).cast("double")) * 100
 
 
-def residual_intervals(
-    oof: DataFrame, target: DataFrame, spec: SeriesSpec, later: Sequence[str]
-) -> DataFrame:
-    """Attach residual quantiles of earlier folds to rows of later folds.
-
-    ``later`` lists fold labels in time order; a fold sees the residuals of the folds
-    before it, of its own series. Rows without earlier residuals are dropped.
-    """
-    position = {label: i for i, label in enumerate(later)}
+def _place(later: Sequence[str]) -> Column:
     place = F.lit(None).cast("int")
-    for label, i in position.items():
+    for i, label in enumerate(later):
         place = F.when(F.col("fold") == label, F.lit(i)).otherwise(place)
+    return place
+
+
+def earlier_residuals(oof: DataFrame, target: DataFrame, spec: SeriesSpec, later: Sequence[str]) -> DataFrame:
+    """The residuals (``_gap``) that each fold of ``target`` may know, by its place ``_for`` in ``later``: those of
+    earlier folds whose outcome day lies before the fold's first day."""
+    starts = target.groupBy(_place(later).alias("_for")).agg(F.min("forecast_origin_date").alias("_start"))
     spread = (
-        oof.select(*spec.keys, place.alias("_at"), (F.col("actual_value") - F.col(FORECAST)).alias("_gap"))
+        oof.select(
+            *spec.keys, "forecast_origin_date", "target_date", _place(later).alias("_at"),
+            (F.col("actual_value") - F.col(FORECAST)).alias("_gap"),
+        )
         .where("_at is not null")
         .withColumn("_for", F.explode(F.sequence(F.col("_at") + 1, F.lit(len(later)))))
         .where(F.col("_for") < len(later))
     )
+    # one row per fold: at most len(later) rows
+    return spread.join(F.broadcast(starts), "_for").where("target_date < _start")
+
+
+def residual_intervals(
+    oof: DataFrame, target: DataFrame, spec: SeriesSpec, later: Sequence[str]
+) -> DataFrame:
+    """Attach residual quantiles of earlier folds to rows of later folds.
+
+    ``later`` lists fold labels in time order; a fold sees the residuals of the folds before it, of its own
+    series, as far as their outcomes were known. Rows without earlier residuals are dropped.
+    """
+    spread = earlier_residuals(oof, target, spec, later)
     by = [*spec.keys, "_for"]
     cuts = exact_quantiles(spread, by, "_gap", QUANTILES).drop("n")
-    rows = target.withColumn("_for", place).join(cuts, by)
+    rows = target.withColumn("_for", _place(later)).join(cuts, by)
     interval = ordered_interval(*[F.col(FORECAST) + F.col(q) for q in QUANTILES])
     return rows.drop(*BOUNDS).select("*", interval.alias("_i")).select(
         *[c for c in rows.columns if c not in (*BOUNDS, "_for", *QUANTILES)], "_i.*"

@@ -7,6 +7,7 @@ sees matrices of at most 70 x 70 per fold whatever the number of rows.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.operators.quantiles import exact_quantiles
+from tidegauge.operators.orderstats import wide_quantiles
 from tidegauge.spec import CapacityError
 
 
@@ -40,6 +41,9 @@ class FoldSums:
     constant: set[str]
     matrix: np.ndarray
     reasons: dict[str, str] = field(default_factory=dict)
+    #: First and last day of the rows in the sums, and of those with a value of each column.
+    span: tuple[dt.date | None, dt.date | None] = (None, None)
+    spans: dict[str, tuple[dt.date | None, dt.date | None]] = field(default_factory=dict)
 
     @property
     def rows(self) -> float:
@@ -55,17 +59,17 @@ class FoldSums:
         return mean, cov, target
 
 
-def _column_facts(train: DataFrame, features: Sequence[str]) -> dict[tuple[int, str], dict]:
-    cells = ", ".join(f"named_struct('feature', '{c}', 'x', {c})" for c in features)
-    long = train.selectExpr("fold", f"inline(array({cells}))")
-    facts = long.groupBy("fold", "feature").agg(
-        F.avg(F.col("x").isNull().cast("double")).alias("missing"),
-        F.min("x").alias("low"),
-        F.max("x").alias("high"),
-    )
-    middle = exact_quantiles(long, ["fold", "feature"], "x", {"median": 0.5}).drop("n")
-    facts = facts.join(middle, ["fold", "feature"], "left")
-    return {(r.fold, r.feature): r.asDict() for r in facts.collect()}
+def _column_facts(train: DataFrame, features: Sequence[str], day: str | None) -> dict[int, dict]:
+    """Per fold, from one aggregate without a row per cell: missing share, ends and first and last day of every column."""
+    seen = F.lit(None).cast("date") if day is None else F.col(day)
+    measures = [F.min(seen).alias("first"), F.max(seen).alias("last")]
+    for i, c in enumerate(features):
+        known = F.col(c).isNotNull()
+        measures += [
+            F.avg((~known).cast("double")).alias(f"missing_{i}"), F.min(c).alias(f"low_{i}"), F.max(c).alias(f"high_{i}"),
+            F.min(F.when(known, seen)).alias(f"first_{i}"), F.max(F.when(known, seen)).alias(f"last_{i}"),
+        ]
+    return {r["fold"]: r.asDict() for r in train.groupBy("fold").agg(*measures).collect()}
 
 
 def _partial_sums(features: list[str], target: str, centers: Mapping[int, np.ndarray]):
@@ -83,17 +87,18 @@ def _partial_sums(features: list[str], target: str, centers: Mapping[int, np.nda
     return reduce
 
 
-def fold_sums(train: DataFrame, features: Sequence[str], target: str) -> dict[int, FoldSums]:
-    """Cross-product sums for every fold of ``train`` (columns: fold, features, target)."""
+def fold_sums(train: DataFrame, features: Sequence[str], target: str, day: str | None = None) -> dict[int, FoldSums]:
+    """Cross-product sums for every fold of ``train`` (columns: fold, features, target).
+
+    With ``day`` the sums also hold the first and last day of the rows that went into them.
+    """
     features = list(features)
-    train = train.select("fold", *features, target)
-    facts = _column_facts(train, features)
-    folds = sorted({fold for fold, _ in facts})
-    centers = {
-        f: np.array([facts[f, c]["median"] if facts[f, c]["median"] is not None else 0.0
-                     for c in features], dtype=float)
-        for f in folds
-    }
+    train = train.select("fold", *features, target, *([day] if day else []))
+    facts = _column_facts(train, features, day)
+    folds = sorted(facts)
+    middle = wide_quantiles(train, "fold", features, {"median": 0.5})
+    medians = {f: {c: middle.get((f, c), {}).get("median") for c in features} for f in folds}
+    centers = {f: np.array([medians[f][c] or 0.0 for c in features], dtype=float) for f in folds}
     parts = train.mapInPandas(
         _partial_sums(features, target, centers), "fold int, cell int, value double"
     )
@@ -104,13 +109,14 @@ def fold_sums(train: DataFrame, features: Sequence[str], target: str) -> dict[in
         matrices[int(fold)][cells["cell"].to_numpy()] = cells["v"].to_numpy()
     out = {}
     for f in folds:
-        known = {c: facts[f, c] for c in features}
+        known, names = facts[f], list(enumerate(features))
         out[f] = FoldSums(
-            f, features,
-            {c: k["median"] for c, k in known.items()},
-            {c: k["missing"] for c, k in known.items()},
-            {c for c, k in known.items() if k["low"] is not None and k["low"] == k["high"]},
+            f, features, medians[f],
+            {c: known[f"missing_{i}"] for i, c in names},
+            {c for i, c in names if known[f"low_{i}"] is not None and known[f"low_{i}"] == known[f"high_{i}"]},
             matrices[f].reshape(side, side),
+            span=(known["first"], known["last"]),
+            spans={c: (known[f"first_{i}"], known[f"last_{i}"]) for i, c in names},
         )
     return out
 

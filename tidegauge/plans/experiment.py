@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -14,8 +13,10 @@ from tidegauge.operators.forecast import boosted as B
 from tidegauge.operators.forecast import ensemble as N
 from tidegauge.operators.forecast import evaluate as V
 from tidegauge.operators.forecast import gate as G
+from tidegauge.operators.forecast import hybrid as H
 from tidegauge.operators.forecast import importance as M
 from tidegauge.operators.forecast import intervals as I
+from tidegauge.operators.forecast import ledger as K
 from tidegauge.operators.forecast import linear as L
 from tidegauge.operators.forecast import monitor as O
 from tidegauge.operators.forecast import prepare as P
@@ -42,6 +43,7 @@ class Experiment:
     importance_model: str
     boosted_importance: DataFrame | None = None
     leakage: dict[str, bool] = field(default_factory=dict)
+    ledger: DataFrame | None = None
 
     @property
     def oof(self) -> DataFrame:
@@ -113,57 +115,12 @@ def boosted_predictions(
     return out, models
 
 
-def hybrid_predictions(
-    oof: DataFrame, frame: DataFrame, spec: SeriesSpec, base: str, config: P.ForecastConfig,
-    columns: Sequence[str], alphas: Sequence[float] = RIDGE_ALPHAS,
-) -> DataFrame:
-    """A base model plus a linear correction of its out-of-fold residuals.
-
-    The corrector is trained and scored by an inner three-fold walk over the base
-    model's out-of-fold days, and every corrector of the grid competes.
-    """
-    residual = oof.where(F.col("model_name") == base).select(
-        *spec.keys,
-        F.col("forecast_origin_date").alias(spec.date),
-        (F.col("actual_value") - F.col(V.FORECAST)).alias("_residual"),
-        F.col(V.FORECAST).alias("_base"),
-        F.col("fold").alias("_outer"),
-    )
-    rows = frame.join(residual, list(spec.index))
-    first, last = rows.agg(F.min(spec.date), F.max(spec.date)).first()
-    days = (last - first).days + 1
-    if days < 100:
-        raise CapacityError("Too few out-of-fold residuals for the hybrid.")
-    size = max(14, days // 6)
-    at = lambda i: first + dt.timedelta(days=i)
-    inner = [
-        P.DatedFold(i + 1, at(days - (3 - i) * size - config.gap - 1), at(days - (3 - i) * size),
-                    at(days - (2 - i) * size - 1))
-        for i in range(3)
-    ]
-    split = cut_lineage(P.assign_folds(rows, spec, inner))
-    sums = L.fold_sums(split.where("role = 'train'"), columns, "_residual")
-    fitted = {
-        f: L.fit_processor(s, columns, config.missing_limit, config.correlation_limit)
-        for f, s in sums.items()
-    }
-    held = split.where("role = 'validation'")
-    grid = [{f: L.ridge(s, fitted[f], alpha) for f, s in sums.items()} for alpha in alphas]
-    scored = L.predict_candidates(held, grid, [*_context(spec), "_base"])
-    long = scored.select("*", F.posexplode("_changes").alias("_i", "_correction"))
-    settings = F.array(*[F.lit(f"ridge_a{a:g}") for a in alphas])
-    return V.prediction_rows(
-        long, spec, F.col("_base") + F.col("_correction"), f"{base}_hybrid", "",
-        F.element_at(settings, F.col("_i") + 1),
-    )
-
-
 def run_experiment(
     metrics: DataFrame, spec: SeriesSpec, config: P.ForecastConfig = P.ForecastConfig(), *,
     boosters: Sequence[B.BoostConfig] = (), smoothing: bool = True, hybrid: bool = True,
     verify: bool = True,
 ) -> Experiment:
-    """All candidates, selection on out-of-fold rows, blend, intervals and the gate.
+    """All candidates, a residual hybrid, selection on out-of-fold rows, blend, intervals and the gate.
 
     Models are pooled over the panel; with one series that is one model per series.
     Fold 0 trains on all development days and predicts the holdout, so the final refit
@@ -179,7 +136,7 @@ def run_experiment(
     folds = [calendar.holdout, *calendar.folds]
     rows = P.assign_folds(frame, spec, folds)
     train, held = rows.where("role = 'train'"), rows.where("role = 'validation'")
-    sums = L.fold_sums(train, prepared.expanded, P.CHANGE)
+    sums = L.fold_sums(train, prepared.expanded, P.CHANGE, spec.date)
     groups = {"compact": prepared.compact, "expanded": prepared.expanded}
     candidates = linear_candidates(sums, groups, config)
     parts = [baseline_predictions(held, spec), linear_predictions(held, spec, candidates)]
@@ -210,28 +167,51 @@ def run_experiment(
             [f"{b.model_name}|{b.configuration}" for b in best]
         )
     )
+    mixed = None
+    if hybrid:
+        base = "exponential_smoothing" if smoothing else "seven_day_drift"
+        mixed = H.residual_hybrid(
+            chosen.where(F.col("model_name") == base), frame, spec, calendar, config,
+            H.correctors(groups, RIDGE_ALPHAS), f"{base}_hybrid",
+        )
+        chosen = cut_lineage(chosen.unionByName(mixed.predictions))
     oof = chosen.where("fold <> 'holdout'")
-    ranked = [b.model_name for b in sorted(best, key=lambda b: (b.mean_mae, b.std_mae, b.model_name))]
+    ranks = V.candidate_scores(V.fold_table(V.shared_origins(oof, spec), calendar))
+    ranked = [r.model_name for r in ranks.orderBy("mean_mae", "std_mae", "model_name").collect()]
     members = N.choose_members(oof, spec, ranked)
     weights = N.best_weights(V.align_models(oof, spec, members), members)
     parts = [chosen, N.blend(chosen, spec, weights)]
-    if hybrid:
-        mixed = hybrid_predictions(oof, frame, spec, "seven_day_drift", config, prepared.compact)
-        parts.append(mixed.withColumn("evaluation_label", F.lit("development_inner_oof")))
+    if mixed is not None:
+        parts.append(mixed.inner)
     final = cut_lineage(V.union_predictions(parts))
 
-    outer = final.where("evaluation_label <> 'development_inner_oof'")
+    outer = final.where(F.col("evaluation_label") != H.INNER_LABEL)
     table = V.candidate_scores(V.fold_table(outer.where("fold <> 'holdout'"), calendar))
     challenger = (
         table.where("model_name <> 'persistence'").orderBy("mean_mae", "model_name").first().model_name
     )
     late = outer.where("fold = 'holdout'")
+    linear_best = min(
+        (b for b in best if b.model_name in ("ridge", "elastic_net")),
+        key=lambda b: (b.mean_mae, b.model_name),
+    )
+    models = candidates[linear_best.model_name, linear_best.configuration]
+    labels = [str(f.number) for f in calendar.folds] + ["holdout"]
+    own = outer.where(F.col("model_name") == challenger)
+    entries = [
+        K.fitted_statistics(frame.sparkSession, "linear", sums, processors, models),
+        K.interval_residuals(I.earlier_residuals(own.where("fold <> 'holdout'"), own, spec, labels), labels),
+    ]
+    if mixed is not None:
+        entries.append(K.fitted_statistics(frame.sparkSession, "hybrid", mixed.sums, mixed.processors, mixed.models))
+    if boosters:
+        entries.append(K.trained_rows(train, spec, "boosted_trees", "trees", "all"))
+    ledger = cut_lineage(K.audited(V.union_predictions(entries), folds, config.horizon))
+    leakage["fitted_statistics_end_before_their_fold"] = ledger.where("late").isEmpty()
     decision = G.promotion_decision(
         outer.where("fold <> 'holdout'"), late, spec, challenger, all(leakage.values()),
         config.worst_fold_ratio,
     )
-    labels = [str(f.number) for f in calendar.folds] + ["holdout"]
-    own = outer.where(F.col("model_name") == challenger)
     banded = I.residual_intervals(own.where("fold <> 'holdout'"), own, spec, labels)
     delta = I.conformal_adjustment(banded.where("fold <> 'holdout'"), spec)
     widened = I.widen(banded, delta, spec)
@@ -239,17 +219,12 @@ def run_experiment(
     with_bounds = I.attach_intervals(own, widened, spec).select(*final.columns)
     predictions = final.where(F.col("model_name") != challenger).unionByName(with_bounds)
 
-    linear_best = min(
-        (b for b in best if b.model_name in ("ridge", "elastic_net")),
-        key=lambda b: (b.mean_mae, b.model_name),
-    )
-    models = candidates[linear_best.model_name, linear_best.configuration]
     importance = M.permutation_importance(
         held.where("fold > 0"), spec, {f: m for f, m in models.items() if f > 0}, P.CHANGE, config.seed
     )
     return Experiment(
         prepared, calendar, cut_lineage(predictions), table, decision, weights, interval_metrics,
-        importance, linear_best.model_name, boosted_importance, leakage,
+        importance, linear_best.model_name, boosted_importance, leakage, ledger,
     )
 
 
