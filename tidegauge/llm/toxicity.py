@@ -2,22 +2,23 @@
 
 1. A bounded, hash-ordered sample of labelled rows (``sample``) is featurised on the executors:
    every distinct character n-gram of the whole lower-cased text falls into a hash bucket.
-2. Per bucket, documents of either label are counted; the log-count ratio scales the feature, and
-   at most ``features`` buckets, those that tell the labels apart best, are kept: those beyond
-   chance, and of few toxic rows, where nothing can be, the best ``least_features``.
-3. A logistic regression is fitted on the scaled presence of those buckets. What reaches the driver
-   is at most ``features`` ratios and ``sample`` rows of at most ``features`` bucket numbers.
-4. Scoring reads every whole text once with a table of known size and needs no shuffle.
+2. Per bucket, documents of either label are counted. The log-count ratio over its standard error, less
+   ``chance`` (as far as it gets by chance in one of twenty buckets), scales the feature; buckets within chance
+   scale to zero, at any number of rows. A document's features are scaled to length one.
+3. A logistic regression is fitted on the scaled features. What reaches the driver is a scale per bucket and, of
+   the ``sample`` rows, the numbers of their buckets beyond chance.
+4. Scoring reads every whole text once with two tables of known size and needs no shuffle.
 
 Defined results: a null or empty text gets the score of a text without features. Labels that are
-null are not learnt from; of repeated labels of one document the larger counts. Without both
-labels in the sample the score is the smoothed share of label 1. A null ``doc_id`` keeps its row.
+null are not learnt from; of repeated labels of one document the larger counts, and each of its rows
+is learnt from. Without both labels in the sample the score is the smoothed share of label 1. A null
+``doc_id`` keeps its row. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.tables import texts
+from tidegauge.session import cut_lineage
 
 SLICE = 1 << 20
 
@@ -33,25 +35,22 @@ SLICE = 1 << 20
 class ToxicityConfig:
     sizes: tuple[int, ...] = (3, 4, 5)
     bits: int = 20
-    features: int = 128
     #: Labelled rows that the fit uses at most, chosen by a hash of their id.
     sample: int = 8192
-    #: Least gain in log-likelihood of a feature; a million useless buckets reach 14 by chance.
-    least_gain: float = 20.0
-    #: The best features are kept whatever their gain: gains grow with the toxic rows, and ten of them reach 20 hardly ever.
-    least_features: int = 64
     smoothing: float = 1.0
-    penalty: float = 5.0
-    steps: int = 2000
+    chance: float = 2.0
+    #: Penalty on all weights together; over the rows, that of one row.
+    penalty: float = 0.1
+    steps: int = 400
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     config: ToxicityConfig
-    slots: np.ndarray  # bucket -> feature or -1
-    weights: np.ndarray  # log-count ratio times fitted weight, by feature
+    scales: np.ndarray  # by bucket
+    weights: np.ndarray  # scale times fitted weight, by bucket
     intercept: float
-    fitted_rows: int = field(default=0)
+    fitted_rows: int = 0
 
 
 def buckets(text: str | None, config: ToxicityConfig) -> Iterator[np.ndarray]:
@@ -87,7 +86,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, config: ToxicityConfig) -> DataFrame:
-    """The sample: (text, toxic) of labelled rows outside the held-out fifth.
+    """The sample: (doc_id, text, toxic) of labelled rows outside the held-out fifth.
 
     At most ``config.sample`` ids, all of which have a document, are broadcast, so the texts are not shuffled.
     """
@@ -101,98 +100,99 @@ def training_rows(docs: DataFrame, labels: DataFrame, config: ToxicityConfig) ->
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(config.sample)
     )
-    return texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    return texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
+    """The model of the sample; see the module's text. The driver gets a ratio and a weight per bucket."""
     rows = training_rows(docs, labels, config)
+    size, zero = 1 << config.bits, np.zeros(1 << config.bits, np.float32)
+
+    def read(batches):
+        for batch in batches:
+            found = [present(t.as_py(), config).astype("<i4").tobytes() for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary()), batch["toxic"]], names=["doc_id", "buckets", "toxic"])
+
+    sample = cut_lineage(rows.mapInArrow(read, "doc_id long, buckets binary, toxic int"))
+    sums = sample.agg(F.count_if(F.col("toxic") != 1).alias("n0"), F.count_if(F.col("toxic") == 1).alias("n1")).first()
+    n0, n1 = float(sums["n0"]), float(sums["n1"])
+    if not n0 or not n1:
+        return ToxicityModel(config, zero, zero, float(np.log((n1 + 0.5) / (n0 + 1.0))), int(n0 + n1))
 
     def counted(batches):
-        counts = np.zeros((2, 1 << config.bits), np.int64)
+        counts = np.zeros((2, size), np.int64)
         for batch in batches:
-            for text, label in zip(batch["text"], batch["toxic"]):
-                counts[int(label.as_py() == 1), present(text.as_py(), config)] += 1
+            for found, label in zip(batch["buckets"].to_pylist(), batch["toxic"].to_pylist()):
+                counts[int(label == 1), np.frombuffer(found, "<i4")] += 1
         at = np.flatnonzero(counts.any(axis=0))
         for k in range(0, len(at), 1 << 16):
             part = at[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int32()), pa.array(counts[0, part]), pa.array(counts[1, part])], names=["bucket", "n0", "n1"]
-            )
-
-    size = rows.groupBy().agg(F.count_if(F.col("toxic") != 1).alias("n0"), F.count_if(F.col("toxic") == 1).alias("n1")).first()
-    none = ToxicityModel(
-        config, np.full(1 << config.bits, -1, np.int16), np.zeros(0),
-        float(np.log((size["n1"] + 0.5) / (size["n0"] + 1.0))), size["n0"] + size["n1"],
-    )
-    if not size["n0"] or not size["n1"]:
-        return none
-    a, n0, n1 = config.smoothing, float(size["n0"]), float(size["n1"])
-    share = lambda c, n: (F.col(c) + a) / (n + 2 * a)
-    p, q = share("n1", n1), share("n0", n0)
-    gain = n1 * (p * F.log(p / q) + (1 - p) * F.log((1 - p) / (1 - q)))
-    kept = (
-        rows.mapInArrow(counted, "bucket int, n0 long, n1 long")
-        .groupBy("bucket")
-        .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        .select("bucket", F.log(p / q).alias("ratio"), gain.alias("gain"))
-        .where("gain > 0")
-        .orderBy(F.desc("gain"), "bucket")
-        .limit(config.features)
-        .toPandas()
-    )
-    kept = kept[(kept["gain"] >= config.least_gain) | (kept.index < config.least_features)]
-    slots = np.full(1 << config.bits, -1, np.int16)
-    slots[kept["bucket"].to_numpy()] = np.arange(len(kept), dtype=np.int16)
-    ratio = kept["ratio"].to_numpy(np.float64)
+            arrays = [pa.array(part, pa.int32()), pa.array(counts[0, part]), pa.array(counts[1, part])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "n0", "n1"])
+
+    counts = sample.select("buckets", "toxic").mapInArrow(counted, "bucket int, n0 long, n1 long")
+    table = counts.groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()  # at most 2^bits rows
+    scales = zero.copy()
+    scales[table["bucket"]] = scaled_ratio(table["n0"].to_numpy(), table["n1"].to_numpy(), n0, n1, config)
 
     def selected(batches):
         for batch in batches:
-            found = [_slots(t.as_py(), slots, len(ratio), config).astype(np.uint16).tobytes() for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch["toxic"]], names=["slots", "toxic"])
+            buckets = [np.frombuffer(b, "<i4") for b in batch["buckets"].to_pylist()]
+            kept = pa.array([b[scales[b] != 0].tobytes() for b in buckets], pa.binary())
+            yield pa.RecordBatch.from_arrays([kept, batch["toxic"]], names=["buckets", "toxic"])
 
-    sample = rows.mapInArrow(selected, "slots binary, toxic int").toPandas()
-    weights, intercept = _logistic(
-        [np.frombuffer(b, np.uint16) for b in sample["slots"]], (sample["toxic"] == 1).to_numpy(np.float64), ratio, config
-    )
-    return ToxicityModel(config, slots, ratio * weights, intercept, len(sample))
+    found = sample.select("buckets", "toxic").mapInArrow(selected, "buckets binary, toxic int").toPandas()
+    y = (found["toxic"] == 1).to_numpy(np.float64)
+    weights, intercept = _logistic([np.frombuffer(b, "<i4") for b in found["buckets"]], y, scales, config)
+    return ToxicityModel(config, scales, (scales * weights).astype(np.float32), intercept, int(n0 + n1))
 
 
-def _slots(text: str | None, slots: np.ndarray, n: int, config: ToxicityConfig) -> np.ndarray:
-    marks = np.zeros(n, bool)
-    for found in buckets(text, config):
-        at = slots[found]
-        marks[at[at >= 0]] = True
-    return np.flatnonzero(marks)
-
-
-def _logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, config: ToxicityConfig) -> tuple[np.ndarray, float]:
-    """Penalised logistic regression on scaled presence, by accelerated gradient steps."""
+def _logistic(rows: list[np.ndarray], y: np.ndarray, scales: np.ndarray, config: ToxicityConfig) -> tuple[np.ndarray, float]:
+    """Penalised logistic regression on scaled buckets, rows of length one, by accelerated gradient steps."""
     order = np.argsort([r.tobytes() for r in rows], kind="stable")  # sums don't depend on arrival order
-    rows, y = [rows[i] for i in order], y[order]
-    at = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    value = ratio[at]
-    n = len(rows)
-    norm = max(1.0, float(np.bincount(of, value * value, minlength=n).max(initial=0.0)))
-    step = 1.0 / (0.25 * (norm + 1.0) + config.penalty / n)
-    w, b, vw, vb = np.zeros(len(ratio)), 0.0, np.zeros(len(ratio)), 0.0
+    rows, y, n = [rows[i] for i in order], y[order], len(rows)
+    used = np.flatnonzero(scales)
+    at = np.searchsorted(used, np.concatenate(rows))
+    of = np.repeat(np.arange(n), [len(r) for r in rows])
+    value = scales[used][at].astype(np.float64)
+    length = np.sqrt(np.bincount(of, value * value, minlength=n))
+    value /= length[of]
+    penalty, size = config.penalty / n, len(used)
+    step = 1.0 / (0.25 * 2.0 + penalty)
+    w, b = np.zeros(size), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
+    vw, vb = np.zeros(size), 0.0
     for k in range(config.steps):
         momentum = k / (k + 3.0)
         aw, ab = w + momentum * vw, b + momentum * vb
         error = 1.0 / (1.0 + np.exp(-np.clip(np.bincount(of, value * aw[at], minlength=n) + ab, -30, 30))) - y
-        gw = np.bincount(at, value * error[of], minlength=len(ratio)) / n + config.penalty / n * aw
-        nw, nb = aw - step * gw, ab - step * float(error.mean())
+        nw = aw - step * (np.bincount(at, value * error[of], minlength=size) / n + penalty * aw)
+        nb = ab - step * float(error.mean())
         vw, vb, w, b = nw - w, nb - b, nw, nb
-    return w, b
+    out = np.zeros(len(scales))
+    out[used] = w
+    return out, b
+
+
+def scaled_ratio(c0: np.ndarray, c1: np.ndarray, n0: float, n1: float, config: ToxicityConfig) -> np.ndarray:
+    """Scales of buckets that ``c0`` and ``c1`` documents of either label hold: the logarithm of the ratio of their
+    smoothed shares over its standard error, less ``chance`` towards zero."""
+    a, b, spread = c1 + config.smoothing, c0 + config.smoothing, 2 * config.smoothing
+    ratio = (np.log(a / (n1 + spread)) - np.log(b / (n0 + spread))) / np.sqrt(1 / a + 1 / b)
+    return np.sign(ratio) * np.maximum(np.abs(ratio) - config.chance, 0.0)
 
 
 def scored(text: Column, model: ToxicityModel) -> Column:
     """The score of a text column, between 0 and 1."""
-    config, slots, weights, intercept = model.config, model.slots, model.weights, model.intercept
+    config, scales, weights, intercept = model.config, model.scales, model.weights, model.intercept
+
+    def total(text: str | None) -> float:
+        at = present(text, config)
+        own = scales[at].astype(np.float64)
+        return weights[at].sum(dtype=np.float64) / (np.sqrt(own @ own) or 1.0)
 
     @F.arrow_udf("double")
     def run(batch: pa.Array) -> pa.Array:
-        sums = np.array([weights[_slots(t.as_py(), slots, len(weights), config)].sum() for t in batch], np.float64)
+        sums = np.array([total(t.as_py()) for t in batch], np.float64)
         return pa.array(1.0 / (1.0 + np.exp(-np.clip(sums + intercept, -500, 500))))
 
     return run(text)
