@@ -30,8 +30,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates by five-word shingles.
 
-    Documents without an id are kept; of repeated rows of one id, one stays (the least in the order of
-    the columns).
+    Documents without an id are kept. Of equal texts under one id one row stays, the least by its columns
+    as JSON; unlike texts under one id all stay if the id does.
     """
     found = minhash.near_duplicates(docs, minhash.SketchConfig(words=5, percent=80)).where("doc_id IS NOT NULL")
     ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
@@ -40,12 +40,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     several = ids.where("kept")
     several = docs.join(several, docs["doc_id"] == several["_id"], "left_semi")
     # equal rows are counted together before the shuffle
-    several = several.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    several = several.groupBy("doc_id", F.xxhash64("text").alias("_text")).agg(F.min_by(row, F.to_json(row)).alias("row"))
     return single.unionByName(several.select("row.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one holds; n_chars is that of the new text."""
+    """Documents without the passages that an earlier one holds; n_chars is that of the new text.
+
+    A text of which nothing is left stays as an empty one, and is packed as its end id alone.
+    """
     cut = substring.deduplicate(docs, spans="removed_spans")
     changed = cut.columns[-1]
     size = F.when(F.col(changed).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
