@@ -272,6 +272,8 @@ def collocations(docs: DataFrame, config: PhraseConfig = PhraseConfig(), text: s
     bits = None
     for n in range(1, config.longest + 1):
         levels[n] = cut_lineage(count(chunks, n, config, bits).where(F.col("f") >= config.least))
+        if bits is not None:
+            bits.destroy()  # all that needs it is written
         if n < config.longest:
             bits = marks(levels[n], config)
     scored = None

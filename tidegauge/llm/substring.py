@@ -257,7 +257,9 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     repeated = cut_lineage(earliest(found))
     total = found.agg(F.sum("size")).first()[0] or 0
     hot = {(r["h0"], r["h1"]): r["first_doc"] for r in repeated.where(F.col("n") * HOT > total).collect()}  # under HOT rows
-    later = cut_lineage(candidates(found, _marks(repeated), hot, least_words))
+    marks = _marks(repeated)
+    later = cut_lineage(candidates(found, marks, hot, least_words))
+    marks.destroy()  # all that needs it is written
     item = F.struct("meta", "place", "first_doc")
     known = later.where("first_doc IS NOT NULL")
     asked = later.where("first_doc IS NULL").drop("first_doc").join(repeated.drop("n"), ["h0", "h1"])

@@ -104,9 +104,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, config: ToxicityConfig) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    """The model of the sample; see the module's text. The driver gets a ratio and a weight per bucket."""
+    """The model of the sample; see the module's text. The driver gets the scales of buckets beyond chance."""
     rows = training_rows(docs, labels, config)
-    size, zero = 1 << config.bits, np.zeros(1 << config.bits, np.float32)
+    size, scales = 1 << config.bits, np.zeros(1 << config.bits, np.float32)
 
     def read(batches):
         for batch in batches:
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     sums = sample.agg(F.count_if(F.col("toxic") != 1).alias("n0"), F.count_if(F.col("toxic") == 1).alias("n1")).first()
     n0, n1 = float(sums["n0"]), float(sums["n1"])
     if not n0 or not n1:
-        return ToxicityModel(config, zero, zero, float(np.log((n1 + 0.5) / (n0 + 1.0))), int(n0 + n1))
+        return ToxicityModel(config, scales, scales, float(np.log((n1 + 0.5) / (n0 + 1.0))), int(n0 + n1))
 
     def counted(batches):
         counts = np.zeros((2, size), np.int64)
@@ -131,9 +131,9 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
             yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "n0", "n1"])
 
     counts = sample.select("buckets", "toxic").mapInArrow(counted, "bucket int, n0 long, n1 long")
-    table = counts.groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()  # at most 2^bits rows
-    scales = zero.copy()
-    scales[table["bucket"]] = scaled_ratio(table["n0"].to_numpy(), table["n1"].to_numpy(), n0, n1, config)
+    table = counts.groupBy("bucket").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
+    table = table.select("bucket", scaled_ratio(F.col("c0"), F.col("c1"), n0, n1, config).alias("scale")).where("scale <> 0").toPandas()
+    scales[table["bucket"]] = table["scale"]
 
     def selected(batches):
         for batch in batches:
@@ -173,20 +173,22 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, scales: np.ndarray, config:
     return out, b
 
 
-def scaled_ratio(c0: np.ndarray, c1: np.ndarray, n0: float, n1: float, config: ToxicityConfig) -> np.ndarray:
-    """Scales of buckets that ``c0`` and ``c1`` documents of either label hold: the logarithm of the ratio of their
+def scaled_ratio(c0: Column, c1: Column, n0: float, n1: float, config: ToxicityConfig) -> Column:
+    """Scale of a bucket that ``c0`` and ``c1`` documents of either label hold: the logarithm of the ratio of their
     smoothed shares over its standard error, less ``chance`` towards zero."""
     a, b, spread = c1 + config.smoothing, c0 + config.smoothing, 2 * config.smoothing
-    ratio = (np.log(a / (n1 + spread)) - np.log(b / (n0 + spread))) / np.sqrt(1 / a + 1 / b)
-    return np.sign(ratio) * np.maximum(np.abs(ratio) - config.chance, 0.0)
+    ratio = (F.log(a / (n1 + spread)) - F.log(b / (n0 + spread))) / F.sqrt(1 / a + 1 / b)
+    return F.signum(ratio) * F.greatest(F.abs(ratio) - config.chance, F.lit(0.0))
 
 
 def scored(text: Column, model: ToxicityModel) -> Column:
     """The score of a text column, between 0 and 1."""
     config, scales, weights, intercept = model.config, model.scales, model.weights, model.intercept
 
+    used = scales != 0
+
     def total(text: str | None) -> float:
-        at = present(text, config)
+        at = np.unique(np.concatenate([np.zeros(0, np.uint32), *(found[used[found]] for found in buckets(text, config))]))
         own = scales[at].astype(np.float64)
         return weights[at].sum(dtype=np.float64) / (np.sqrt(own @ own) or 1.0)
 
