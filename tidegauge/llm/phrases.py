@@ -236,7 +236,7 @@ def marks(frequent: DataFrame, config: PhraseConfig):
     bits = bytearray(size // 8)
     for r in rows.toLocalIterator():  # at most bits / 32,768 rows of 4 KB
         bits[r["row"] * 4096 : (r["row"] + 1) * 4096] = bytes(r["bitmap"])[: len(bits) - r["row"] * 4096]
-    return frequent.sparkSession.sparkContext.broadcast(bytes(bits))
+    return frequent.sparkSession.sparkContext.broadcast(bits)
 
 
 def _looked_up(phrases: DataFrame, key, counts: DataFrame, name: str) -> DataFrame:

@@ -176,7 +176,7 @@ def _marks(repeated: DataFrame):
     bits = bytearray(BITS // 8)
     for r in rows.toLocalIterator():  # at most BITS / 32,768 rows of 4 KB
         bits[r["row"] * 4096 : (r["row"] + 1) * 4096] = bytes(r["bitmap"])
-    return repeated.sparkSession.sparkContext.broadcast(bytes(bits))
+    return repeated.sparkSession.sparkContext.broadcast(bits)
 
 
 def _long_runs(candidate: np.ndarray, words: np.ndarray, least_words: int) -> np.ndarray:

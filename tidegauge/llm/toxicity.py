@@ -47,8 +47,9 @@ class ToxicityConfig:
 @dataclass(frozen=True)
 class ToxicityModel:
     config: ToxicityConfig
-    scales: np.ndarray  # by bucket
-    weights: np.ndarray  # scale times fitted weight, by bucket
+    used: np.ndarray  # buckets beyond chance, ascending
+    scales: np.ndarray  # of each of them
+    weights: np.ndarray  # scale times fitted weight
     intercept: float
     fitted_rows: int = 0
 
@@ -106,7 +107,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, config: ToxicityConfig) ->
 def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     """The model of the sample; see the module's text. The driver gets the scales of buckets beyond chance."""
     rows = training_rows(docs, labels, config)
-    size, scales = 1 << config.bits, np.zeros(1 << config.bits, np.float32)
+    size = 1 << config.bits
 
     def read(batches):
         for batch in batches:
@@ -117,7 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     sums = sample.agg(F.count_if(F.col("toxic") != 1).alias("n0"), F.count_if(F.col("toxic") == 1).alias("n1")).first()
     n0, n1 = float(sums["n0"]), float(sums["n1"])
     if not n0 or not n1:
-        return ToxicityModel(config, scales, scales, float(np.log((n1 + 0.5) / (n0 + 1.0))), int(n0 + n1))
+        none = np.zeros(0)
+        return ToxicityModel(config, none.astype(np.int64), none, none, float(np.log((n1 + 0.5) / (n0 + 1.0))), int(n0 + n1))
 
     def counted(batches):
         counts = np.zeros((2, size), np.int64)
@@ -133,31 +135,39 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     counts = sample.select("buckets", "toxic").mapInArrow(counted, "bucket int, n0 long, n1 long")
     table = counts.groupBy("bucket").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
     table = table.select("bucket", scaled_ratio(F.col("c0"), F.col("c1"), n0, n1, config).alias("scale")).where("scale <> 0").toPandas()
-    scales[table["bucket"]] = table["scale"]
+    table = table.sort_values("bucket")
+    used, scales = table["bucket"].to_numpy(np.int64), table["scale"].to_numpy(np.float64)
 
     def selected(batches):
+        slots = _slots(used, config)
         for batch in batches:
-            buckets = [np.frombuffer(b, "<i4") for b in batch["buckets"].to_pylist()]
-            kept = pa.array([b[scales[b] != 0].tobytes() for b in buckets], pa.binary())
-            yield pa.RecordBatch.from_arrays([kept, batch["toxic"]], names=["buckets", "toxic"])
+            found = [slots[np.frombuffer(b, "<i4")] for b in batch["buckets"].to_pylist()]
+            kept = pa.array([(f[f >= 0]).astype("<i4").tobytes() for f in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([kept, batch["toxic"]], names=["slots", "toxic"])
 
-    found = sample.select("buckets", "toxic").mapInArrow(selected, "buckets binary, toxic int").toPandas()
+    found = sample.select("buckets", "toxic").mapInArrow(selected, "slots binary, toxic int").toPandas()
     y = (found["toxic"] == 1).to_numpy(np.float64)
-    weights, intercept = _logistic([np.frombuffer(b, "<i4") for b in found["buckets"]], y, scales, config)
-    return ToxicityModel(config, scales, (scales * weights).astype(np.float32), intercept, int(n0 + n1))
+    weights, intercept = _logistic([np.frombuffer(b, "<i4") for b in found["slots"]], y, scales, config)
+    return ToxicityModel(config, used, scales, scales * weights, intercept, int(n0 + n1))
+
+
+def _slots(used: np.ndarray, config: ToxicityConfig) -> np.ndarray:
+    """The place of every bucket among the used ones, or -1."""
+    slots = np.full(1 << config.bits, -1, np.int32)
+    slots[used] = np.arange(len(used), dtype=np.int32)
+    return slots
 
 
 def _logistic(rows: list[np.ndarray], y: np.ndarray, scales: np.ndarray, config: ToxicityConfig) -> tuple[np.ndarray, float]:
     """Penalised logistic regression on scaled buckets, rows of length one, by accelerated gradient steps."""
     order = np.argsort([r.tobytes() for r in rows], kind="stable")  # sums don't depend on arrival order
     rows, y, n = [rows[i] for i in order], y[order], len(rows)
-    used = np.flatnonzero(scales)
-    at = np.searchsorted(used, np.concatenate(rows))
+    at = np.concatenate([np.zeros(0, np.int64), *rows])
     of = np.repeat(np.arange(n), [len(r) for r in rows])
-    value = scales[used][at].astype(np.float64)
+    value = scales[at]
     length = np.sqrt(np.bincount(of, value * value, minlength=n))
     value /= length[of]
-    penalty, size = config.penalty / n, len(used)
+    penalty, size = config.penalty / n, len(scales)
     step = 1.0 / (0.25 * 2.0 + penalty)
     w, b = np.zeros(size), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
     vw, vb = np.zeros(size), 0.0
@@ -168,9 +178,7 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, scales: np.ndarray, config:
         nw = aw - step * (np.bincount(at, value * error[of], minlength=size) / n + penalty * aw)
         nb = ab - step * float(error.mean())
         vw, vb, w, b = nw - w, nb - b, nw, nb
-    out = np.zeros(len(scales))
-    out[used] = w
-    return out, b
+    return w, b
 
 
 def scaled_ratio(c0: Column, c1: Column, n0: float, n1: float, config: ToxicityConfig) -> Column:
@@ -183,19 +191,16 @@ def scaled_ratio(c0: Column, c1: Column, n0: float, n1: float, config: ToxicityC
 
 def scored(text: Column, model: ToxicityModel) -> Column:
     """The score of a text column, between 0 and 1."""
-    config, scales, weights, intercept = model.config, model.scales, model.weights, model.intercept
-
-    used = scales != 0
-
-    def total(text: str | None) -> float:
-        at = np.unique(np.concatenate([np.zeros(0, np.uint32), *(found[used[found]] for found in buckets(text, config))]))
-        own = scales[at].astype(np.float64)
-        return weights[at].sum(dtype=np.float64) / (np.sqrt(own @ own) or 1.0)
+    config, used, scales, weights, intercept = model.config, model.used, model.scales, model.weights, model.intercept
 
     @F.arrow_udf("double")
     def run(batch: pa.Array) -> pa.Array:
-        sums = np.array([total(t.as_py()) for t in batch], np.float64)
-        return pa.array(1.0 / (1.0 + np.exp(-np.clip(sums + intercept, -500, 500))))
+        slots, sums = _slots(used, config), []
+        for text in batch:
+            found = [slots[b] for b in buckets(text.as_py(), config)]
+            at = np.unique(np.concatenate([np.zeros(0, np.int32), *(f[f >= 0] for f in found)]))
+            sums.append(weights[at].sum() / (np.sqrt(scales[at] @ scales[at]) or 1.0))
+        return pa.array(1.0 / (1.0 + np.exp(-np.clip(np.array(sums, np.float64) + intercept, -500, 500))))
 
     return run(text)
 
