@@ -27,11 +27,12 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm.tables import texts
@@ -107,6 +108,7 @@ Digest = tuple[int, int]
 BITS = 1 << 27
 #: A digest in more than one of so many occurrences is looked up without a shuffle; there are fewer such digests.
 HOT = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -247,18 +249,32 @@ def _unpacked(item: dict) -> dict:
     }
 
 
+@contextmanager
+def _rows_at_once(spark: SparkSession, most: int) -> Iterator[None]:
+    """Queries run inside hand workers at most so many rows at once."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, min(most, int(before)) if int(before) > 0 else most)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, version and spans of the documents to be cut.
 
     A span has its start and end in characters of the original text, its words, and the document
     that keeps the earliest occurrence of its longest unit.
     """
-    found = cut_lineage(occurrences(docs))
-    repeated = cut_lineage(earliest(found))
+    # rows hold a whole text's units, so fewer of them go to a worker at once
+    with _rows_at_once(docs.sparkSession, 1000):
+        found = cut_lineage(occurrences(docs))
+        repeated = cut_lineage(earliest(found))
     total = found.agg(F.sum("size")).first()[0] or 0
     hot = {(r["h0"], r["h1"]): r["first_doc"] for r in repeated.where(F.col("n") * HOT > total).collect()}  # under HOT rows
     marks = _marks(repeated)
-    later = cut_lineage(candidates(found, marks, hot, least_words))
+    with _rows_at_once(docs.sparkSession, 1000):
+        later = cut_lineage(candidates(found, marks, hot, least_words))
     marks.destroy()  # all that needs it is written
     item = F.struct("meta", "place", "first_doc")
     known = later.where("first_doc IS NOT NULL")
