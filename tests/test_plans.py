@@ -40,6 +40,6 @@ def test_layers_are_written_and_verify(spark, tmp_path):
 def test_report_tables(spark):
     df, spec = fx.dense_daily(spark, SMALL, "flag")
     tables = A.report(A.analyse_clean(K.flag_anomalies(df), spec))
-    assert tables["executive_summary"].first().executive_summary.startswith("From ")
+    assert tables["executive_summary"].first().executive_summary.startswith("Load: mean ")
     assert tables["appendix"].groupBy("series").count().agg(F.max("count")).first()[0] == 60
     assert tables["insights"].count() > 0 and tables["operations"].count() == 42

@@ -16,7 +16,9 @@ DEFAULT = (
     "agg04_operational_summary", "agg05_backlog_episodes", "agg08_scenario_summary", "fn10_kpi_table",
     "agg18_risk_signals", "q05_clean_default", "q05_clean_conservative", "agg28_repair_report",
     "q06_audit_findings", "aud10_row_evidence", "win12_rolling_stats", "win14_exponential_means",
-    "fc14_fold_table", "fc20_conformal_adjustment", "fc31_monitor_metrics",
+    "fc14_fold_table", "fc20_conformal_adjustment", "fc31_monitor_metrics", "fc22_hybrid_one_corrector",
+    "fc07_medians_and_spans", "fc08_ridge_two_features", "fc27_fitted_provenance", "fc33_monitor_outcomes",
+    "agg25_manifest_of_lags", "set02_exclusion_reasons", "srt04_report_anomalies", "srt04_report_appendix",
 )
 NAMES = sorted(driver.oracle_sql()) if os.environ.get("TIDEGAUGE_ALL_QUERIES") else DEFAULT
 

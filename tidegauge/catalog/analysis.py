@@ -764,11 +764,38 @@ def _(df, spec):
     return table.where("ordinal in (2, 4, 5, 10)")
 
 
+def _reported(spark, sf):
+    df, spec = metrics(spark, sf, FLAG)
+    days = df.select(*spec.index, "intake", "stock_a", "transfer", "stock_b", "discharge", "is_imputed_date", "anomaly_transfer", "anomaly_discharge")
+    return A.report(A.analyse_clean(days, spec), A.ReportConfig(backlog_rows=3, anomaly_rows=5, appendix_rows=7))
+
+
 @register("q07_report_insights")
 def _(spark, sf):
-    df, spec = metrics(spark, sf, FLAG)
-    found = A.report(A.analyse_clean(df.select(*spec.index, "intake", "stock_a", "transfer", "stock_b", "discharge", "is_imputed_date", "anomaly_transfer", "anomaly_discharge"), spec))
-    return found["insights"]
+    return _reported(spark, sf)["insights"]
+
+
+@register(
+    "srt04_report_anomalies",
+    with_metrics(FLAG) + """ SELECT * FROM (SELECT series, date, stock_a, transfer, stock_b, discharge, anomaly_transfer, anomaly_discharge,
+    CAST(row_number() OVER (PARTITION BY series ORDER BY date) AS INTEGER) AS rank FROM m WHERE anomaly_transfer OR anomaly_discharge) WHERE rank <= 5""",
+)
+def _(spark, sf):
+    return _reported(spark, sf)["anomalies"]
+
+
+@register(
+    "srt04_report_appendix",
+    with_metrics(FLAG) + """ SELECT series, date, total_load, net_intake, growth_pct, offset_ratio, streak, CAST(rank AS INTEGER) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY series ORDER BY date DESC) AS rank FROM m) WHERE rank <= 7""",
+    ("growth_pct", "offset_ratio"),
+)
+def _(spark, sf):
+    return _reported(spark, sf)["appendix"]
+
+
+for _table in ("metadata", "executive_summary", "kpis", "operations", "validation", "backlog"):
+    register(f"fn13_report_{_table}")(lambda spark, sf, t=_table: _reported(spark, sf)[t])
 
 
 __all__ = ["SeriesSpec", "part", "query"]

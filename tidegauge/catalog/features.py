@@ -209,6 +209,25 @@ def _(spark, sf):
     return X.feature_manifest(X.build_features(df, spec))
 
 
+LAGGED = {f"lag_{c}_{k}": f"lag({c}, {k}) OVER ({W})" for c in ("total_load", "net_intake") for k in (1, 7)}
+
+
+@register(
+    "agg25_manifest_of_lags",
+    with_metrics("flag") + ", l AS (SELECT " + ", ".join(f"{x} AS {n}" for n, x in LAGGED.items()) + " FROM m) " + " UNION ALL ".join(
+        f"SELECT '{n}' AS column, CAST({i} AS INTEGER) AS ordinal, 'feature' AS role, 'lag' AS category, count(*) - count({n}) AS missing_values, "
+        f"(count(*) - count({n})) / CAST(count(*) AS DOUBLE) AS missing_rate, count(DISTINCT {n}) AS unique_values FROM l"
+        for i, n in enumerate(LAGGED)
+    ),
+    ("missing_rate",),
+)
+def _(spark, sf):
+    df, spec = metrics(spark, sf, "flag")
+    built = X.build_features(df, spec, X.FeatureConfig(drop_incomplete=False))
+    lags = X.FeatureSet(built.frame, tuple(LAGGED), (), spec)
+    return X.feature_manifest(lags).select("column", "ordinal", "role", "category", "missing_values", "missing_rate", "unique_values")
+
+
 @register("prj16_feature_selection_reasons")
 def _(spark, sf):
     df, spec = metrics(spark, sf, "flag")

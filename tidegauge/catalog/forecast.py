@@ -468,6 +468,34 @@ def _(spark, sf):
     return decided.select("series", "model_status", "active_model")
 
 
+REGISTRIES = {
+    "approved_or_degraded": O.Registry("seven_day_drift", True, "seven_day_drift"),
+    "unpromoted": O.Registry("ridge", False, "persistence"),
+    "mismatch": O.Registry("ridge", True, "elastic_net"),
+    "no_artifact": O.Registry("blend", True, "blend", ("persistence", "ridge"), ("elastic_net",)),
+}
+
+
+@register(
+    "fc33_monitor_outcomes",
+    MON + f""", d AS (SELECT series, rolling_mae > rolling_persistence_mae * 1.25 AS bad FROM ({ROLL})),
+    limits AS (SELECT series, rolling_mae > rolling_persistence_mae * 0.01 AS bad FROM ({ROLL}))
+    SELECT series, 'approved_or_degraded' AS registry, CASE WHEN bad THEN 'degraded' ELSE 'approved' END AS model_status,
+      CASE WHEN bad THEN 'persistence' ELSE 'seven_day_drift' END AS active_model, CASE WHEN bad THEN 'error_too_large' ELSE 'within_limit' END AS code FROM d
+    UNION ALL SELECT series, 'tight_limit', CASE WHEN bad THEN 'degraded' ELSE 'approved' END, CASE WHEN bad THEN 'persistence' ELSE 'seven_day_drift' END,
+      CASE WHEN bad THEN 'error_too_large' ELSE 'within_limit' END FROM limits
+    UNION ALL SELECT series, r, 'fallback', 'persistence', c FROM d, (VALUES ('unpromoted', 'not_promoted'), ('mismatch', 'registry_mismatch'), ('no_artifact', 'missing_artifact')) v(r, c)""",
+)
+def _(spark, sf):
+    rows, spec = _monitored(spark, sf)
+    found = cut_lineage(O.monitoring_metrics(rows, spec, "seven_day_drift"))
+    tight = O.MonitorConfig(degradation_ratio=0.01)
+    parts = [O.fallback_decision(found, r).withColumn("registry", F.lit(name)) for name, r in REGISTRIES.items()]
+    strict = cut_lineage(O.monitoring_metrics(rows, spec, "seven_day_drift", tight))
+    parts.append(O.fallback_decision(strict, REGISTRIES["approved_or_degraded"], tight).withColumn("registry", F.lit("tight_limit")))
+    return V.union_predictions(parts).select("series", "registry", "model_status", "active_model", F.substring_index("reason", ":", 1).alias("code"))
+
+
 @register(
     "prj18_champion_row",
     PRED + """ SELECT series, forecast_origin_date, target_date, reconstructed_absolute_prediction, horizon_days FROM (

@@ -17,6 +17,7 @@ from tidegauge.operators.forecast import evaluate as V
 from tidegauge.operators.forecast import hybrid as H
 from tidegauge.operators.forecast import prepare as P
 from tidegauge.operators.metrics import daily_metrics
+from tidegauge.operators.orderstats import column_facts
 from tidegauge.plans import analysis as A
 from tidegauge.plans import experiment as X
 from tidegauge.session import cut_lineage, shared_folder
@@ -166,18 +167,23 @@ def _(spark, sf):
     return both.agg(F.lit("development").alias("part"), F.count(F.lit(1)).alias("shared_rows"))
 
 
+FLOWS = ("intake", "transfer", "discharge", "net_intake", "stock_a", "stock_b")
+
+
 @register(
     "set02_exclusion_reasons",
-    with_metrics(BY) + f""" SELECT feature, reason, (SELECT count(*) FROM m) AS days FROM (VALUES
-    {', '.join(f"('{c}', 'same-day operational field is not justified before origin close')" for c in ('intake', 'transfer', 'discharge', 'net_intake', 'stock_a', 'stock_b'))},
-    ('target_x', 'future target or future-derived field')) t(feature, reason)""",
+    FRAME + " " + " UNION ALL ".join(
+        [f"SELECT '{c}' AS feature, 'same_day' AS reason, count({c}) AS known_rows, count(DISTINCT {c}) AS values FROM m" for c in FLOWS]
+        + [f"SELECT '{name}', 'future', count({x}), count(DISTINCT {x}) FROM p" for name, x in ((P.TARGET, "target"), (P.CHANGE, "target - cur"))]
+    ),
 )
 def _(spark, sf):
     df, spec = metrics(spark, sf, BY)
     prepared = P.prepare_forecast(df, spec)
-    table = P.exclusion_manifest(prepared, ["intake", "target_x"])
-    days = df.agg(F.count(F.lit(1)).alias("days"))
-    return table.withColumn("_k", F.lit(1)).join(F.broadcast(days.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    reasons = P.exclusion_manifest(prepared, [*df.columns, P.TARGET, P.CHANGE]).where(F.col("feature").isin(*FLOWS, P.TARGET, P.CHANGE))
+    facts = column_facts(df, FLOWS).unionByName(column_facts(prepared.frame, (P.TARGET, P.CHANGE)))
+    known = facts.select(F.col("column").alias("feature"), (F.col("rows") - F.col("missing_values")).alias("known_rows"), F.col("unique_values").alias("values"))
+    return reasons.join(known, "feature")
 
 
 @register(

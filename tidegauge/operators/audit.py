@@ -21,6 +21,7 @@ from tidegauge.functions.scalars import (
 from tidegauge.operators.clean import out_of_order
 from tidegauge.operators.ordered import expected_metrics
 from tidegauge.operators.quantiles import attach, exact_quantiles
+from tidegauge.session import cut_lineage
 from tidegauge.spec import (
     ANOMALY_DISCHARGE,
     ANOMALY_TRANSFER,
@@ -333,16 +334,18 @@ def audit(
 ) -> Audit:
     """Run every applicable check per series.
 
-    Lazy but for a look whether there are rows: a wide conditional aggregate for the
-    findings, chunked windows for what depends on order, and the evidence of every row.
+    The source is read once: its typed rows are written, and every pass reads the columns it
+    needs of them. Then lazy: a wide conditional aggregate for the findings, chunked windows
+    for what depends on order, and the evidence of every row.
     """
     spark = df.sparkSession
     keys = list(spec.keys)
     structural = schema_findings(df)
-    if structural or df.isEmpty():
-        return _structural(spark, structural or [EMPTY], spec)
-
-    typed = _typed(df, spec)
+    if structural:
+        return _structural(spark, structural, spec)
+    typed = cut_lineage(_typed(df, spec))
+    if typed.isEmpty():
+        return _structural(spark, [EMPTY], spec)
     rows = typed.withColumn("_no_date", F.col(spec.date).isNull())
     days = (
         rows.where(~F.col("_no_date") & ~F.col("_blank"))

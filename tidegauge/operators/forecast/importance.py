@@ -11,7 +11,7 @@ from tidegauge.operators.forecast.linear import LinearModel
 from tidegauge.spec import SeriesSpec
 
 _BUCKET_BITS = 6
-NOTE = "Correlated features can divide or mask permutation importance."
+NOTE = "Features that move together share their importance, or hide each other's."
 
 
 def hash_ranks(rows: DataFrame, group: list[str], seed: Column, identity: list[Column], name: str) -> DataFrame:

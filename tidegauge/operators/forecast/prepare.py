@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.calendar import calendar_cycles, calendar_parts
-from tidegauge.operators.features import complete, exponential_means, rolling_slope
+from tidegauge.operators.features import availability_of, complete, exponential_means, rolling_slope
 from tidegauge.spec import (
     DISCHARGE,
     IMPUTED_DATE,
@@ -184,14 +184,14 @@ def prepare_forecast(
     compact = tuple(n for n, (group, _) in candidates.items() if group == "compact")
     forbidden = [n for n in expanded if "target" in n or "future" in n]
     if forbidden:
-        raise CapacityError("Future-derived features entered the matrix: " + ", ".join(forbidden))
+        raise CapacityError(f"{len(forbidden)} feature(s) carry a name of the future: {forbidden}")
     frame = frame.where(F.col(TARGET).isNotNull()).select(
         *spec.index, *expanded, TARGET, CHANGE, *CONTEXT
     )
     if verify:
         fewest = frame.groupBy(*spec.keys).count().agg(F.min("count")).first()[0] or 0
         if fewest < config.minimum_rows:
-            raise CapacityError(f"Only {fewest} target-complete observations are available.")
+            raise CapacityError(f"A series has {fewest} days with a target; {config.minimum_rows} are needed.")
     return Prepared(frame, compact, expanded, spec, config)
 
 
@@ -228,20 +228,15 @@ def availability_manifest(prepared: Prepared) -> DataFrame:
 
 
 def exclusion_manifest(prepared: Prepared, source_columns: Sequence[str]) -> DataFrame:
-    """Columns kept out of the matrix, one reason per feature: the first one given."""
+    """Columns kept out of the matrix, with the code of the availability rule that keeps each out.
+
+    The flows and stocks of the origin day come first, then what the names of ``source_columns`` say.
+    """
     spark = prepared.frame.sparkSession
-    same_day = [
-        (c, 0, "same-day operational field is not justified before origin close")
-        for c in (INTAKE, TRANSFER, DISCHARGE, NET_INTAKE, STOCK_A, STOCK_B)
-    ]
-    future = [
-        (c, 1, "future target or future-derived field")
-        for c in source_columns
-        if c.startswith("target_")
-    ]
-    return first_reasons(
-        spark.createDataFrame(same_day + future, "feature string, priority int, reason string")
-    )
+    own = [(c, 0, "same_day") for c in (INTAKE, TRANSFER, DISCHARGE, NET_INTAKE, STOCK_A, STOCK_B)]
+    named = [(c, 1, availability_of(c)[0]) for c in source_columns]
+    rows = own + [row for row in named if row[2] != "known"]
+    return first_reasons(spark.createDataFrame(rows, "feature string, priority int, reason string"))
 
 
 def first_reasons(*parts: DataFrame) -> DataFrame:
@@ -292,7 +287,7 @@ def expanding_folds(rows: int, config: ForecastConfig = ForecastConfig()) -> lis
         size = max(14, (rows - config.gap - 60) // config.folds)
     starts = [rows - (config.folds - i) * size for i in range(config.folds)]
     if starts[0] - config.gap < 1:
-        raise CapacityError("Dataset is too small for useful walk-forward folds.")
+        raise CapacityError(f"{rows} days leave none to train on before {config.folds} folds of {size} days.")
     return [Fold(i + 1, s - config.gap, s, s + size) for i, s in enumerate(starts)]
 
 
@@ -329,13 +324,13 @@ def plan_calendar(frame: DataFrame, spec: SeriesSpec, config: ForecastConfig) ->
     """
     first, last = frame.agg(F.min(spec.date), F.max(spec.date)).first()
     if first is None:
-        raise CapacityError("No target-complete observations are available.")
+        raise CapacityError("No day has a target.")
     days = (last - first).days + 1
     holdout = max(1, math.ceil(days * config.holdout_fraction))
     start = days - holdout
     development = start - config.gap
     if development < config.minimum_development:
-        raise CapacityError("Holdout and embargo leave too little development data.")
+        raise CapacityError(f"{development} days lie before the gap; {config.minimum_development} are needed.")
     day = lambda i: first + dt.timedelta(days=i)
     folds = tuple(
         DatedFold(f.number, day(f.train_end - 1), day(f.start), day(f.end - 1))
