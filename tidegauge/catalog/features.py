@@ -209,7 +209,7 @@ def _(spark, sf):
     return X.feature_manifest(X.build_features(df, spec))
 
 
-LAGGED = {f"lag_{c}_{k}": f"lag({c}, {k}) OVER ({W})" for c in ("total_load", "net_intake") for k in (1, 7)}
+LAGGED = {f"lag_{k}d_{c}": f"lag({c}, {k}) OVER ({W})" for c in ("total_load", "net_intake") for k in (1, 7)}
 
 
 @register(
