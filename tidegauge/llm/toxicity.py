@@ -29,6 +29,7 @@ from tidegauge.llm.tables import texts
 from tidegauge.session import cut_lineage
 
 SLICE = 1 << 20
+ENTRIES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -134,9 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
 
     counts = sample.select("buckets", "toxic").mapInArrow(counted, "bucket int, n0 long, n1 long")
     table = counts.groupBy("bucket").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
-    table = table.select("bucket", scaled_ratio(F.col("c0"), F.col("c1"), n0, n1, config).alias("scale")).where("scale <> 0").toPandas()
-    table = table.sort_values("bucket")
-    used, scales = table["bucket"].to_numpy(np.int64), table["scale"].to_numpy(np.float64)
+    table = table.select("bucket", scaled_ratio(F.col("c0"), F.col("c1"), n0, n1, config).alias("scale")).where("scale <> 0").toArrow()
+    table = table.sort_by("bucket")
+    used, scales = table["bucket"].to_numpy().astype(np.int64), table["scale"].to_numpy().astype(np.float64)
 
     def selected(batches):
         slots = _slots(used, config)
@@ -145,9 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
             kept = pa.array([(f[f >= 0]).astype("<i4").tobytes() for f in found], pa.binary())
             yield pa.RecordBatch.from_arrays([kept, batch["toxic"]], names=["slots", "toxic"])
 
-    found = sample.select("buckets", "toxic").mapInArrow(selected, "slots binary, toxic int").toPandas()
-    y = (found["toxic"] == 1).to_numpy(np.float64)
-    weights, intercept = _logistic([np.frombuffer(b, "<i4") for b in found["slots"]], y, scales, config)
+    found = sample.select("buckets", "toxic").mapInArrow(selected, "slots binary, toxic int").toArrow()
+    y = np.array([label == 1 for label in found["toxic"].to_pylist()], np.float64)
+    weights, intercept = _logistic(found["slots"].to_pylist(), y, scales, config)
     return ToxicityModel(config, used, scales, scales * weights, intercept, int(n0 + n1))
 
 
@@ -158,24 +159,44 @@ def _slots(used: np.ndarray, config: ToxicityConfig) -> np.ndarray:
     return slots
 
 
-def _logistic(rows: list[np.ndarray], y: np.ndarray, scales: np.ndarray, config: ToxicityConfig) -> tuple[np.ndarray, float]:
-    """Penalised logistic regression on scaled buckets, rows of length one, by accelerated gradient steps."""
-    order = np.argsort([r.tobytes() for r in rows], kind="stable")  # sums don't depend on arrival order
-    rows, y, n = [rows[i] for i in order], y[order], len(rows)
-    at = np.concatenate([np.zeros(0, np.int64), *rows])
-    of = np.repeat(np.arange(n), [len(r) for r in rows])
-    value = scales[at]
-    length = np.sqrt(np.bincount(of, value * value, minlength=n))
-    value /= length[of]
-    penalty, size = config.penalty / n, len(scales)
+def _logistic(rows: list[bytes], y: np.ndarray, scales: np.ndarray, config: ToxicityConfig) -> tuple[np.ndarray, float]:
+    """Penalised logistic regression on scaled buckets, rows of length one, by accelerated gradient steps.
+
+    ``rows`` hold the 32-bit places of their buckets. Places are the only thing kept for each; a row's length and the
+    scales are applied to sums, ``ENTRIES`` places at a time.
+    """
+    order = sorted(range(len(rows)), key=rows.__getitem__)  # sums don't depend on arrival order
+    y, n, size = y[order], len(rows), len(scales)
+    sizes = np.array([len(rows[i]) // 4 for i in order], np.int64)
+    at = np.frombuffer(b"".join([rows[i] for i in order]), "<i4").astype(np.intp)  # as numpy indexes
+    starts = np.cumsum(sizes) - sizes
+    some = np.flatnonzero(sizes)  # rows with a bucket
+    blocks = [b for b in np.split(some, np.flatnonzero(np.diff(starts[some] // ENTRIES)) + 1) if len(b)]
+
+    def row_sums(of_place: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        for b in blocks:
+            first, end = starts[b[0]], starts[b[-1]] + sizes[b[-1]]
+            out[b] = np.add.reduceat(of_place[at[first:end]], starts[b] - first)
+        return out
+
+    def place_sums(of_row: np.ndarray) -> np.ndarray:
+        out = np.zeros(size)
+        for b in blocks:
+            first, end = starts[b[0]], starts[b[-1]] + sizes[b[-1]]
+            out += np.bincount(at[first:end], np.repeat(of_row[b], sizes[b]), size)
+        return out
+
+    shrink = 1.0 / np.sqrt(np.where(sizes > 0, row_sums(scales * scales), 1.0))
+    penalty = config.penalty / n
     step = 1.0 / (0.25 * 2.0 + penalty)
     w, b = np.zeros(size), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
     vw, vb = np.zeros(size), 0.0
     for k in range(config.steps):
         momentum = k / (k + 3.0)
         aw, ab = w + momentum * vw, b + momentum * vb
-        error = 1.0 / (1.0 + np.exp(-np.clip(np.bincount(of, value * aw[at], minlength=n) + ab, -30, 30))) - y
-        nw = aw - step * (np.bincount(at, value * error[of], minlength=size) / n + penalty * aw)
+        error = 1.0 / (1.0 + np.exp(-np.clip(shrink * row_sums(scales * aw) + ab, -30, 30))) - y
+        nw = aw - step * (scales * place_sums(shrink * error) / n + penalty * aw)
         nb = ab - step * float(error.mean())
         vw, vb, w, b = nw - w, nb - b, nw, nb
     return w, b
