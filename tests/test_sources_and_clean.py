@@ -127,6 +127,23 @@ def test_writers(spark, tmp_path):
     assert writers.source_first(spark.range(1).selectExpr("id x", "id intake")).columns == ["intake", "x"]
 
 
+def test_event_log_reads_each_committed_run_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    a = spark.createDataFrame([(1, float("nan")), (2, None), (2, None)], "k int, v double")
+    b = a.where("k = 1")
+    with pytest.raises(ValueError, match="run id"):
+        writers.append_run(a, path, "a/b")
+    writers.append_run(a, path, "007")
+    writers.write_attempt(b, path, "b")
+    read = lambda: sorted((r.run, r.k, r.v) for r in readers.read_runs(spark, path, "k int, v double").collect())
+    assert read() == [("007", 1, None), ("007", 2, None), ("007", 2, None)]
+    writers.append_run(b, path, "007")
+    assert len(read()) == 3
+    writers.append_run(b, path, "b")
+    writers.append_run(a.limit(0), path, "none")
+    assert read() == [("007", 1, None), ("007", 2, None), ("007", 2, None), ("b", 1, None)]
+
+
 def test_records_and_predictions(spark, tmp_path):
     rows = readers.from_records(spark, [{"a": 1}, {"a": None, "b": "x"}])
     assert rows.columns == ["a", "b"] and rows.collect()[0].a == "1"

@@ -96,6 +96,24 @@ def _(spark, sf):
     return spark.read.schema("series bigint, date date, growth_pct double, streak int").json(path)
 
 
+@register(
+    "snk04_event_log",
+    with_metrics("nation") + """ SELECT CASE WHEN year(date) < 1996 THEN 'early' ELSE 'late' END AS run, series, date, streak, growth_pct
+    FROM m WHERE streak >= 3""",
+    ("growth_pct",),
+)
+def _(spark, sf):
+    df, spec = metrics(spark, sf, "nation")
+    events = cut_lineage(df.where("streak >= 3").select(*spec.index, "streak", "growth_pct"))
+    early, late = events.where("year(date) < 1996"), events.where("year(date) >= 1996")
+    path = _path(spark)
+    writers.write_attempt(late, path, "late")  # fails before its commit
+    writers.append_run(early, path, "early")
+    writers.append_run(late, path, "late")
+    writers.append_run(early, path, "early")  # a retry of what was done
+    return readers.read_runs(spark, path, events.schema)
+
+
 @register(
     "src05_set01_prediction_round_trip",
     PRED + """ SELECT origin AS forecast_origin_date, target_date, actual AS actual_value, model AS model_name, fc AS reconstructed_absolute_prediction,

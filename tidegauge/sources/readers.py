@@ -170,3 +170,16 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
         .option("dateFormat", "yyyy-MM-dd")
         .csv(path)
     )
+
+
+def read_runs(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Events of the committed runs of a log, each run once, with its id as ``run``.
+
+    One attempt counts per run, the first that was committed; the log needs at least one. The markers are a row
+    per attempt, grouped on the executors, and are joined on the partition columns of the events.
+    """
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    whole = T.StructType([*fields.fields, T.StructField("run", T.StringType()), T.StructField("attempt", T.StringType())])
+    commits = spark.read.schema("run string, attempt string, committed_at timestamp").parquet(f"{path}/commits")
+    first = commits.groupBy("run").agg(F.min(F.struct("committed_at", "attempt")).getField("attempt").alias("attempt"))
+    return spark.read.schema(whole).json(f"{path}/events").join(first, ["run", "attempt"]).drop("attempt")

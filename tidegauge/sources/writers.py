@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -82,3 +84,25 @@ def write_json(
 def append_events(df: DataFrame, path: str) -> None:
     """Append rows to a JSON-lines event log."""
     json_safe(df).write.mode("append").option("ignoreNullFields", False).json(path)
+
+
+def append_run(df: DataFrame, path: str, run: str) -> None:
+    """Append the events of one run to a log that :func:`tidegauge.sources.readers.read_runs` reads.
+
+    Each call is an attempt with a folder of its own. A marker row is appended once all its events are written, so
+    an attempt that fails half-way is never read, and of a run that is written again the first commit counts.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", run):
+        raise ValueError("A run id needs letters, digits, dots, hyphens or underscores.")
+    attempt = write_attempt(df, path, run)
+    marker = df.sparkSession.range(1).select(
+        F.lit(run).alias("run"), F.lit(attempt).alias("attempt"), F.current_timestamp().alias("committed_at")
+    )
+    marker.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+
+
+def write_attempt(df: DataFrame, path: str, run: str) -> str:
+    """Write the events of a run without committing them; the attempt's id."""
+    attempt = uuid.uuid4().hex
+    json_safe(df).write.option("ignoreNullFields", False).option("dateFormat", "yyyy-MM-dd").json(f"{path}/events/run={run}/attempt={attempt}")
+    return attempt
