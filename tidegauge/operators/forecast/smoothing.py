@@ -9,7 +9,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,12 +24,18 @@ _DAMPING = 0.9
 _SEASON = 7
 
 
-def smooth(values: np.ndarray, alpha: float, beta: float, gamma: float, steps: int) -> tuple[float, np.ndarray]:
-    """Damped additive trend with an additive weekly season: squared error and forecasts."""
-    season = list(values[:_SEASON] - values[:_SEASON].mean())
-    level, trend, error = float(values[:_SEASON].mean()), 0.0, 0.0
+def smooth(values: np.ndarray, grid: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Damped additive trend with an additive weekly season, for all grid points in one pass over the days.
+
+    ``grid`` has a row (level, trend, season weight) per point. Returns the squared error of each point and its
+    forecasts, a column per point.
+    """
+    alpha, beta, gamma = np.asarray(grid, float).T
+    first = values[:_SEASON].mean()
+    season = np.repeat((values[:_SEASON] - first)[:, None], len(alpha), axis=1)
+    level, trend, error = np.full(len(alpha), first), np.zeros(len(alpha)), np.zeros(len(alpha))
     for i, y in enumerate(values):
-        s = season[i % _SEASON]
+        s = season[i % _SEASON].copy()
         expected = level + _DAMPING * trend
         error += (y - expected - s) ** 2
         new = alpha * (y - s) + (1 - alpha) * expected
@@ -37,8 +43,7 @@ def smooth(values: np.ndarray, alpha: float, beta: float, gamma: float, steps: i
         season[i % _SEASON] = gamma * (y - expected) + (1 - gamma) * s
         level = new
     damp = np.cumsum(_DAMPING ** np.arange(1, steps + 1))
-    seasonal = np.array([season[(len(values) + h) % _SEASON] for h in range(steps)])
-    return error, level + damp * trend + seasonal
+    return error, level + damp[:, None] * trend + season[(len(values) + np.arange(steps)) % _SEASON]
 
 
 def smoothing_forecasts(
@@ -46,24 +51,17 @@ def smoothing_forecasts(
 ) -> DataFrame:
     """Forecast change per series, fold and validation day with the best grid point.
 
-    ``rows`` come from :func:`assign_folds`. A group is one series in one fold under
-    one parameter triple, at most one row per calendar day. The forecast runs over the
-    gap and the validation days and keeps the latter.
+    ``rows`` come from :func:`assign_folds`. A group is one series in one fold, at most one row per
+    calendar day, and tries all grid points at once; of equal errors the first point wins. The forecast
+    runs over the gap and the validation days and keeps the latter. Series under two seasons get no
+    forecast; :func:`too_short` names them.
     """
     keys = list(spec.keys)
     steps = {f.number: ((f.first - f.train_last).days - 1, (f.last - f.first).days + 1) for f in folds}
-    grid = F.array(*[F.struct(F.lit(i).alias("_g")) for i in range(len(GRID))])
-    train = (
-        rows.where("role = 'train'")
-        .select(*keys, spec.date, "fold", column)
-        .select("*", F.inline(grid))
-    )
-    by = [*keys, "fold", "_g"]
-    schema = T.StructType(
-        [train.schema[k] for k in by]
-        + [T.StructField("_sse", T.DoubleType()), T.StructField("_path", T.ArrayType(T.DoubleType()))]
-    )
-    date = spec.date
+    train = rows.where("role = 'train'").select(*keys, spec.date, "fold", column)
+    by = [*keys, "fold"]
+    schema = T.StructType([train.schema[k] for k in by] + [T.StructField("_path", T.ArrayType(T.DoubleType()))])
+    date, grid = spec.date, np.array(GRID)
 
     def run(series: pd.DataFrame) -> pd.DataFrame:
         series = series.sort_values(date)
@@ -72,18 +70,11 @@ def smoothing_forecasts(
         values = series[column].to_numpy(float)
         if len(values) < 2 * _SEASON:
             return pd.DataFrame(columns=[f.name for f in schema.fields])
-        error, path = smooth(values, *GRID[int(head["_g"])], gap + length)
-        out = {k: [head[k]] for k in by}
-        return pd.DataFrame({**out, "_sse": [error], "_path": [path[gap:].tolist()]})
-
-    scored = train.groupBy(*by).applyInPandas(run, schema)
-    best = (
-        scored.withColumn(
-            "_rank",
-            F.row_number().over(Window.partitionBy(*keys, "fold").orderBy("_sse", "_g")),
-        )
-        .where("_rank = 1")
-        .select(*keys, "fold", F.posexplode("_path").alias("_step", "predicted_change"))
+        errors, paths = smooth(values, grid, gap + length)
+        return pd.DataFrame({k: [head[k]] for k in by} | {"_path": [paths[gap:, errors.argmin()].tolist()]})
+
+    best = train.groupBy(*by).applyInPandas(run, schema).select(
+        *by, F.posexplode("_path").alias("_step", "predicted_change")
     )
     starts = F.lit(None).cast("date")
     for f in folds:
