@@ -12,7 +12,7 @@ from tidegauge.operators.forecast import intervals as I
 from tidegauge.operators.forecast import linear as L
 from tidegauge.operators.forecast import monitor as O
 from tidegauge.operators.forecast import prepare as P
-from tidegauge.operators.forecast.importance import hash_ranks
+from tidegauge.operators.forecast.importance import partner, row_numbers
 from tidegauge.plans import experiment as X
 from tidegauge.spec import CapacityError, SeriesSpec
 
@@ -192,12 +192,69 @@ def test_stability_index_matches_a_histogram(spark):
     assert O.stability_index(few, SPEC, F.col("v"), F.col("early")).first().input_psi == 0
 
 
-def test_hash_ranks_are_a_permutation(spark):
-    df = spark.range(500).withColumn("g", F.lit(1))
-    ranked = hash_ranks(df, ["g"], F.lit(42), [F.col("id")], "r")
-    assert sorted(r.r for r in ranked.collect()) == list(range(1, 501))
-    again = hash_ranks(df.repartition(3), ["g"], F.lit(42), [F.col("id")], "r")
-    assert ranked.select("id", "r").exceptAll(again.select("id", "r")).isEmpty()
+def test_partners_are_a_keyed_bijection(spark):
+    """Every row has one partner, whatever the count; another key pairs otherwise."""
+    for n in (1, 2, 3, 7, 64, 1000, 4099):
+        rows = spark.range(n).selectExpr("id", f"{n}L AS n").select("id", partner("id", "n", "17").alias("a"), partner("id", "n", "18").alias("b")).collect()
+        assert sorted(r.a for r in rows) == sorted(r.b for r in rows) == list(range(n))
+    assert sum(r.a == r.b for r in rows) < 20 and sum(r.a == r.id for r in rows) < 20
+    # neighbours are torn apart
+    near = sum(abs(x.a - y.a) < 40 for x, y in zip(rows, rows[1:]))
+    assert near < 200
+
+
+def test_row_numbers_count_on_over_buckets(spark):
+    df = spark.range(500).selectExpr("id % 2 AS g", "id DIV 90 AS b", "499 - id AS k", "id")
+    got = row_numbers(df, ["g"], ["b"], ["k"], "at", "n").collect()
+    for g in (0, 1):
+        want = sorted((r for r in got if r.g == g), key=lambda r: (r.b, r.k))
+        assert [r.at for r in want] == list(range(250)) and {r.n for r in want} == {250}
+    assert row_numbers(df.limit(0), ["g"], ["b"], ["k"], "at", "n").isEmpty()
+
+
+def test_smoothing_grid_equals_the_plain_recursion():
+    import numpy as np
+
+    from tidegauge.operators.forecast.smoothing import GRID, smooth
+
+    def plain(values, alpha, beta, gamma, steps):
+        level, trend, sse = sum(values[:7]) / 7, 0.0, 0.0
+        season = [v - level for v in values[:7]]
+        for i, y in enumerate(values):
+            s, ahead = season[i % 7], level + 0.9 * trend
+            sse += (y - ahead - s) ** 2
+            season[i % 7] = gamma * (y - ahead) + (1 - gamma) * s
+            new = alpha * (y - s) + (1 - alpha) * ahead
+            level, trend = new, beta * (new - level) + (1 - beta) * 0.9 * trend
+        out = []
+        for h in range(steps):
+            out.append(level + trend * sum(0.9**k for k in range(1, h + 2)) + season[(len(values) + h) % 7])
+        return sse, out
+
+    values = np.random.default_rng(3).normal(50, 9, 131).round(2)
+    errors, paths = smooth(values, np.array(GRID), 20)
+    for i, point in enumerate(GRID):
+        sse, path = plain(values.tolist(), *point, 20)
+        assert abs(errors[i] - sse) < 1e-7 * sse and np.allclose(paths[:, i], path, rtol=1e-10)
+
+
+def test_differences_are_located_by_range(spark):
+    from tidegauge.operators.compare import located_differences
+
+    df = spark.range(400).selectExpr("id", "id * 0.5 AS v", "if(id % 7 = 0, null, 'x') AS s")
+    ranges = {"hundred": F.expr("id DIV 100"), "ten": F.expr("id DIV 10")}
+    find = lambda other: sorted(map(tuple, located_differences(df, other, ["id"], ranges).collect()))
+    assert find(df.repartition(5)) == [] and find(df.withColumn("v", F.col("v") + 1e-12)) == []
+    off = df.withColumn("v", F.when(F.col("id") == 123, 0.0).otherwise(F.col("v"))).where("id <> 399")
+    off = off.withColumn("s", F.when(F.col("id") == 21, "x").otherwise(F.col("s"))).unionByName(off.limit(1).withColumn("id", F.lit(1000)))
+    assert find(off) == [
+        ("0", "2", "s", 0, 0, 1, 0), ("1", "12", "v", 0, 0, 0, 1), ("10", "100", "(rows)", 0, 1, 0, 0), ("3", "39", "(rows)", 1, 0, 0, 0),
+    ]
+    none = df.limit(0)
+    assert located_differences(none, none, ["id"], ranges).isEmpty()
+    assert find(none) == sorted((str(k // 10), str(k), "(rows)", 10, 0, 0, 0) for k in range(40))
+    with pytest.raises(CapacityError):
+        located_differences(df, df.drop("s"), ["id"], ranges)
 
 
 def test_fingerprint_properties(spark):

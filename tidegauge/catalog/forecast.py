@@ -17,7 +17,7 @@ from tidegauge.operators.forecast import ledger as K
 from tidegauge.operators.forecast import linear as L
 from tidegauge.operators.forecast import monitor as O
 from tidegauge.operators.forecast import prepare as P
-from tidegauge.operators.forecast.smoothing import smoothing_forecasts
+from tidegauge.operators.forecast.smoothing import smoothing_forecasts, too_short
 from tidegauge.plans import experiment as X
 from tidegauge.session import cut_lineage
 
@@ -612,6 +612,40 @@ def _(spark, sf):
     return V.regression_metrics(both, ["walk", "fold"]).select("walk", "fold", "rows", "mae", "rmse").join(means, ["walk", "fold"])
 
 
+def _permuted(source, fold, row):
+    """SQL that sends each row number of ``source`` (fold, i, n, a, b and ``row``) through the keyed permutation of the a x b grid."""
+    at = f"SELECT fold, i, n, a, b, {fold} AS key, {row} // b AS hi, {row} % b AS lo FROM {source}"
+    for k in (1, 2, 3, 4):
+        changed, other, size = ("hi", "lo", "a") if k % 2 else ("lo", "hi", "b")
+        x = f"(({other} + key + {k * 104729}) % {M.PRIME})"
+        at = f"SELECT * REPLACE (({changed} + ((({x} * {x}) % {M.PRIME}) * 48271 + {x}) % {M.PRIME}) % {size} AS {changed}) FROM ({at})"
+    return f"SELECT fold, i, n, a, b, hi * b + lo AS v FROM ({at})"
+
+
+SEEDED = f"(CAST(fold AS BIGINT) * 15485863 + {42 * 7919})"
+
+
+@register(
+    "fc29_importance_two_features",
+    FILLED.replace("WITH ", "WITH RECURSIVE ", 1) + f""", fit AS {_solved('n', '100', 'cur', 'lag', 'y', 'fold', 'z')},
+    v AS (SELECT p.fold, cur AS x1, coalesce(lag7, l50) AS x2, target - cur AS y, my, m1, m2, b1, b2,
+        row_number() OVER (PARTITION BY p.fold ORDER BY date, substr(md5(series), 1, 2), series) - 1 AS i, count(*) OVER (PARTITION BY p.fold) AS n
+      FROM (SELECT p.*, fold FROM p JOIN folds ON date BETWEEN first_day AND last_day_ WHERE fold > 0) p JOIN md ON md.fold = p.fold JOIN fit ON fit.fold = p.fold),
+    grid AS (SELECT fold, i, n, a, (n + a - 1) // a AS b FROM (SELECT fold, i, v.n, CAST(ceil(sqrt(v.n)) AS BIGINT) AS a FROM v)),
+    walk AS ({_permuted('grid', SEEDED, 'i')} UNION ALL {_permuted('(SELECT * FROM walk WHERE v >= n)', SEEDED, 'v')}),
+    met AS (SELECT own.*, sent.x1 AS o1, sent.x2 AS o2, own.my + own.b1 * (own.x1 - own.m1) + own.b2 * (own.x2 - own.m2) AS pr
+      FROM v own JOIN walk w ON w.fold = own.fold AND w.v = own.i JOIN v sent ON sent.fold = w.fold AND sent.i = w.i),
+    inc AS (SELECT fold, '{PAIR[0]}' AS feature, avg(abs(y - pr - b1 * (o1 - x1))) - avg(abs(y - pr)) AS up FROM met GROUP BY 1
+      UNION ALL SELECT fold, '{PAIR[1]}', avg(abs(y - pr - b2 * (o2 - x2))) - avg(abs(y - pr)) FROM met GROUP BY 1)
+    SELECT feature, avg(up) AS mean_mae_increase, stddev_pop(up) AS std_mae_increase, count(DISTINCT fold) AS folds FROM inc GROUP BY 1""",
+    ("mean_mae_increase", "std_mae_increase"),
+)
+def _(spark, sf):
+    sums, rows, _, _, spec = _pair_sums(spark, sf)
+    models = {f: L.ridge(s, L.fit_processor(s, PAIR, correlation_limit=1.0), 100.0) for f, s in sums.items() if f > 0}
+    return M.permutation_importance(rows.where("role = 'validation' AND fold > 0"), spec, models, P.CHANGE).drop("interpretation_note")
+
+
 # ---- fitted models: no SQL equivalent -------------------------------------------
 @register("fc07_feature_processor")
 def _(spark, sf):
@@ -650,7 +684,8 @@ def _(spark, sf):
     rows, calendar, _, spec = _stored(spark, sf)
     smooth = smoothing_forecasts(rows, spec, [calendar.holdout, *calendar.folds])
     out = V.prediction_rows(smooth, spec, P.reconstruct(F.col(P.CURRENT), F.col("predicted_change")), "exponential_smoothing", "")
-    return V.regression_metrics(out, [*spec.keys, "fold"])
+    skipped = too_short(rows, spec).select(*spec.keys, F.when(F.col("fold") == 0, "holdout").otherwise(F.col("fold").cast("string")).alias("fold"), "training_days", "reason")
+    return V.regression_metrics(out, [*spec.keys, "fold"]).unionByName(skipped, allowMissingColumns=True)
 
 
 @register("fc29_permutation_importance")

@@ -12,7 +12,7 @@ from tidegauge.catalog.forecast import BY, CAL, FRAME, PRED, WIDE, _baselines, _
 from tidegauge.catalog.registry import register
 from tidegauge.operators import clean as C
 from tidegauge.operators.audit import AuditConfig, audit
-from tidegauge.operators.features import scrub
+from tidegauge.operators.features import lags, scrub
 from tidegauge.operators.forecast import evaluate as V
 from tidegauge.operators.forecast import hybrid as H
 from tidegauge.operators.forecast import prepare as P
@@ -22,7 +22,7 @@ from tidegauge.plans import analysis as A
 from tidegauge.plans import experiment as X
 from tidegauge.session import cut_lineage, shared_folder
 from tidegauge.sources import readers, writers
-from tidegauge.spec import COUNTS, PREDICTION_COLUMNS, SRC_ROW
+from tidegauge.spec import COUNTS, PREDICTION_COLUMNS, SRC_ROW, add_sql
 
 
 def _path(spark) -> str:
@@ -257,6 +257,37 @@ def _(spark, sf):
     return spark.createDataFrame(list(found.items()), "layer string, first_difference string")
 
 
+@register(
+    "fc35_located_differences",
+    with_metrics("nation") + """ SELECT 'daily' AS layer, '1998' AS in_year, '1998-03' AS in_month, 'intake' AS field, CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right,
+      CAST(0 AS BIGINT) AS null_places, count(*) AS changed_values FROM m WHERE date BETWEEN DATE '1998-03-05' AND DATE '1998-03-07' HAVING count(*) > 0
+    UNION ALL SELECT 'metrics', '2000', '2000-02', '(rows)', count(*), 0, 0, 0 FROM m WHERE date = DATE '2000-02-29' HAVING count(*) > 0
+    UNION ALL SELECT 'metrics', '2000', '2000-02', 'roll7', 0, 0, count(*), 0 FROM m WHERE date = DATE '2000-02-09' AND roll7 IS NOT NULL HAVING count(*) > 0
+    UNION ALL SELECT 'metrics', '1999', strftime(date, '%Y-%m'), 'streak', 0, 0, 0, count(*) FROM m WHERE year(date) = 1999 AND day(date) = 31 GROUP BY 3""",
+)
+def _(spark, sf):
+    daily, spec = dense_daily(spark, sf, "nation")
+    derived, _ = metrics(spark, sf, "nation")
+    # the lags stay as they are and must not be named
+    lagged = add_sql(derived, lags(spec, (1, 7))).select(*spec.index, "lag_1d_total_load", "lag_7d_total_load")
+    day = F.col(spec.date)
+    wrong = {
+        "daily": daily.withColumn("intake", F.col("intake") + day.between("1998-03-05", "1998-03-07").cast("int")),
+        "metrics": derived.where(day != "2000-02-29").withColumns({
+            "roll7": F.when(day != "2000-02-09", F.col("roll7")),
+            "streak": F.col("streak") - ((F.year(day) == 1999) & (F.dayofmonth(day) == 31)).cast("int"),
+        }),
+        "lags": lagged,
+    }
+    stored = {}
+    for name, table in wrong.items():
+        path = _path(spark)
+        writers.write_parquet(table, path)
+        stored[name] = readers.read_feature_table(spark, path, spec)
+    found = X.locate_layers({"daily": daily, "metrics": derived, "lags": lagged}, stored, spec)
+    return found.select("layer", "in_year", "in_month", "field", "only_left", "only_right", "null_places", "changed_values")
+
+
 @register("q08_single_model_run")
 def _(spark, sf):
     df, spec = metrics(spark, sf, BY)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,11 +13,13 @@ from pyspark.sql import types as T
 
 from tidegauge.functions.scalars import is_blank
 from tidegauge.operators.clean import missing_days
+from tidegauge.session import cut_lineage
 from tidegauge.spec import (
     DISCHARGE,
     IMPUTED_DATE,
     INTAKE,
     TOTAL_LOAD,
+    CapacityError,
     SeriesSpec,
 )
 
@@ -79,9 +81,9 @@ class Tolerance:
 
 def difference_counts(
     left: DataFrame, right: DataFrame, keys: Sequence[str], tolerance: Tolerance = Tolerance(),
-    exact: Sequence[str] = (),
+    exact: Sequence[str] = (), by: Sequence[str] = (),
 ) -> DataFrame:
-    """One row of mismatch counts from one full join on the keys.
+    """One row of mismatch counts from one full join on the keys, or one for each value of ``by`` (among the keys).
 
     For every other column: rows whose null position differs, and rows whose values
     differ beyond the tolerance (not at all for non-numeric and ``exact`` columns).
@@ -106,7 +108,66 @@ def difference_counts(
             differs = x != y
         counts.append(F.count_if(both & (x.isNull() != y.isNull())).alias(f"nulls_{c}"))
         counts.append(F.count_if(both & F.coalesce(differs, F.lit(False))).alias(f"values_{c}"))
-    return joined.agg(*counts)
+    return joined.groupBy(*by).agg(*counts)
+
+
+def _leaves(df: DataFrame, ranges: Mapping[str, Column]) -> DataFrame:
+    """Fingerprint of the rows of every finest range: one partial aggregate, and fingerprints add up to coarser ones."""
+    row = F.concat_ws("\u001f", *[_canonical(f) for f in df.schema.fields])
+    placed = df.select(
+        *[F.coalesce(c.cast("string"), F.lit("~")).alias(n) for n, c in ranges.items()],
+        F.xxhash64(row).alias("_x"), F.xxhash64(F.lit(7), row).cast("decimal(38,0)").alias("_s"), F.lit(1).alias("_c"),
+    )
+    return _merged(placed, list(ranges))
+
+
+def _merged(leaves: DataFrame, by: list[str]) -> DataFrame:
+    # a sum can't overflow below 10**19 rows
+    return leaves.groupBy(*by).agg(F.sum("_c").alias("_c"), F.bit_xor("_x").alias("_x"), F.sum("_s").cast("decimal(38,0)").alias("_s"))
+
+
+def located_differences(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], ranges: Mapping[str, Column],
+    tolerance: Tolerance = Tolerance(), exact: Sequence[str] = (),
+) -> DataFrame:
+    """Where two tables of the same columns differ: a row per finest range and column with a difference.
+
+    ``ranges`` name expressions over the keys, from coarse to fine (year, month). Each table is read once into
+    fingerprints of its finest ranges, which are merged and compared level by level; rows are joined in ranges that
+    differ only. ``field`` is a column, or ``(rows)`` for rows that one side lacks. Equal tables, empty ones included,
+    give no row. Keys must be unique on each side. A null in a key is a value of the range ``~`` and matches nothing.
+    """
+    names, keys = list(ranges), list(keys)
+    if left.columns != right.columns or set(names) & set(left.columns):
+        raise CapacityError("Both tables need the same columns, and ranges names of their own.")
+    sides = [cut_lineage(_leaves(df, ranges)) for df in (left, right)]
+    differing = None
+    for depth in range(1, len(names) + 1):
+        by = names[:depth]
+        if differing is not None:
+            sides = [s.join(differing, names[: depth - 1], "left_semi") for s in sides]
+        a, b = (_merged(s, by) for s in sides)
+        b = b.select(*by, *[F.col(c).alias(f"{c}2") for c in ("_c", "_x", "_s")])
+        same = F.lit(True)
+        for c in ("_c", "_x", "_s"):
+            same = same & F.col(c).eqNullSafe(F.col(f"{c}2"))
+        differing = a.join(b, by, "full_outer").where(~same).select(*by)
+    differing = cut_lineage(differing)
+    rows = [
+        df.select("*", *[F.coalesce(c.cast("string"), F.lit("~")).alias(n) for n, c in ranges.items()]).join(differing, names, "left_semi")
+        for df in (left, right)
+    ]
+    counts = difference_counts(*rows, [*keys, *names], tolerance, exact, by=names)
+    zero = F.lit(0).cast("long")
+    cells = [F.struct(F.lit("(rows)").alias("field"), F.col("only_left"), F.col("only_right"), zero.alias("null_places"), zero.alias("changed_values"))]
+    cells += [
+        F.struct(
+            F.lit(c).alias("field"), zero.alias("only_left"), zero.alias("only_right"),
+            F.col(f"nulls_{c}").alias("null_places"), F.col(f"values_{c}").alias("changed_values"),
+        )
+        for c in left.columns if c not in keys
+    ]
+    return counts.select(*names, F.inline(F.array(*cells))).where("only_left + only_right + null_places + changed_values > 0")
 
 
 def first_difference(
@@ -180,5 +241,5 @@ def disjoint(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> bool:
 
 __all__ = [
     "Tolerance", "dataset_profile", "difference_counts", "disjoint", "fingerprint",
-    "first_difference", "kind_of", "missing_days", "provenance_audit", "schema_fingerprint",
+    "first_difference", "kind_of", "located_differences", "missing_days", "provenance_audit", "schema_fingerprint",
 ]

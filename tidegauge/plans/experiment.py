@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.operators.compare import Tolerance, fingerprint, first_difference
+from tidegauge.operators.compare import Tolerance, fingerprint, first_difference, located_differences
 from tidegauge.operators.forecast import boosted as B
 from tidegauge.operators.forecast import ensemble as N
 from tidegauge.operators.forecast import evaluate as V
@@ -20,7 +20,7 @@ from tidegauge.operators.forecast import ledger as K
 from tidegauge.operators.forecast import linear as L
 from tidegauge.operators.forecast import monitor as O
 from tidegauge.operators.forecast import prepare as P
-from tidegauge.operators.forecast.smoothing import smoothing_forecasts
+from tidegauge.operators.forecast.smoothing import smoothing_forecasts, too_short
 from tidegauge.session import cut_lineage
 from tidegauge.spec import CapacityError, SeriesSpec
 
@@ -44,6 +44,7 @@ class Experiment:
     boosted_importance: DataFrame | None = None
     leakage: dict[str, bool] = field(default_factory=dict)
     ledger: DataFrame | None = None
+    unsmoothed: DataFrame | None = None  # series and folds too short for smoothing, with the reason
 
     @property
     def oof(self) -> DataFrame:
@@ -225,6 +226,7 @@ def run_experiment(
     return Experiment(
         prepared, calendar, cut_lineage(predictions), table, decision, weights, interval_metrics,
         importance, linear_best.model_name, boosted_importance, leakage, ledger,
+        too_short(rows, spec) if smoothing else None,
     )
 
 
@@ -320,6 +322,19 @@ def verify_pipeline(
     return out
 
 
+def locate_layers(
+    regenerated: Mapping[str, DataFrame], stored: Mapping[str, DataFrame], spec: SeriesSpec,
+    tolerance: Tolerance = Tolerance(),
+) -> DataFrame:
+    """Years, months and columns in which stored layers differ from rebuilt ones; equal layers give no row."""
+    ranges = {"in_year": F.year(spec.date), "in_month": F.date_format(spec.date, "yyyy-MM")}
+    parts = [
+        located_differences(regenerated[name], table, spec.index, ranges, tolerance).withColumn("layer", F.lit(name))
+        for name, table in stored.items()
+    ]
+    return V.union_predictions(parts)
+
+
 def verify_predictions(predictions: DataFrame, champion: str, promoted: str) -> dict[str, bool]:
     """Schema, finiteness and champion agreement of stored predictions."""
     V.check_predictions(predictions)
@@ -338,6 +353,6 @@ def monitor(
 
 
 __all__ = [
-    "Experiment", "comparison", "fingerprint", "monitor", "run_experiment", "single_model_run",
+    "Experiment", "comparison", "fingerprint", "locate_layers", "monitor", "run_experiment", "single_model_run",
     "smoke_pipeline", "verify_pipeline", "verify_predictions",
 ]
