@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -146,9 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
             kept = pa.array([(f[f >= 0]).astype("<i4").tobytes() for f in found], pa.binary())
             yield pa.RecordBatch.from_arrays([kept, batch["toxic"]], names=["slots", "toxic"])
 
-    found = sample.select("buckets", "toxic").mapInArrow(selected, "slots binary, toxic int").toArrow()
-    y = np.array([label == 1 for label in found["toxic"].to_pylist()], np.float64)
-    weights, intercept = _logistic(found["slots"].to_pylist(), y, scales, config)
+    at, sizes, y = _placed(sample.select("buckets", "toxic").mapInArrow(selected, "slots binary, toxic int").toArrow())
+    pa.default_memory_pool().release_unused()
+    weights, intercept = _logistic(at, sizes, y, scales, config)
     return ToxicityModel(config, used, scales, scales * weights, intercept, int(n0 + n1))
 
 
@@ -159,16 +160,31 @@ def _slots(used: np.ndarray, config: ToxicityConfig) -> np.ndarray:
     return slots
 
 
-def _logistic(rows: list[bytes], y: np.ndarray, scales: np.ndarray, config: ToxicityConfig) -> tuple[np.ndarray, float]:
+def _placed(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of all rows in one array, the number of each row's places, and whether each is toxic.
+
+    Rows stand in the order of a digest of their places, so that sums don't depend on arrival order. They are copied
+    once, from Arrow's memory.
+    """
+    views = [v.as_buffer() for chunk in found["slots"].chunks for v in chunk]
+    labels = np.array([label == 1 for label in found["toxic"].to_pylist()], np.float64)
+    digests = [blake2b(v, digest_size=16).digest() for v in views]
+    order = sorted(range(len(views)), key=lambda i: (digests[i], labels[i]))
+    sizes = np.array([views[i].size // 4 for i in order], np.int64)
+    at, end = np.empty(sizes.sum(), np.int32), 0
+    for i, size in zip(order, sizes):
+        at[end : end + size] = np.frombuffer(views[i], "<i4")
+        end += size
+    return at, sizes, labels[order]
+
+
+def _logistic(at: np.ndarray, sizes: np.ndarray, y: np.ndarray, scales: np.ndarray, config: ToxicityConfig) -> tuple[np.ndarray, float]:
     """Penalised logistic regression on scaled buckets, rows of length one, by accelerated gradient steps.
 
-    ``rows`` hold the 32-bit places of their buckets. Places are the only thing kept for each; a row's length and the
+    ``at`` and ``sizes`` come from :func:`_placed`. Places are the only thing kept for each; a row's length and the
     scales are applied to sums, ``ENTRIES`` places at a time.
     """
-    order = sorted(range(len(rows)), key=rows.__getitem__)  # sums don't depend on arrival order
-    y, n, size = y[order], len(rows), len(scales)
-    sizes = np.array([len(rows[i]) // 4 for i in order], np.int64)
-    at = np.frombuffer(b"".join([rows[i] for i in order]), "<i4").astype(np.intp)  # as numpy indexes
+    n, size = len(y), len(scales)
     starts = np.cumsum(sizes) - sizes
     some = np.flatnonzero(sizes)  # rows with a bucket
     blocks = [b for b in np.split(some, np.flatnonzero(np.diff(starts[some] // ENTRIES)) + 1) if len(b)]
