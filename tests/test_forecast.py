@@ -192,6 +192,34 @@ def test_stability_index_matches_a_histogram(spark):
     assert O.stability_index(few, SPEC, F.col("v"), F.col("early")).first().input_psi == 0
 
 
+def test_monitor_state_in_parts_equals_one_run(spark):
+    rng = np.random.default_rng(11)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(k) for k in range(90)]
+    cells = [
+        ("k", d, float(v), float(v + e), 90.0, 110.0, bool(k % 5 == 0), float(v), float(v + 2))
+        for k, (d, v, e) in enumerate(zip(days, rng.normal(100, 9, 90), rng.normal(0, 4, 90)))
+    ]
+    schema = "series string, forecast_origin_date date, current_load double, actual_value double, lower_interval double, upper_interval double, is_imputed_date boolean, champion double, persistence double"
+    rows, spec = spark.createDataFrame(cells, schema), SeriesSpec.of("series")
+    early = rows.where("forecast_origin_date < '2024-02-15'")
+    later = rows.where("forecast_origin_date >= '2024-02-15'")
+    opened = O.open_state(early, spec)
+    once = O.state_metrics(O.updated_state(opened, later, spec), spec).first().asDict()
+    state = O.updated_state(opened, later.where("forecast_origin_date < '2024-03-01'"), spec)
+    state = O.updated_state(state, later.where("forecast_origin_date < '2024-03-05'"), spec)  # days of the first batch again
+    state = O.updated_state(state, later.limit(0), spec)
+    state = O.updated_state(state, later, spec)
+    parts = O.state_metrics(state, spec).first().asDict()
+    assert {k: round(v, 9) if isinstance(v, float) else v for k, v in parts.items()} == {k: round(v, 9) if isinstance(v, float) else v for k, v in once.items()}
+    assert state.first().recent_rows == 45 and len(state.first().ring) == 30 and once["rolling_window"] == 30
+    last = rows.orderBy(F.col("forecast_origin_date").desc()).limit(30).toPandas()
+    assert abs(once["rolling_mae"] - (last.actual_value - last.champion).abs().mean()) < 1e-9
+    assert once["input_psi"] > 0 and O.state_metrics(O.open_state(early.limit(5), spec), spec).first().input_psi == 0
+    assert O.open_state(rows.limit(0), spec).isEmpty()
+    plain = O.state_metrics(O.updated_state(O.open_state(early.drop("series"), SPEC), later.drop("series"), SPEC), SPEC).first().asDict()
+    assert round(plain["residual_shift"], 9) == round(once["residual_shift"], 9)
+
+
 def test_partners_are_a_keyed_bijection(spark):
     """Every row has one partner, whatever the count; another key pairs otherwise."""
     for n in (1, 2, 3, 7, 64, 1000, 4099):

@@ -19,7 +19,7 @@ DEFAULT = (
     "fc14_fold_table", "fc20_conformal_adjustment", "fc31_monitor_metrics", "fc22_hybrid_one_corrector",
     "fc07_medians_and_spans", "fc08_ridge_two_features", "fc27_fitted_provenance", "fc33_monitor_outcomes",
     "agg25_manifest_of_lags", "set02_exclusion_reasons", "srt04_report_anomalies", "srt04_report_appendix",
-    "fc29_importance_two_features", "fc35_located_differences",
+    "fc29_importance_two_features", "fc35_located_differences", "fc31_monitor_state",
 )
 NAMES = sorted(driver.oracle_sql()) if os.environ.get("TIDEGAUGE_ALL_QUERIES") else DEFAULT
 

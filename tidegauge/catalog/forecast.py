@@ -246,8 +246,8 @@ RESIDUAL = PRED + """, oof AS (SELECT *, CAST(fold AS INTEGER) AS k FROM pred WH
     SELECT *, CASE WHEN fold = 'holdout' THEN 6 ELSE CAST(fold AS INTEGER) END AS k FROM pred WHERE model = 'seven_day_drift') t JOIN cuts USING (series, k))"""
 
 
-def _banded(spark, sf):
-    out, calendar, spec = _baselines(spark, sf)
+def _banded(spark, sf, baselines=None):
+    out, calendar, spec = baselines or _baselines(spark, sf)
     own = out.where("model_name = 'seven_day_drift'")
     labels = [str(f.number) for f in calendar.folds] + ["holdout"]
     return I.residual_intervals(own.where("fold <> 'holdout'"), own, spec, labels), spec
@@ -427,8 +427,9 @@ MON_COLS = ("rolling_mae", "rolling_persistence_mae", "interval_coverage_percent
 
 
 def _monitored(spark, sf):
-    banded, spec = _banded(spark, sf)
-    out, _, _ = _baselines(spark, sf)
+    out, calendar, spec = _baselines(spark, sf)
+    out = cut_lineage(out)
+    banded, _ = _banded(spark, sf, (out, calendar, spec))
     base = out.where("model_name = 'persistence' AND fold = 'holdout'")
     own = banded.where("fold = 'holdout'")
     return base.unionByName(own.select(*base.columns)), spec
@@ -445,6 +446,24 @@ def _(spark, sf):
     return O.monitoring_metrics(rows, spec, "seven_day_drift")
 
 
+@register(
+    "fc31_monitor_state",
+    MON + PSI + f""" SELECT r.*, input_psi, input_psi > 0.25 AS input_drift, residual_shift > 1 AS residual_drift,
+    rolling_mae > rolling_persistence_mae * 1.25 AS degraded FROM ({ROLL}) r JOIN psi USING (series)""",
+    MON_COLS,
+)
+def _(spark, sf):
+    rows, spec = _monitored(spark, sf)
+    aligned = cut_lineage(O.aligned_rows(rows, spec, "seven_day_drift")).selectExpr(
+        "*", "row_number() OVER (PARTITION BY series ORDER BY forecast_origin_date) AS at", "count(*) OVER (PARTITION BY series) AS n",
+    )
+    # the early half is the reference; the rest comes in two batches, the second of which repeats days of the first
+    state = cut_lineage(O.open_state(aligned.where("at <= greatest(1, n DIV 2)"), spec))
+    for batch in ("at > n DIV 2 AND at <= n * 3 DIV 4", "at > n * 2 DIV 3"):
+        state = cut_lineage(O.updated_state(state, aligned.where(batch), spec))
+    return O.state_metrics(state, spec)
+
+
 @register("fc32_stability_index", MON + PSI + " SELECT series, input_psi FROM psi", ("input_psi",))
 def _(spark, sf):
     rows, spec = _monitored(spark, sf)
