@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators.clean import flag_anomalies
 from tidegauge.operators.metrics import daily_metrics
-from tidegauge.sources.rollup import lineitem_daily
+from tidegauge.sources.rollup import lineitem_daily, lineitem_days
 from tidegauge.spec import COUNTS, IMPUTED_DATE, SRC_ROW, SeriesSpec
-from tidegauge.operators.clean import densify, fill
+from tidegauge.operators.clean import calendar_tasks, densify, fill
 
 _KEY_SQL = {"flag": "l_returnflag", "supplier": "l_suppkey", "nation": "CAST(s_nationkey AS BIGINT)"}
 
@@ -96,7 +96,9 @@ def with_metrics(by: str | None) -> str:
 def dense_daily(spark: SparkSession, sf_dir: str, by: str | None = None) -> tuple[DataFrame, SeriesSpec]:
     """Daily fixture with the calendar filled: stocks interpolated, flows zero."""
     days, spec = lineitem_daily(spark, sf_dir, by)
-    dense = densify(days, spec)
+    # only a panel by supplier grows with the data; the others have few series of one calendar
+    tasks = calendar_tasks(lineitem_days(spark, sf_dir, by), spec) if by == "supplier" else None
+    dense = densify(days, spec, tasks=tasks)
     dense = dense.withColumns(
         {c: F.rint(fill(c, spec, "interpolate")).cast("long") for c in ("stock_a", "stock_b")}
         | {c: F.coalesce(F.col(c), F.lit(0)) for c in ("intake", "transfer", "discharge")}

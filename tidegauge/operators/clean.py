@@ -50,6 +50,9 @@ from tidegauge.spec import (
 
 FILLS = ("interpolate", "forward_fill", "zero", "none")
 
+#: Dense days that one task sorts, in the windows over a panel.
+TASK_DAYS = 400_000
+
 # Row labels, in the order they are joined.
 LABEL_IMPUTED_DATE = "Imputed date"
 LABEL_IMPUTED_VALUES = "Imputed values"
@@ -137,12 +140,33 @@ def keep_one_per_day(
     return rows.groupBy(*spec.index).agg(*[pick(c, SRC_ROW).alias(c) for c in columns])
 
 
-def densify(days: DataFrame, spec: SeriesSpec, flag: str = IMPUTED_DATE) -> DataFrame:
+def calendar_tasks(rows: DataFrame, spec: SeriesSpec, task_days: int = TASK_DAYS) -> int | None:
+    """How many tasks hold the dense calendar of all series at about ``task_days`` days each.
+
+    ``rows`` needs the series keys and the date only and may repeat days. None when one
+    task can hold the whole panel, or when there is a single series, which is never split.
+    """
+    if not spec.keys:
+        return None
+    span = F.datediff(F.max(spec.date), F.min(spec.date)) + 1
+    days = rows.groupBy(*spec.keys).agg(span.cast("long").alias("_days")).agg(F.sum("_days")).first()[0]
+    return -(-days // task_days) if days and days > task_days else None
+
+
+def densify(
+    days: DataFrame, spec: SeriesSpec, flag: str = IMPUTED_DATE, tasks: int | None = None
+) -> DataFrame:
     """Insert the calendar days missing between the first and last day of each series.
 
     Each present day spawns the gap that follows it, so no spine table is built and
     no join is needed; inserted rows carry nulls.
+
+    Adaptive execution sizes its partitions by the present days, before the gaps are
+    filled. ``tasks``, from :func:`calendar_tasks`, deals the series by what they become;
+    later windows by series reuse that exchange.
     """
+    if tasks:
+        days = days.repartition(tasks, *spec.keys)
     following = F.lead(spec.date).over(spec.ordered())
     until = F.coalesce(F.date_sub(following, 1), F.col(spec.date))
     others = [c for c in days.columns if c not in spec.index]

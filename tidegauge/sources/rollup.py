@@ -38,8 +38,10 @@ def lineitem_measures() -> dict[str, Column]:
     }
 
 
-def lineitem_daily(spark: SparkSession, sf_dir: str, by: str | None = None) -> tuple[DataFrame, SeriesSpec]:
-    """Daily fixture from line items: one series, or a panel by flag, nation or supplier."""
+def lineitem_facts(
+    spark: SparkSession, sf_dir: str, by: str | None = None
+) -> tuple[DataFrame, dict[str, Column]]:
+    """Line items, and the series key as a column of them: one series, or by flag, nation or supplier."""
     facts = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     keys: dict[str, Column] = {}
     if by == "flag":
@@ -53,5 +55,17 @@ def lineitem_daily(spark: SparkSession, sf_dir: str, by: str | None = None) -> t
         keys = {"series": F.col("s_nationkey").cast("long")}
     elif by is not None:
         raise ValueError("by must be None, 'flag', 'nation' or 'supplier'.")
+    return facts, keys
+
+
+def lineitem_daily(spark: SparkSession, sf_dir: str, by: str | None = None) -> tuple[DataFrame, SeriesSpec]:
+    """Daily fixture from line items: one series, or a panel by flag, nation or supplier."""
+    facts, keys = lineitem_facts(spark, sf_dir, by)
     days = rollup_days(facts, keys, F.col("l_shipdate"), lineitem_measures())
     return days.select(*keys, DATE, *COUNTS), SeriesSpec.of(*keys)
+
+
+def lineitem_days(spark: SparkSession, sf_dir: str, by: str | None = None) -> DataFrame:
+    """Series key and day of every line item, not rolled up: two columns to measure a panel by."""
+    facts, keys = lineitem_facts(spark, sf_dir, by)
+    return facts.select(*[c.alias(k) for k, c in keys.items()], F.col("l_shipdate").cast("date").alias(DATE))
