@@ -201,6 +201,34 @@ def test_ordinary_sample_is_of_unlike_lines(spark):
     assert found.count() == found.distinct().count() == 30
 
 
+def test_every_line_trains_by_default(spark):
+    rng = random.Random(19)
+    plain = [f"{prose(rng, 6)} {k}" for k in range(5_400)]
+    like = "Redistribution in source and binary forms with or without modification are permitted"
+    lines = [*plain, *plain[:50], like, *[f"Licensed under the MIT License, copy {k}." for k in range(5_200)], "A license of no name."]
+    docs = documents(spark, [(k, "\n".join(lines[k::40]), "en", "s", 1) for k in range(40)])
+    rows = licenses._training(docs, licenses.LicenseConfig()).groupBy("family").count()
+    counts = {r["family"]: r["count"] for r in rows.collect()}
+    assert counts["mit"] == 5_200 + len(licenses.TEMPLATES["mit"]) and counts[licenses.ORDINARY] == 5_400 + 2
+
+
+def test_unlike_lines_by_hashes_and_by_strings(spark):
+    lines = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    lines += [" ".join(t.split()[:n]) for t in lines for n in range(1, 20)] + ["", "of the rights under the", "ordinary words"]
+    pairs = licenses.pairs_of(licenses.words_of(F.col("line")))
+    plain = F.greatest(*[licenses._share(pairs, t) for ts in licenses.TEMPLATES.values() for t in ts]) <= 0.5
+    rows = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = rows.select("line", plain.alias("a"), licenses._unlike_templates(licenses.ngrams(licenses.words_of(F.col("line")))).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and {r.a for r in got} == {True, False}
+
+
+def test_upper_quantile_equals_percentile(spark):
+    for n, above in ((1, 0.1), (7, 0.5), (101, 0.1), (1_000, 0.0001)):
+        rows = spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(997)) / 997).alias("x"))
+        assert licenses._upper_quantile(rows, "x", above) == pytest.approx(rows.agg(F.percentile("x", 1 - above)).first()[0])
+    assert licenses._upper_quantile(spark.range(0).select(F.rand().alias("x")), "x", 0.1) == 0
+
+
 def test_notices_are_ranked_in_parts(spark):
     found = [(k, f"Licensed under the MIT License, copy {k}.", "en", "s", 1) for k in range(300)]
     rows = licenses._training(documents(spark, found), licenses.LicenseConfig(sample=20))
