@@ -124,6 +124,23 @@ def test_negatives_are_those_of_all_pairs(spark):
         assert found == plain_negatives(rows, lambda i: i % 10 == 0, config)
 
 
+def test_anchors_copied_for_the_tasks_are_never_broadcast(spark, monkeypatch):
+    # equal vectors under unlike ids, as small in a file as one vector
+    rows = [(k, k % 3, [float(k % 2), 5.0, 7.0]) for k in range(400)]
+    config, plans, cut = negatives.MiningConfig(rows_a_block=16, anchors_a_block=16), [], negatives.cut_lineage
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(negatives, "cut_lineage", seen)
+    got = negatives.mine(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 10 == 0, config)
+    copied = [p for p in plans if "anchors#" in p or "vector#" in p and "asked#" in p]
+    assert len(copied) >= 4 and not any("BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p for p in copied)
+    found = sorted((r.anchor_id, r.positive_id, r["rank"], r.negative_id, r.positive_score, r.negative_score) for r in got.collect())
+    assert found == plain_negatives(rows, lambda i: i % 10 == 0, config)
+
+
 def test_no_vectors_or_anchors_give_no_rows(spark):
     assert negatives.mine(spark.createDataFrame([], VECTORS), F.col("vec_id") % 100 == 0).isEmpty()
     none = spark.createDataFrame([(1, 1, [1.0]), (2, 2, [1.0])], VECTORS)

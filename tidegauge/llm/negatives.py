@@ -239,8 +239,9 @@ def _round(blocks: DataFrame, windows: DataFrame, order, same: bool, most: int,
 
     # every block of rows with every block of anchors of its length: rows stay, anchors go to every task
     salts = F.explode(F.sequence(F.lit(0), F.lit(config.tasks - 1))).alias("task")
+    # by shuffle: the size of the anchors' file, of which Spark knows, is before they are copied for the tasks
     packed = windows.mapInArrow(pack, "dim int, anchors binary").select("dim", "anchors", salts)
-    found = packed.join(blocks, ["dim", "task"]).mapInArrow(compare, FOUND)
+    found = packed.hint("merge").join(blocks, ["dim", "task"]).mapInArrow(compare, FOUND)
     best = Window.partitionBy("anchor_row", "slot").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
 
@@ -279,7 +280,8 @@ def _filled(blocks: DataFrame, anchors: DataFrame, goals: DataFrame, moments, or
 
         asked = open_goals.groupBy("anchor_row").agg(F.sort_array(F.collect_list(F.struct("slot", "end", "high", "share"))).alias("asked"))
         schema = "anchor_row long, label long, dim int, vector binary, slots array<struct<slot:int,low:double,high:double,end:double>>"
-        windows = cut_lineage(anchors.join(asked, "anchor_row").mapInArrow(lowered, schema))
+        # by shuffle: equal vectors take no room in a file, but each its own in a broadcast
+        windows = cut_lineage(anchors.hint("merge").join(asked, "anchor_row").mapInArrow(lowered, schema))
         found = cut_lineage(_round(blocks, windows, order, same, most, config))
         state = windows.select("anchor_row", F.inline("slots"))
         counts = found.groupBy("anchor_row", "slot").agg(F.count("*").alias("n"))
