@@ -157,6 +157,14 @@ def _exact(q: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array(scores, np.int64)
 
 
+def _most(acc: np.ndarray, q_rest: np.ndarray, rest: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """Partial scores plus the product of what is left after ``depth`` groups, in one new matrix."""
+    most = np.take(q_rest, depth, axis=1)
+    most *= rest
+    most += acc
+    return most
+
+
 def _reaching(q: np.ndarray, y: np.ndarray, low: np.ndarray, group: int):
     """(anchor, row, score) of all pairs whose score reaches the anchor's threshold ``low``."""
     q_rest, y_rest = _rest(q, group), _rest(y, group)
@@ -176,11 +184,11 @@ def _reaching(q: np.ndarray, y: np.ndarray, low: np.ndarray, group: int):
         acc[:, :held] += q[:, cut] @ y[rows[:held], cut].T
         if least > -np.inf and g % 2:
             reached = np.minimum(depth, g + 1)
-            alive = (acc + q_rest[:, reached] * y_rest[rows, reached] >= (low - slack)[:, None]).any(0)
+            alive = (_most(acc, q_rest, y_rest[rows, reached], reached) >= (low - slack)[:, None]).any(0)
             rows, depth, acc = rows[alive], depth[alive], acc[:, alive]
     if not len(rows):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.nonzero(acc + q_rest[:, depth] * y_rest[rows, depth] >= (low - slack)[:, None])
+    a, b = np.nonzero(_most(acc, q_rest, y_rest[rows, depth], depth) >= (low - slack)[:, None])
     b = rows[b]
     score = np.concatenate([_exact(q[a[k : k + 65536]], y[b[k : k + 65536]]) for k in range(0, len(a), 65536)] or [np.zeros(0, np.int64)])
     kept = score >= low[a]
@@ -215,7 +223,9 @@ def _round(blocks: DataFrame, windows: DataFrame, order, same: bool, most: int,
 
     def compare(batches):
         for batch in batches:
-            for dim, rows, ids, labels, matrix, packed in zip(*(batch[c].to_pylist() for c in ("dim", "rows", "ids", "labels", "matrix", "anchors"))):
+            for place, dim in enumerate(batch["dim"].to_pylist()):
+                # views of the batch, which holds many blocks
+                rows, ids, labels, matrix, packed = (batch[c][place].as_buffer() for c in ("rows", "ids", "labels", "matrix", "anchors"))
                 anchors = pa.ipc.open_stream(packed).read_all()
                 y = np.frombuffer(matrix, np.float64).reshape(-1, dim)
                 row, vec, label = (np.frombuffer(c, np.int64) for c in (rows, ids, labels))
